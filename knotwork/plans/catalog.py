@@ -1,4 +1,4 @@
-"""Queries of the knowledge-connection operators and their SQL."""
+"""All queries of the knowledge-connection operators and their SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from knotwork.plans import catalog_pairs  # noqa: F401
+from knotwork.plans.base import ORACLE, QUERIES  # noqa: F401
