@@ -45,8 +45,8 @@ def unordered(a: Column, b: Column) -> Column:
 def same_edge(source: Column, target: Column, kind: Column, gold_source: Column, gold_target: Column, gold_kind: Column, symmetric: Column) -> Column:
     """Equal type and equal ends, in either order where ``symmetric``; false where anything is null."""
     directed = (source == gold_source) & (target == gold_target)
-    either = unordered(source, target) == unordered(gold_source, gold_target)
-    return F.coalesce((kind == gold_kind) & F.when(symmetric, either).otherwise(directed), F.lit(False))
+    reverse = (source == gold_target) & (target == gold_source)
+    return F.coalesce((kind == gold_kind) & (directed | (symmetric & reverse)), F.lit(False))
 
 
 def short_hash(*parts: Column) -> Column:
