@@ -73,14 +73,19 @@ def weighted_jaccard(objects: DataFrame, block: Sequence[str], key: str, tokens:
     without a shared token have 0 and are not made. Rounded to 12 digits, so that ranks do not
     depend on the order of summing.
     """
-    posted = objects.select(*map(col, block), col(key).alias("a"), F.explode(F.array_distinct(col(tokens))).alias("token")).join(weights.select("token", "idf"), "token")
-    total = posted.groupBy(*block, "a").agg(F.sum("idf").alias("wa"))
-    posted = posted.join(total, [*block, "a"])
-    other = posted.select(*block, "token", F.col("a").alias("b"), F.col("wa").alias("wb"))
-    met = posted.join(other, [*block, "token"]).filter("a < b")
-    shared = met.groupBy(*block, "a", "b").agg(F.count("*").alias("n_shared"), F.sum("idf").alias("ws"), F.first("wa").alias("wa"), F.first("wb").alias("wb"))
+    taken = {"a", "b", "n_shared", "weighted_jaccard"} & set(block)
+    if taken:
+        raise ValueError(f"block columns under names of the result: {sorted(taken)}")
+    bs = [f"block_{i}" for i in range(len(block))]
+    posted = objects.select(*(col(c).alias(n) for c, n in zip(block, bs, strict=True)), col(key).alias("a"), F.explode(F.array_distinct(col(tokens))).alias("token"))
+    posted = posted.join(weights.select("token", "idf"), "token")
+    total = posted.groupBy(*bs, "a").agg(F.sum("idf").alias("wa"))
+    posted = posted.join(total, [*bs, "a"])
+    other = posted.select(*bs, "token", F.col("a").alias("b"), F.col("wa").alias("wb"))
+    met = posted.join(other, [*bs, "token"]).filter("a < b")
+    shared = met.groupBy(*bs, "a", "b").agg(F.count("*").alias("n_shared"), F.sum("idf").alias("ws"), F.first("wa").alias("wa"), F.first("wb").alias("wb"))
     score = F.round(F.try_divide(F.col("ws"), F.col("wa") + F.col("wb") - F.col("ws")), 12)
-    return shared.select(*block, "a", "b", "n_shared", score.alias("weighted_jaccard"))
+    return shared.select(*(F.col(n).alias(c) for c, n in zip(block, bs, strict=True)), "a", "b", "n_shared", score.alias("weighted_jaccard"))
 
 
 def ranked(df: DataFrame, score: str, ids: Sequence[str], within: Sequence[str] = (), out: str = "rank") -> DataFrame:

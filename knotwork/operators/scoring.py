@@ -9,13 +9,13 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knotwork.operators.audit import require_empty, require_no_leak
 from knotwork.session import col
 
 #: A scorer takes a request (JSON text) and returns a response (JSON text).
 Scorer = Callable[[str], str]
-SCORED = "response string, attempts int, error string"
 
 
 class TransportError(Exception):
@@ -78,11 +78,8 @@ def scored(df: DataFrame, text: str, scorer: Scorer, retries: int = 2, delay_s:
             rows = [one(x) for x in part[text]]
             yield part.assign(response=[r[0] for r in rows], attempts=[r[1] for r in rows], error=[r[2] for r in rows])
 
-    schema = df.schema
-    for f in SCORED.split(", "):
-        name, kind = f.split()
-        schema = schema.add(name, kind)
-    return df.mapInPandas(run, schema)
+    added = [T.StructField("response", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())]
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, *added]))
 
 
 def replayed(df: DataFrame, key: str, recorded: DataFrame) -> DataFrame:

@@ -147,16 +147,17 @@ def idf_table(spark: SparkSession, d: str) -> DataFrame:
     return pairs.idf(k, "k", "tokens").withColumn("idf", F.round("idf", 9))
 
 
-_PART = f"""o AS (SELECT p_partkey, p_brand, p_type, {TOKENS.format('p_name')} AS t FROM part),
+_PART = f"""o AS (SELECT p_brand, p_type, p_name, {TOKENS.format('p_name')} AS t FROM (SELECT DISTINCT p_brand, p_type, p_name FROM part)),
     w AS (SELECT token, ln(((SELECT count(*) FROM o) + 1) / (count(*) + 1)) + 1 AS idf FROM (SELECT unnest(t) AS token FROM o) GROUP BY 1),
-    u AS (SELECT a.p_brand, a.p_type, a.p_partkey AS a, b.p_partkey AS b, a.t AS ta, b.t AS tb FROM o a JOIN o b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE list_has_any(a.t, b.t)),
+    u AS (SELECT a.p_brand, a.p_type, a.p_name AS a, b.p_name AS b, a.t AS ta, b.t AS tb FROM o a JOIN o b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_name < b.p_name WHERE list_has_any(a.t, b.t)),
     s AS (SELECT p_brand, p_type, a, b, len(list_intersect(ta, tb)) AS n_shared,
         round((SELECT sum(idf) FROM w WHERE list_contains(list_intersect(ta, tb), token)) / (SELECT sum(idf) FROM w WHERE list_contains(list_concat(ta, tb), token)), 12) AS weighted_jaccard FROM u)"""
 
 
 def _part_scores(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", X.token_set(F.col("p_name")).alias("tokens"))
-    return pairs.weighted_jaccard(p, ["p_brand", "p_type"], "p_partkey", "tokens", pairs.idf(p, "p_partkey", "tokens"))
+    """Parts of one name are copies: a name stands for them once per block, so pairs grow with the vocabulary, not with the table."""
+    p = table(spark, d, "part").select("p_brand", "p_type", "p_name").distinct().withColumn("tokens", X.token_set(F.col("p_name")))
+    return pairs.weighted_jaccard(p, ["p_brand", "p_type"], "p_name", "tokens", pairs.idf(p, "p_name", "tokens"))
 
 
 @query(f"WITH {_PART} SELECT p_brand, p_type, a, b, n_shared, round(weighted_jaccard, 9) AS weighted_jaccard FROM s")
