@@ -30,6 +30,8 @@ from knotwork.session import written
 
 #: Share of the capacity over which a length is large, and the number of groups.
 LARGE, GROUPS = 0.25, 16
+#: The driver plans at most so many windows, and as many lengths as their capacities together.
+MOST_WINDOWS, MOST_LENGTHS = 100, 1 << 21
 #: Partitions in which items of one length are ranked.
 RANKED = 64
 
@@ -195,58 +197,71 @@ def packed(counted: DataFrame, windows: DataFrame, key: str = "doc_id", tokens:
     """``window_name, container, <key>, first_token, n_tokens``: every placed piece of every document.
 
     ``counted`` has the size of each document, ``windows`` the name and capacity of each window (at
-    most 1,000 rows are read; more are an error). A document over the capacity is split into full
+    most ``MOST_WINDOWS`` windows and ``MOST_LENGTHS`` tokens of capacity in all; more are an error). A document over the capacity is split into full
     pieces, each alone in a container, and its rest, which is packed like any other document; no
     other is split. Every token is placed once, documents without tokens (null or 0) nowhere.
     Rows of one key are items of their own. Containers are numbered from 0 per window: first the
     planned ones, then the full pieces. Without documents there are no rows; a null or
     non-positive capacity is an error.
     """
-    caps = windows.select("window_name", "capacity").distinct().limit(1001).collect()
-    if len(caps) > 1000 or any(not r.capacity or r.capacity < 1 for r in caps):
-        raise ValueError("at most 1,000 windows, each with a positive capacity")
+    caps = windows.select("window_name", "capacity").distinct().limit(MOST_WINDOWS + 1).collect()
+    if len(caps) > MOST_WINDOWS or any(not r.capacity or r.capacity < 1 for r in caps) or sum(r.capacity for r in caps) > MOST_LENGTHS:
+        raise ValueError("too many windows, too large capacities or none")
+    if len({r.window_name for r in caps}) < len(caps):
+        raise ValueError("a window with two capacities")
+    caps = sorted(caps, key=lambda r: r.window_name or "")
     items = written(counted.filter(F.col(tokens) > 0).select(F.col(key).alias("key_"), F.col(tokens).cast("long").alias("size")), "sizes")
-    out = None
-    for w in sorted(caps, key=lambda r: (r.capacity, r.window_name)):
-        one = _window(items, w.window_name, w.capacity, large, groups).withColumnRenamed("key_", key)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return items.limit(0).select(F.lit("").alias("window_name"), F.lit(0).cast("long").alias("container"), F.col("key_").alias(key), F.lit(0).cast("long").alias("first_token"), F.col("size").alias("n_tokens"))
-    return out
+    window = F.explode(F.array(*(F.struct(F.lit(i).alias("w"), F.lit(r.capacity).cast("long").alias("cap")) for i, r in enumerate(caps)))) if caps else None
+    names = F.array(*(F.lit(r.window_name) for r in caps)) if caps else F.array(F.lit(""))
+    cols = [names[F.col("w")].alias("window_name"), "container", F.col("key_").alias(key), "first_token", "n_tokens"]
+    if not caps:
+        null = F.lit(0).cast("long")
+        return items.limit(0).select(F.lit(0).alias("w"), null.alias("container"), "key_", null.alias("first_token"), null.alias("n_tokens")).select(*cols)
+
+    each = items.select("key_", "size", window.alias("x")).select("key_", "size", "x.w", "x.cap")
+    rest = F.when(F.col("size") <= F.col("cap"), F.col("size")).otherwise(F.pmod("size", "cap"))
+    split = each.select("key_", "w", (F.col("size") - rest).alias("first_token"), rest.alias("n")).filter("n > 0")
+    table = split.groupBy("w", "n").agg(F.count("*").alias("c")).collect()  # at most the sum of the capacities
+    made = []
+    for i, r in enumerate(caps):
+        own = sorted((t.n, t.c) for t in table if t.w == i)
+        made.append(plan(r.capacity, np.array([t[0] for t in own], np.int64), np.array([t[1] for t in own], np.int64), large, groups))
+    looked_up = [_lookup(m) for m in made]
+    kind = items.schema["key_"].dataType.simpleString()
 
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, length, rank = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 3, 4))
+            container = np.empty(len(b), np.int64)
+            for i, (starts, first, base, each_) in enumerate(looked_up):
+                mine = np.flatnonzero(w == i)
+                if len(mine):
+                    at = np.searchsorted(starts, (length[mine] << 44) + rank[mine], side="right") - 1
+                    container[mine] = base[at] + (rank[mine] - first[at]) // each_[at]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(container), b.column(0), b.column(2), b.column(3)], ["w", "container", "key_", "first_token", "n_tokens"])
+
+    placed = _ranked(split, ["w", "n"]).select("key_", "w", "first_token", "n", "rank")
+    parts = placed.mapInArrow(look_up, f"w int, container long, key_ {kind}, first_token long, n_tokens long")
+    full = each.filter("size > cap").select("key_", "w", "cap", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / F.col("cap")) - 1)).alias("piece"))
+    planned = F.array(*(F.lit(m.next).cast("long") for m in made))
+    alone = _ranked(full, ["w"]).select(
+        "w", (planned[F.col("w")] + F.col("rank")).alias("container"), "key_", (F.col("piece") * F.col("cap")).cast("long").alias("first_token"), F.col("cap").alias("n_tokens")
+    )
+    return parts.unionByName(alone).select(*cols)
 
-def _ranked(items: DataFrame, by: str) -> DataFrame:
-    """``rank`` from 0 within equal values of ``by``: counts per value and part, then positions inside the parts."""
-    parted = items.withColumn("part", F.pmod(F.xxhash64(*items.columns), F.lit(RANKED)))
-    sums = parted.groupBy(by, "part").agg(F.count("*").alias("n_"))
-    before = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(by, "part", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy(by, "part").orderBy(*items.columns)) - 1
-    return parted.withColumn("inside", inside).join(sums, [by, "part"]).withColumn("rank", F.col("before") + F.col("inside")).drop("part", "inside", "before")
-
-
-def _window(items: DataFrame, name: str, capacity: int, large: float, groups: int) -> DataFrame:
-    rest = F.when(F.col("size") <= capacity, F.col("size")).otherwise(F.pmod("size", F.lit(capacity)))
-    split = items.select("key_", (F.col("size") - rest).alias("first_token"), rest.alias("n"))
-    table = split.filter("n > 0").groupBy("n").agg(F.count("*").alias("c")).orderBy("n").collect()  # at most ``capacity`` rows
-    made = plan(capacity, np.array([r.n for r in table], np.int64), np.array([r.c for r in table], np.int64), large, groups)
+
+def _lookup(made: Plan) -> tuple[np.ndarray, ...]:
+    """The plan's rows as sorted arrays: start (length and rank in one number), first rank, first container, items each."""
     rows = sorted(made.rows)
-    starts = np.array([(r[0] << 44) + r[1] for r in rows], np.int64)
     first, base, each = (np.array([r[i] for r in rows], np.int64) for i in (1, 3, 4))
+    return np.array([(r[0] << 44) + r[1] for r in rows], np.int64), first, base, each
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            length, rank = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-            at = np.searchsorted(starts, (length << 44) + rank, side="right") - 1
-            container = base[at] + (rank - first[at]) // each[at]
-            yield pa.RecordBatch.from_arrays([pa.array(container), b.column(0), b.column(1), b.column(2)], ["container", "key_", "first_token", "n_tokens"])
 
-    kind = items.schema["key_"].dataType.simpleString()
-    placed = _ranked(split.filter("n > 0"), "n").select("key_", "first_token", "n", "rank")
-    parts = placed.mapInArrow(look_up, f"container long, key_ {kind}, first_token long, n_tokens long")
-    full = items.filter(F.col("size") > capacity).select("key_", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / capacity) - 1)).alias("piece"))
-    full = _ranked(full.withColumn("all", F.lit(0)), "all")
-    alone = full.select(
-        (F.lit(made.next) + F.col("rank")).alias("container"), "key_", (F.col("piece") * capacity).cast("long").alias("first_token"), F.lit(capacity).cast("long").alias("n_tokens")
-    )
-    return parts.unionByName(alone).select(F.lit(name).alias("window_name"), "container", "key_", "first_token", "n_tokens")
+def _ranked(items: DataFrame, by: list[str]) -> DataFrame:
+    """``rank`` from 0 within equal values of ``by``: counts per value and part, then positions inside the parts."""
+    parted = items.withColumn("part", F.pmod(F.xxhash64(*items.columns), F.lit(RANKED)))
+    sums = parted.groupBy(*by, "part").agg(F.count("*").alias("n_"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "part", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "part").orderBy(*items.columns)) - 1
+    return parted.withColumn("inside", inside).join(sums, [*by, "part"]).withColumn("rank", F.col("before") + F.col("inside")).drop("part", "inside", "before")
