@@ -41,8 +41,8 @@ def members(pairs: DataFrame, ids: Sequence[str], lists: Sequence[str], rows: Da
 
 
 def contained(needles: DataFrame, texts: DataFrame, group: str, needle: str, text: str) -> DataFrame:
-    """Rows of both whose text holds the needle, inside a group; the smaller side is broadcast only if proven small."""
-    return texts.join(small(needles), group).filter((col(needle) != "") & F.contains(col(text), col(needle)))
+    """Rows of both whose text holds the needle, inside a group; a side is broadcast only if its source is small."""
+    return small(texts).join(small(needles), group).filter((col(needle) != "") & F.contains(col(text), col(needle)))
 
 
 def with_default(df: DataFrame, decided: DataFrame, key: str, value: str, default: Column) -> DataFrame:

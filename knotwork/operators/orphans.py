@@ -43,7 +43,7 @@ def _key(parts: Sequence[str]) -> Column:
     return F.struct(*(col(p).alias(f"p{i}") for i, p in enumerate(parts)))
 
 
-def orphans(keys: Sequence[DataFrame], slot: str = "day") -> DataFrame:
+def orphans(keys: Sequence[DataFrame], slot: str = "hour") -> DataFrame:
     """Child rows of the long-form ``keys`` whose key has no parent alive at their time.
 
     Rows are grouped by parent table, key and a slot of time. The net number of opening events in

@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import measures as M
 from knotwork.functions import text as X
-from knotwork.session import col
+from knotwork.session import col, written
 
 
 def numbered(df: DataFrame, order: Sequence[str], out: str = "no", within: Sequence[str] = ()) -> DataFrame:
     """Sequence numbers from 1 over a total order.
 
-    Without ``within`` the rows are range-partitioned by the order and counted per partition, so
-    that no task sorts them all; only the partition counts, as many as partitions, are gathered.
+    Without ``within`` the rows are range-partitioned by the order, written, and counted per
+    partition, so that no task sorts them all; only the counts, as many as partitions, are gathered.
+    The table is written because the partition bounds are sampled and must not be drawn twice.
     """
     if within:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*map(col, within)).orderBy(*map(col, order))))
     spread = df.repartitionByRange(*map(col, order)).sortWithinPartitions(*map(col, order))
-    held = spread.withColumn("part_", F.spark_partition_id()).withColumn("at_", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    at = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    held = written(spread.withColumn("part_", F.spark_partition_id()).withColumn("at_", at), "numbered")
     counts = held.groupBy("part_").agg(F.count("*").alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("part_", before.alias("before_"))
