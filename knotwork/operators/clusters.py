@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions import measures as M
-from knotwork.session import col, written
+from knotwork.session import col, discard, written
 
 
 def group_clusters(mentions: DataFrame, kind: str, key: str, member: str, name: str, order: str) -> DataFrame:
@@ -44,7 +44,8 @@ def components(edges: DataFrame, a: str, b: str, nodes: DataFrame | None = None,
     print_of = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     state = print_of(e)
     for _ in range(rounds):
-        e = written(small_star(large_star(e)), "edges")
+        before, e = e, written(small_star(large_star(e)), "edges")
+        discard(before)
         now = print_of(e)
         if tuple(now) == tuple(state):
             break

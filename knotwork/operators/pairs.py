@@ -20,7 +20,7 @@ def numbered(df: DataFrame, order: Sequence[str], out: str = "no", within: Seque
     The table is written because the partition bounds are sampled and must not be drawn twice.
     """
     if within:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*map(col, within)).orderBy(*map(col, order))))
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*map(col, within)).orderBy(*map(col, order))).cast("long"))
     spread = df.repartitionByRange(*map(col, order)).sortWithinPartitions(*map(col, order))
     at = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     held = written(spread.withColumn("part_", F.spark_partition_id()).withColumn("at_", at), "numbered")
@@ -93,7 +93,7 @@ def weighted_jaccard(objects: DataFrame, block: Sequence[str], key: str, tokens:
 def ranked(df: DataFrame, score: str, ids: Sequence[str], within: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """Rank by score, highest first, ids break ties."""
     if within:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(score), *ids)))
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(score), *ids)).cast("long"))
     return numbered(df.withColumn("neg_", -F.col(score)), ["neg_", *ids], out).drop("neg_")
 
 

@@ -51,7 +51,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder, which outlives executors."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._knotwork_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by :func:`written`, once everything that reads it has been written itself."""
+    path = getattr(df, "_knotwork_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this library left in the shared folder; results not yet read are lost."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in fs.listStatus(root) if fs.exists(root) else []:
+        if s.getPath().getName().startswith("knotwork_"):
+            fs.delete(s.getPath(), True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -407,3 +407,18 @@ def test_reviewed_explanations(spark):
     df = spark.createDataFrame(rows, "claims array<struct<claim_id:string,support_label:string>>, faithfulness struct<relation_faithful:boolean,direction_faithful:boolean,endpoint_faithful:boolean,evidence_faithful:boolean>, learning_value_scores struct<clarity:int>")
     m = metrics.explanation_metrics(df).first()
     assert (m.n_claims, m.unsupported_rate, m.pass_rate, m.mean_clarity) == (3, 1 / 3, 0.5, 4.0)
+
+
+def test_shared_tables_are_cleaned(spark):
+    import os
+
+    from knotwork.session import clean, discard, shared_dir, written
+
+    root = shared_dir(spark).removeprefix("file://")
+    df = written(spark.range(3), "some")
+    assert df.count() == 3 and any(n.startswith("knotwork_some") for n in os.listdir(root))
+    discard(df)
+    assert not any(n.startswith("knotwork_some") for n in os.listdir(root))
+    written(spark.range(3), "more")
+    clean(spark)
+    assert not any(n.startswith("knotwork_") for n in os.listdir(root))
