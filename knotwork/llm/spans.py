@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.session import BROADCAST_BYTES, written
+from knotwork.session import BROADCAST_BYTES, discard, written
 
 CHUNKS = "anchor long, digest long, id long, lo int, n int"
 #: Code points that a worker holds at a time; longer texts are taken in overlapping slices.
@@ -201,11 +201,12 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 160, context:
     """
     if length < context or context not in (2, 4, 8, 16, 32, 64):
         raise ValueError("context must be a power of two up to 64, at most length")
-    spark = df.sparkSession
     every = written(chunks(df, key, text, length, context), "chunks")
     met = every.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("anchor")
     met, counted = _counted(met, "anchors", 8)
     common = written(every.join(met if not counted else F.broadcast(met), "anchor"), "common")
+    discard(every)
+    discard(met)
     kinds = common.groupBy("anchor", "digest").agg(
         F.min("id").alias("first"), F.max("id").alias("last"), F.min(F.struct("id", "lo", "n")).alias("at")
     )
@@ -217,6 +218,7 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 160, context:
     wanted, counted = _counted(wanted.groupBy("id_").agg(F.collect_list("w").alias("wanted")), "wanted", 8 + 4 * 52)
     texts = df.select(F.col(key).cast("long").alias("id_"), F.col(text).alias("text_")).join(wanted if not counted else F.broadcast(wanted), "id_")
     hashed = written(window_hashes(texts.dropDuplicates(["id_"]) if not counted else texts, "text_", length), "windows")
+    discard(wanted)
     sizes = hashed.groupBy("anchor").agg(F.count("*").alias("kinds"))
     hashed = hashed.dropDuplicates(["anchor", "digest"]).join(sizes, "anchor")
     member = F.struct("digest", "first", "last", "hashes")
