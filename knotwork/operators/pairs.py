@@ -73,7 +73,7 @@ def weighted_jaccard(objects: DataFrame, block: Sequence[str], key: str, tokens:
     An inverted index per block: only pairs that meet at a token are made, each with the summed
     weight of the shared tokens; the union's weight is the two totals less the shared one. Pairs
     without a shared token have 0 and are not made. Rounded to 12 digits, so that ranks do not
-    depend on the order of summing.
+    depend on the order of summing. The index is written once, as both sides of the join read it.
     """
     taken = {"a", "b", "n_shared", "weighted_jaccard"} & set(block)
     if taken:
@@ -81,8 +81,7 @@ def weighted_jaccard(objects: DataFrame, block: Sequence[str], key: str, tokens:
     bs = [f"block_{i}" for i in range(len(block))]
     posted = objects.select(*(col(c).alias(n) for c, n in zip(block, bs, strict=True)), col(key).alias("a"), F.explode(F.array_distinct(col(tokens))).alias("token"))
     posted = posted.join(weights.select("token", "idf"), "token")
-    total = posted.groupBy(*bs, "a").agg(F.sum("idf").alias("wa"))
-    posted = posted.join(total, [*bs, "a"])
+    posted = written(posted.withColumn("wa", F.sum("idf").over(Window.partitionBy(*bs, "a"))), "posted")
     other = posted.select(*bs, "token", F.col("a").alias("b"), F.col("wa").alias("wb"))
     met = posted.join(other, [*bs, "token"]).filter("a < b")
     shared = met.groupBy(*bs, "a", "b").agg(F.count("*").alias("n_shared"), F.sum("idf").alias("ws"), F.first("wa").alias("wa"), F.first("wb").alias("wb"))
@@ -99,9 +98,9 @@ def ranked(df: DataFrame, score: str, ids: Sequence[str], within: Sequence[str]
 
 def top_fraction(df: DataFrame, fraction: float, within: Sequence[str], rank: str = "rank") -> DataFrame:
     """The first max(1, floor(n * fraction)) ranks of each group."""
-    n = df.groupBy(*within).agg(F.count("*").alias("n_"))
-    keep = F.greatest(F.lit(1), F.floor(F.col("n_") * F.lit(fraction)))
-    return df.join(n, list(within)).filter(F.col(rank) <= keep).drop("n_")
+    n = F.count("*").over(Window.partitionBy(*within))  # of the partitioning that the ranks already have
+    keep = F.greatest(F.lit(1), F.floor(n * F.lit(fraction)))
+    return df.withColumn("keep_", keep).filter(F.col(rank) <= F.col("keep_")).drop("keep_")
 
 
 def rule_reasons(distance: Column, shared_words: Column, shared_symbols: Column, cue: Column, max_distance: int = 1, min_words: int = 1, min_symbols: int = 1) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.operators import compact, diff, drift, nested, orphans
-from knotwork.session import fresh_dir, table
+from knotwork.session import fresh_dir, table, wide_table
 
 RELATION_FIELDS = ["source.lecture_id", "source.ko_id", "target.lecture_id", "target.ko_id", "relation_type", "evidence_spans", "rationale"]
 CONNECTION_FIELDS = ["source_canonical_ko_id", "target_canonical_ko_id", "relation_type", "evidence_ids", "rationale"]
@@ -32,7 +32,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def _store(spark: SparkSession, d: str) -> compact.Store:
     """All raw files taken into a new store; well-sized is 16 MB here, as the largest test data are a few hundred MB."""
     store = compact.Store(spark, fresh_dir(spark, "compact"), target_bytes=16 << 20, fan_in=64)
-    store.add(table(spark, d, "raw_files"))
+    store.add(wide_table(spark, d, "raw_files"))
     return store
 
 
@@ -52,7 +52,7 @@ def p2_journal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drift(spark: SparkSession, d: str):
-    files, contracts = table(spark, d, "raw_files"), drift.contracts_from(table(spark, d, "schema_fields"))
+    files, contracts = wide_table(spark, d, "raw_files"), drift.contracts_from(table(spark, d, "schema_fields"))
     return files, contracts, *drift.infer(files, contracts)
 
 

@@ -81,6 +81,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row: one of fewer splits than cores is spread over all of them.
+
+    Only a table of a few splits is moved; one with a split per core or more is scanned as it lies.
+    """
+    scan, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def col(name: str) -> Column:
     """A column by its dotted path; each step is quoted, so odd names do not parse as SQL."""
     return F.col(".".join(f"`{p}`" for p in name.split(".")))
