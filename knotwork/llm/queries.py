@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm import encode, look, pack, spans
-from knotwork.session import table
+from knotwork.session import table, wide_table
 
 MIN_SHARED = 160
 
@@ -31,11 +31,11 @@ def p6_lectures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encoded(table(spark, d, "documents"), "doc_id", "text")
+    return encode.encoded(wide_table(spark, d, "documents"), "doc_id", "text")
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
-    counted = encode.token_counts(table(spark, d, "documents"), "doc_id", "text")
+    counted = encode.token_counts(wide_table(spark, d, "documents"), "doc_id", "text")
     return pack.packed(counted, table(spark, d, "context_windows"))
 
 
@@ -48,7 +48,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    found = spans.shared_spans(table(spark, d, "documents"), "doc_id", "text", MIN_SHARED)
+    found = spans.shared_spans(wide_table(spark, d, "documents"), "doc_id", "text", MIN_SHARED)
     return found.select(F.col("id").alias("doc_id"), "span_start", "span_end")
 
 
