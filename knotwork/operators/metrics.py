@@ -71,11 +71,15 @@ def confusion(df: DataFrame, gold: str, predicted: str, labels: Sequence[str] =
 
 def per_class(matrix: DataFrame) -> DataFrame:
     """Precision, recall and F1 per class of a confusion table: F1 is null without support, else 0 where undefined."""
-    rows = matrix.groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
-    cols = matrix.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("n_predicted"))
+    n, none = F.col("n"), F.lit(0).cast("long")
+    hit = F.when(F.col("gold") == F.col("predicted"), n).otherwise(none)
+    as_gold = F.struct(F.col("gold").alias("label"), n.alias("support"), none.alias("n_predicted"), hit.alias("tp"))
+    as_predicted = F.struct(F.col("predicted").alias("label"), none.alias("support"), n.alias("n_predicted"), none.alias("tp"))
+    both = matrix.select(F.explode(F.array(as_gold, as_predicted)).alias("x")).select("x.*")
+    sums = both.groupBy("label").agg(*(F.sum(c).alias(c) for c in ("support", "n_predicted", "tp")))
     p, r = M.ratio(F.col("tp"), F.col("n_predicted")), M.ratio(F.col("tp"), F.col("support"))
     score = F.when(F.col("support") > 0, F.coalesce(M.f1(p, r), F.lit(0.0)))
-    return rows.join(cols, "label").select("label", "support", "n_predicted", "tp", p.alias("precision"), r.alias("recall"), score.alias("f1"))
+    return sums.select("label", "support", "n_predicted", "tp", p.alias("precision"), r.alias("recall"), score.alias("f1"))
 
 
 def macro_f1(classes: DataFrame) -> DataFrame:
