@@ -18,6 +18,22 @@ def _copies(table: str, key: str, fields: list[str]) -> str:
     return " UNION ALL ".join([sides, *cells])
 
 
+def _valued(table: str, key: str, fields: list[str]) -> str:
+    """The same with both sides' values, arrays as JSON."""
+    a, b = _latest(table, key), _latest(f"{table}_copy", key)
+    sides = f"""
+        SELECT '{table}' AS table_name, coalesce(a.{key}, b.{key}) AS record_id, CASE WHEN b.{key} IS NULL THEN 'only_first' ELSE 'only_second' END AS difference,
+            CAST(NULL AS VARCHAR) AS first_value, CAST(NULL AS VARCHAR) AS second_value
+        FROM {a} a FULL JOIN {b} b ON a.{key} = b.{key} WHERE a.{key} IS NULL OR b.{key} IS NULL"""
+    show = lambda f: "CAST(to_json({0}.%s) AS VARCHAR)" % f if f.startswith("evidence") else "{0}.%s" % f  # noqa: E731, UP031
+    cells = [
+        f"SELECT '{table}', a.{key}, '{f}', CASE WHEN a.{f} IS NULL THEN NULL ELSE {show(f).format('a')} END, CASE WHEN b.{f} IS NULL THEN NULL ELSE {show(f).format('b')} END "
+        f"FROM {a} a JOIN {b} b ON a.{key} = b.{key} WHERE a.{f} IS DISTINCT FROM b.{f}"
+        for f in fields
+    ]
+    return " UNION ALL ".join([sides, *cells])
+
+
 _RELATION = ["source.lecture_id", "source.ko_id", "target.lecture_id", "target.ko_id", "relation_type", "evidence_spans", "rationale"]
 _CONNECTION = ["source_canonical_ko_id", "target_canonical_ko_id", "relation_type", "evidence_ids", "rationale"]
 
@@ -104,7 +120,9 @@ P5_RUNS = f"""WITH {_RUNS}
         {_GET("inputs.prompt.path")} AS prompt_path, {_GET("inputs.prompt.sha256")} AS prompt_sha256,
         {_GET("inputs.candidate_bundle.path")} AS bundle_path, {_GET("inputs.candidate_bundle.sha256")} AS bundle_sha256 FROM runs"""
 
+P1_VALUES = f"{_valued('relation_predictions', 'pair_id', _RELATION)} UNION ALL {_valued('connection_predictions', 'canonical_pair_id', _CONNECTION)}"
+
 ORACLE = {
-    "p1_found": P1, "p2_found": P2, "p4_found": P4, "p4_by_month": P4_MONTH,
+    "p1_found": P1, "p1_differences": P1_VALUES, "p2_found": P2, "p4_found": P4, "p4_by_month": P4_MONTH,
     "p5_found": P5, "p5_runs": P5_RUNS, "p5_results": P5_RESULTS, "p5_evidence_spans": P5_SPANS, "p5_attempts": P5_ATTEMPTS, "p5_attempt_errors": P5_ERRORS,
 }
