@@ -114,38 +114,52 @@ def rule_reasons(distance: Column, shared_words: Column, shared_symbols: Column,
     })
 
 
-def identity_candidates(mentions: DataFrame, block: str, key: str, kind: str, name: str, spans: str | None = None, aliases: DataFrame | None = None) -> DataFrame:
+IDENTITY_REASONS = ("exact_normalized_name", "frozen_alias_identity", "name_token_equivalence", "initialism_name_match", "name_token_containment", "exact_source_span")
+
+
+def identity_candidates(mentions: DataFrame, block: str | None, key: str, kind: str, name: str, spans: str | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """Pairs of mentions of one type that may name one object, with all reasons in fixed order.
 
-    Reasons are found through keys, never by comparing all pairs of a type: equal name, equal alias
-    key, equal word sequence, initials, one name's words inside the other's (blocked by a shared
-    word inside ``block``), a shared span. ``aliases`` maps ``alias`` keys to ``alias_key``.
+    Without ``block`` all mentions are compared, and ``key`` must be unique over them; with it only
+    those of one block. Reasons are found through keys, never by comparing all pairs of a type, and
+    those of names between distinct names, of which the mentions' pairs are then made: equal alias
+    key, equal word sequence, initials, one name's words inside the other's (met at the rarest word
+    of the shorter one), equal name; and a shared span. ``aliases`` maps ``alias`` keys to
+    ``alias_key``, of one type only where it has a column ``type``.
     """
-    base = mentions.select(col(block).alias("block"), col(key).alias("id"), col(kind).alias("type"), X.name_key_native(col(name)).alias("name"), (col(spans) if spans else F.array().cast("array<string>")).alias("spans"))
-    base = base.dropna(subset=["block", "id", "type", "name"]).dropDuplicates(["block", "id"])
-    base = base.withColumn("words", X.name_words(F.col("name"))).withColumn("initials", X.initials(F.col("words")))
+    base = mentions.select((col(block) if block else F.lit("")).alias("block"), col(key).alias("id"), col(kind).alias("type"), X.name_key_native(col(name)).alias("name"), (col(spans) if spans else F.array().cast("array<string>")).alias("spans"))
+    base = written(base.dropna(subset=["block", "id", "type", "name"]).dropDuplicates(["block", "id"]), "mentions")
+    c, group = F.col, ["block", "type"]
+    names = base.select(*group, "name").distinct().withColumn("words", X.name_words(c("name"))).withColumn("initials", X.initials(c("words")))
     if aliases is not None:
-        base = base.join(aliases.select(F.col("alias").alias("name"), "alias_key"), "name", "left").withColumn("alias_key", F.coalesce("alias_key", "name"))
+        typed = [x for x in ("type",) if x in aliases.columns]
+        names = names.join(aliases.select(*typed, c("alias").alias("name"), "alias_key"), ["name", *typed], "left").withColumn("alias_key", F.coalesce("alias_key", "name"))
     else:
-        base = base.withColumn("alias_key", F.col("name"))
+        names = names.withColumn("alias_key", c("name"))
+    names = written(names.select(*group, "name", "words", "initials", "alias_key"), "names")
+    each = names.select(*group, "name", F.explode(F.array_distinct("words")).alias("word"))
+    rare = each.join(each.groupBy(*group, "word").agg(F.count("*").alias("n")), [*group, "word"]).groupBy(*group, "name").agg(F.min(F.struct("n", "word")).alias("r"))
     tagged = lambda t, v: F.concat(F.lit(t), v)
-    keys = F.array_distinct(F.flatten(F.array(
-        F.transform("words", lambda w: tagged("w:", w)), F.array(tagged("w:", F.col("initials")), tagged("a:", F.col("alias_key")), tagged("n:", F.col("name"))),
-        F.transform(F.filter(F.coalesce("spans", F.array()), lambda s: s.isNotNull()), lambda s: tagged("s:", F.sha2(s, 256))),
-    )))
-    posted = base.select("block", "type", F.explode(keys).alias("met"), "id")
-    met = posted.join(posted.withColumnRenamed("id", "id_b"), ["block", "type", "met"]).filter("id < id_b").select("block", F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
-    side = lambda s: base.select("block", F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("name", "alias_key", "words", "initials", "spans")))
-    pairs = met.join(side("a"), ["block", "a"]).join(side("b"), ["block", "b"])
-    c = F.col
-    short = lambda x, y: (F.size(c(f"words_{x}")) == 1) & (F.length(c(f"words_{x}")[0]) >= 2) & (c(f"words_{x}")[0] == c(f"initials_{y}"))
+    equal = [tagged("a:", c("alias_key")), tagged("e:", F.array_join("words", " "))]
+    posted = names.select(*group, c("name").alias("name_b"), F.explode(F.concat(F.transform(F.array_distinct("words"), lambda w: tagged("w:", w)), F.array(tagged("i:", c("initials")), *equal))).alias("met"))
+    sought = F.array(tagged("w:", c("r.word")), F.when((F.size("words") == 1) & (F.length(F.get("words", F.lit(0))) >= 2), tagged("i:", F.get("words", F.lit(0)))), *equal)
+    sought = names.join(rare, [*group, "name"], "left").select(*group, c("name").alias("name_a"), F.explode(F.filter(sought, lambda k: k.isNotNull())).alias("met"))
+    met = sought.join(posted, [*group, "met"]).filter("name_a <> name_b").select(*group, F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b")).distinct()
+    side = lambda s: names.select(*group, *(c(x).alias(f"{x}_{s}") for x in ("name", "alias_key", "words", "initials")))
+    short = lambda x, y: (F.size(c(f"words_{x}")) == 1) & (F.length(F.get(c(f"words_{x}"), F.lit(0))) >= 2) & (F.get(c(f"words_{x}"), F.lit(0)) == c(f"initials_{y}"))
     some = (F.size("words_a") > 0) & (F.size("words_b") > 0)
-    reasons = M.all_true({
-        "exact_normalized_name": c("name_a") == c("name_b"),
-        "frozen_alias_identity": (c("alias_key_a") == c("alias_key_b")) & (c("name_a") != c("name_b")),
-        "name_token_equivalence": (c("words_a") == c("words_b")) & (c("name_a") != c("name_b")),
-        "initialism_name_match": short("a", "b") | short("b", "a"),
-        "name_token_containment": some & (X.proper_subset(c("words_a"), c("words_b")) | X.proper_subset(c("words_b"), c("words_a"))),
-        "exact_source_span": F.coalesce(F.arrays_overlap("spans_a", "spans_b"), F.lit(False)),
-    })
-    return pairs.select("block", "a", "b", reasons.alias("reasons")).filter(F.size("reasons") > 0)
+    bit = lambda flag, reason: F.when(flag, 1 << IDENTITY_REASONS.index(reason)).otherwise(0)
+    bits = (
+        bit(c("alias_key_a") == c("alias_key_b"), "frozen_alias_identity").bitwiseOR(bit(c("words_a") == c("words_b"), "name_token_equivalence"))
+        .bitwiseOR(bit(short("a", "b") | short("b", "a"), "initialism_name_match"))
+        .bitwiseOR(bit(some & (X.proper_subset(c("words_a"), c("words_b")) | X.proper_subset(c("words_b"), c("words_a"))), "name_token_containment"))
+    )
+    alike = met.join(side("a"), [*group, "name_a"]).join(side("b"), [*group, "name_b"]).select(*group, "name_a", "name_b", bits.alias("bits")).filter("bits > 0")
+    own = lambda s: base.select(*group, c("name").alias(f"name_{s}"), c("id").alias(f"id_{s}"))
+    differ = alike.join(own("a"), [*group, "name_a"]).join(own("b"), [*group, "name_b"]).select("block", "id_a", "id_b", "bits")
+    same = own("a").join(own("b").withColumnRenamed("name_b", "name_a"), [*group, "name_a"]).filter("id_a < id_b").select("block", "id_a", "id_b", F.lit(1).alias("bits"))
+    held = lambda s: base.select(*group, c("id").alias(f"id_{s}"), F.explode(F.array_distinct(F.filter("spans", lambda x: x.isNotNull()))).alias("span"))
+    cited = held("a").withColumn("span", F.sha2("span", 256)).join(held("b").withColumn("span", F.sha2("span", 256)), [*group, "span"]).filter("id_a < id_b").select("block", "id_a", "id_b", F.lit(1 << 5).alias("bits")).distinct()
+    found = differ.unionByName(same).unionByName(cited).groupBy("block", F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(F.bit_or("bits").alias("bits"))
+    reasons = F.filter(F.array(*(F.when(c("bits").bitwiseAND(1 << i) > 0, r) for i, r in enumerate(IDENTITY_REASONS))), lambda r: r.isNotNull())
+    return found.select(*(["block"] if block else []), "a", "b", reasons.alias("reasons"))

@@ -92,6 +92,26 @@ def identity_candidates(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("reasons", F.array_join("reasons", ","))
 
 
+_PLAIN = "replace(replace({0}, 'ï', 'i'), 'ö', 'o')"
+_REASONS_ALL = f"""array_to_string(list_filter([
+    CASE WHEN a.key = b.key THEN 'exact_normalized_name' END,
+    CASE WHEN {_PLAIN.format('a.key')} = {_PLAIN.format('b.key')} AND a.key <> b.key THEN 'frozen_alias_identity' END,
+    CASE WHEN a.w = b.w AND a.key <> b.key THEN 'name_token_equivalence' END,
+    CASE WHEN {_INI.format('a.w', 'b.w')} OR {_INI.format('b.w', 'a.w')} THEN 'initialism_name_match' END,
+    CASE WHEN {_SUB.format('a.w', 'b.w')} OR {_SUB.format('b.w', 'a.w')} THEN 'name_token_containment' END,
+    CASE WHEN list_has_any(a.spans, b.spans) THEN 'exact_source_span' END], lambda x: x IS NOT NULL), ',')"""
+
+
+@query(f"""WITH m AS (SELECT *, {_ORD} AS w FROM (SELECT *, lecture_id || '::' || predicted_ko_id AS id, {NAME_KEY.format('name')} AS key FROM {KO} WHERE type IS NOT NULL AND name IS NOT NULL))
+    SELECT * FROM (SELECT a.id AS a, b.id AS b, {_REASONS_ALL} AS reasons FROM m a JOIN m b ON a.type = b.type AND a.id < b.id) WHERE reasons <> ''""")
+def identity_candidates_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over all lectures; names with a diaeresis are aliases of the plain ones, as in :func:`alias_clusters`."""
+    k = objects(spark, d).withColumn("id", M.ref_label(F.col("lecture_id"), F.col("predicted_ko_id")))
+    own = k.select(X.name_key_native(F.col("name")).alias("alias")).distinct()
+    aliases = own.withColumn("alias_key", F.translate("alias", "ïö", "io")).filter("alias <> alias_key")
+    return pairs.identity_candidates(k, None, "id", "type", "name", "spans", aliases).withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("""SELECT a.s_nationkey AS "group", a.s_suppkey AS a, b.s_suppkey AS b, 'all_pairs' AS reason,
     'cand_' || left(sha256('connection_pair_v0.1|' || least(CAST(a.s_suppkey AS VARCHAR), CAST(b.s_suppkey AS VARCHAR)) || '|' || greatest(CAST(a.s_suppkey AS VARCHAR), CAST(b.s_suppkey AS VARCHAR))), 16) AS pair_id
     FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey""")

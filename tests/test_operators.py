@@ -119,6 +119,18 @@ def test_identity_reasons(spark):
     }
 
 
+def test_identity_over_all_lectures(spark):
+    rows = [("l::1", "Concept", "Naïve Bayes", ["s1"]), ("m::1", "Concept", "naive bayes", []), ("m::2", "Concept", "NAIVE BAYES", None), ("n::1", "Concept", "NB", ["s2"]), ("n::2", "Method", "naive bayes", ["s1"]), ("o::1", "Concept", "bayes", ["s1", "s2"]), ("p::1", "Concept", "++", []), ("q::1", "Concept", "--", [])]
+    df = spark.createDataFrame(rows, "id string, t string, n string, s array<string>")
+    aliases = spark.createDataFrame([("naïve bayes", "naive bayes", "Concept"), ("nb", "naive bayes", "Method")], "alias string, alias_key string, type string")
+    found = pairs.identity_candidates(df, None, "id", "t", "n", "s", aliases)
+    assert found.columns == ["a", "b", "reasons"]
+    assert {(r.a, r.b): r.reasons for r in found.collect()} == {
+        ("m::1", "m::2"): ["exact_normalized_name"], ("l::1", "m::1"): ["frozen_alias_identity"], ("l::1", "m::2"): ["frozen_alias_identity"], ("m::1", "n::1"): ["initialism_name_match"], ("m::2", "n::1"): ["initialism_name_match"],
+        ("l::1", "o::1"): ["name_token_containment", "exact_source_span"], ("m::1", "o::1"): ["name_token_containment"], ("m::2", "o::1"): ["name_token_containment"], ("n::1", "o::1"): ["exact_source_span"], ("p::1", "q::1"): ["name_token_equivalence"],
+    }
+
+
 def test_rule_reasons(spark):
     df = spark.createDataFrame([(1, 0, 0, False), (2, 1, 0, None), (None, 0, 2, True), (None, 0, 0, False)], "d int, w int, s int, c boolean")
     assert [r[0] for r in df.select(pairs.rule_reasons(F.col("d"), F.col("w"), F.col("s"), F.col("c"))).collect()] == [["source_proximity"], ["lexical_overlap"], ["symbol_overlap", "explicit_reference"], []]
