@@ -103,6 +103,24 @@ def top_fraction(df: DataFrame, fraction: float, within: Sequence[str], rank: st
     return df.withColumn("keep_", keep).filter(F.col(rank) <= F.col("keep_")).drop("keep_")
 
 
+def retained(objects: DataFrame, block: Sequence[str], key: str, scored: DataFrame, fraction: float, score: str = "weighted_jaccard", kind: str | None = None, bonus: float = 0.03, digits: int = 9) -> DataFrame:
+    """``*block, a, b, n_shared, score, rank`` of the first max(1, floor(n * fraction)) of all n pairs of a block.
+
+    ``scored`` has the pairs that share a token; all others of the block follow with 0, ties in the
+    order of the ids. Pairs whose ``kind`` differs get ``bonus`` on top. By definition it makes
+    n(n-1)/2 rows per block, so blocks must be of bounded size.
+    """
+    bs = [f"block_{i}" for i in range(len(block))]
+    one = objects.select(*(col(c).alias(n) for c, n in zip(block, bs, strict=True)), col(key).alias("a"), (col(kind) if kind else F.lit(None)).alias("kind_a")).dropna(subset=[*bs, "a"]).dropDuplicates([*bs, "a"])
+    every = one.join(one.withColumnsRenamed({"a": "b", "kind_a": "kind_b"}), bs).filter("a < b")
+    n = universe_counts(one.withColumn("group_", F.struct(*bs)), "group_", "a").select("group.*", F.greatest(F.lit(1), F.floor(F.col("n_pairs") * F.lit(fraction))).alias("keep_"))
+    known = scored.select(*(col(c).alias(n_) for c, n_ in zip(block, bs, strict=True)), "a", "b", "n_shared", F.col(score).alias("score"))
+    extra = F.when(~F.col("kind_a").eqNullSafe(F.col("kind_b")), F.lit(bonus)).otherwise(F.lit(0.0))
+    pairs = every.join(known, [*bs, "a", "b"], "left").select(*bs, "a", "b", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"), F.round(F.coalesce("score", F.lit(0.0)) + extra, digits).alias("score"))
+    kept = ranked(pairs, "score", ["a", "b"], bs).join(n, bs).filter("rank <= keep_")
+    return kept.select(*(F.col(n_).alias(c) for c, n_ in zip(block, bs, strict=True)), "a", "b", "n_shared", "score", "rank")
+
+
 def rule_reasons(distance: Column, shared_words: Column, shared_symbols: Column, cue: Column, max_distance: int = 1, min_words: int = 1, min_symbols: int = 1) -> Column:
     """Why a pair is a candidate, in fixed order; an empty array is no candidate.
 

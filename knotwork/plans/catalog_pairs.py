@@ -188,11 +188,22 @@ def weighted_jaccard(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_PART}, r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY round(weighted_jaccard, 9) DESC, a, b) AS rank, count(*) OVER (PARTITION BY p_brand, p_type) AS n FROM s)
     SELECT p_brand, p_type, a, b, n_shared, round(weighted_jaccard, 9) AS weighted_jaccard, rank FROM r WHERE rank <= greatest(1, CAST(floor(n * 0.8) AS BIGINT))""")
 def topk_retention(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: candidate pairs inside a block, ranked by weighted overlap, the top four fifths kept."""
+    """Pairs of a block that share a token, ranked by weighted overlap, the top four fifths of them kept."""
     s = pairs.ranked(weighted_jaccard(spark, d), "weighted_jaccard", ["a", "b"], ["p_brand", "p_type"])
     return pairs.top_fraction(s, 0.8, ["p_brand", "p_type"])
 
 
+@query(f"""WITH {_PART}, e AS (SELECT a.p_brand, a.p_type, a.p_name AS a, b.p_name AS b FROM o a JOIN o b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_name < b.p_name),
+    f AS (SELECT e.*, coalesce(n_shared, 0) AS n_shared, round(coalesce(weighted_jaccard, 0), 9) AS weighted_jaccard FROM e LEFT JOIN s USING (p_brand, p_type, a, b)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY weighted_jaccard DESC, a, b) AS rank, count(*) OVER (PARTITION BY p_brand, p_type) AS n FROM f)
+    SELECT p_brand, p_type, a, b, n_shared, weighted_jaccard, rank FROM r WHERE rank <= greatest(1, CAST(floor(n * 0.8) AS BIGINT))""")
+def topk_retention_all(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: all candidate pairs of a block, ranked by weighted overlap, the top four fifths of the block's universe kept."""
+    p = table(spark, d, "part").select("p_brand", "p_type", "p_name").distinct()
+    kept = pairs.retained(p, ["p_brand", "p_type"], "p_name", _part_scores(spark, d), 0.8)
+    return kept.withColumnRenamed("score", "weighted_jaccard")
+
+
 @query(f"""WITH o AS (SELECT k, l, {_NOUN} AS noun, {TOKENS.format('k')} AS t FROM {_CANON}), w AS {_IDF},
     s AS (SELECT a.noun, a.k AS a, b.k AS b, CASE WHEN list_has_any(a.l, b.l) THEN 1.0 ELSE 0.0 END AS bonus,
         round((SELECT sum(idf) FROM w WHERE list_contains(list_intersect(a.t, b.t), token)) / (SELECT sum(idf) FROM w WHERE list_contains(list_concat(a.t, b.t), token)), 12) AS wj

@@ -109,6 +109,16 @@ def test_rank_and_retention(spark):
     assert pairs.top_fraction(r.filter("id = 2"), 0.1, ["g"]).count() == 1
 
 
+def test_retained_is_a_share_of_all_pairs(spark):
+    rows = [("g", k, t, kind) for k, t, kind in [("a", ["x"], "C"), ("b", ["x"], "C"), ("c", ["y"], "M"), ("d", [], "C"), ("e", [], None)]] + [("h", "a", ["x"], "C"), ("h", "b", [], "C"), ("i", "a", ["x"], "C")]
+    df = spark.createDataFrame(rows, "g string, k string, t array<string>, kind string")
+    scored = pairs.weighted_jaccard(df, ["g"], "k", "t", pairs.idf(df, "k", "t"))
+    plain = pairs.retained(df, ["g"], "k", scored, 0.8)
+    assert values(plain, "g", "rank", "a", "b", "score") == [("g", i + 1, *p, 1.0 if p == "ab" else 0.0) for i, p in enumerate(("ab", "ac", "ad", "ae", "bc", "bd", "be", "cd"))] + [("h", 1, "a", "b", 0.0)]
+    bonus = pairs.retained(df, ["g"], "k", scored, 0.8, kind="kind").filter("g = 'g'")
+    assert values(bonus, "rank", "a", "b", "score") == [(i + 1, *p, 1.0 if p == "ab" else 0.0 if p == "ad" else 0.03) for i, p in enumerate(("ab", "ac", "ae", "bc", "be", "cd", "ce", "de"))]
+
+
 def test_identity_reasons(spark):
     rows = [("l", "1", "Concept", "Gradient Descent", ["s1"]), ("l", "2", "Concept", "gradient–descent", []), ("l", "3", "Concept", "GD", None), ("l", "4", "Concept", "gradient", ["s1"]), ("l", "5", "Method", "GD", []), ("l", "6", "Concept", "gradient descent", [None]), ("m", "7", "Concept", "GD", []), ("l", "8", None, "GD", []), ("l", "9", "Concept", "other", [])]
     df = spark.createDataFrame(rows, "g string, id string, t string, n string, s array<string>")
