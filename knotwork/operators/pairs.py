@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import measures as M
 from knotwork.functions import text as X
-from knotwork.session import col, written
+from knotwork.session import col, small, written
 
 
 def numbered(df: DataFrame, order: Sequence[str], out: str = "no", within: Sequence[str] = ()) -> DataFrame:
@@ -121,6 +121,52 @@ def retained(objects: DataFrame, block: Sequence[str], key: str, scored: DataFra
     return kept.select(*(F.col(n_).alias(c) for c, n_ in zip(block, bs, strict=True)), "a", "b", "n_shared", "score", "rank")
 
 
+METHODS = ("all_pairs", "overlap_bridge", "lexical_only", "hybrid_provenance_lexical")
+
+
+def connection_candidates(objects: DataFrame, key: str, lectures: str, tokens: str, method: str, fraction: float = 0.8, kind: str | None = None, bonus: float = 0.03, digits: int = 9) -> DataFrame:
+    """``a, b, stratum, score, rank``: the selection of a method from the cross-lecture universe of all objects.
+
+    ``all_pairs`` keeps every pair, ``overlap_bridge`` those that share a lecture; ``lexical_only``
+    and ``hybrid_provenance_lexical`` keep the first max(1, floor(n * fraction)) of all n eligible
+    pairs by weighted overlap, plus ``bonus`` where ``kind`` differs, the latter plus 1 where a
+    lecture is shared; pairs of score 0 follow in the order of the ids. The result is by definition
+    quadratic in the objects; ids are numbers until it is cut.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method: {method}")
+    own = objects.select(col(key).alias("k"), F.array_compact(F.array_distinct(col(lectures))).alias("l"), col(tokens).alias("t"), (col(kind) if kind else F.lit(None).cast("string")).alias("kind"))
+    o = numbered(own.dropna(subset=["k"]).filter(F.size("l") > 0).dropDuplicates(["k"]), ["k"], "n")
+    side = lambda s: o.select(F.col("n").alias(s), F.col("l").alias(f"l{s}"), F.col("kind").alias(f"kind_{s}"))
+    one_same = (F.size("la") == 1) & (F.size("lb") == 1) & (F.col("la")[0] == F.col("lb")[0])
+    pairs = side("a").crossJoin(side("b")).filter("a < b").filter(~one_same)
+    pairs = pairs.select("a", "b", F.arrays_overlap("la", "lb").alias("shared"), (~F.col("kind_a").eqNullSafe(F.col("kind_b"))).alias("differ"))
+    if method in METHODS[:2]:
+        pairs = pairs.filter("shared") if method == "overlap_bridge" else pairs
+        kept = numbered(pairs.withColumn("score", F.lit(1.0)), ["a", "b"], "rank")
+    else:
+        scored = weighted_jaccard(o, [], "n", "t", idf(o, "n", "t")).select("a", "b", "weighted_jaccard")
+        score = F.coalesce("weighted_jaccard", F.lit(0.0)) + F.when(F.col("differ"), F.lit(bonus)).otherwise(0.0)
+        if method == "hybrid_provenance_lexical":
+            score = score + F.when(F.col("shared"), 1.0).otherwise(0.0)
+        pairs = ranked(pairs.join(scored, ["a", "b"], "left").select("a", "b", "shared", F.round(score, digits).alias("score")), "score", ["a", "b"])
+        kept = pairs.crossJoin(F.broadcast(eligible_pairs(o, "l"))).filter(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n_pairs") * F.lit(fraction))))
+    name = lambda s: small(o.select(F.col("n").alias(s), F.col("k").alias(f"k{s}")))
+    stratum = F.when(F.col("shared"), "overlapping_provenance").otherwise("disjoint_provenance")
+    return kept.join(name("a"), "a").join(name("b"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"), stratum.alias("stratum"), "score", "rank")
+
+
+def eligible_pairs(objects: DataFrame, lectures: str) -> DataFrame:
+    """One row ``n_pairs``: the size of the cross-lecture universe, without making it.
+
+    All pairs less those whose objects both live in exactly one and the same lecture.
+    """
+    half = lambda n: (n * (n - 1) / 2).cast("long")
+    by = objects.groupBy(F.when(F.size(col(lectures)) == 1, col(lectures)[0]).alias("l")).agg(F.count("*").alias("n"))
+    same = F.coalesce(F.sum(F.when(F.col("l").isNotNull(), half(F.col("n")))), F.lit(0))
+    return by.agg((half(F.coalesce(F.sum("n"), F.lit(0))) - same).alias("n_pairs"))
+
+
 def rule_reasons(distance: Column, shared_words: Column, shared_symbols: Column, cue: Column, max_distance: int = 1, min_words: int = 1, min_symbols: int = 1) -> Column:
     """Why a pair is a candidate, in fixed order; an empty array is no candidate.
 

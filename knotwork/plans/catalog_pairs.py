@@ -218,6 +218,19 @@ def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
     return pairs.ranked(s.select("noun", "a", "b", score.alias("score")), "score", ["a", "b"], ["noun"])
 
 
+@query(f"""WITH o AS (SELECT k, l, ty, {TOKENS.format('k')} AS t FROM (SELECT {NAME_KEY.format('name')} AS k, min(type) AS ty, list_sort(list_distinct(list(lecture_id))) AS l FROM {KO} GROUP BY 1)), w AS {_IDF},
+    s AS (SELECT a.k AS a, b.k AS b, round((SELECT sum(idf) FROM w WHERE list_contains(list_intersect(a.t, b.t), token)) / (SELECT sum(idf) FROM w WHERE list_contains(list_concat(a.t, b.t), token)), 12) AS wj
+        FROM o a JOIN o b ON a.k < b.k AND list_has_any(a.t, b.t)),
+    e AS (SELECT a.k AS a, b.k AS b, list_has_any(a.l, b.l) AS shared, a.ty IS DISTINCT FROM b.ty AS differ FROM o a JOIN o b ON a.k < b.k WHERE NOT (len(a.l) = 1 AND len(b.l) = 1 AND a.l[1] = b.l[1])),
+    f AS (SELECT e.*, round(coalesce(wj, 0) + CASE WHEN differ THEN 0.03 ELSE 0 END + CASE WHEN shared THEN 1 ELSE 0 END, 9) AS score FROM e LEFT JOIN s USING (a, b)),
+    r AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS rank, count(*) OVER () AS n FROM f)
+    SELECT a, b, CASE WHEN shared THEN 'overlapping_provenance' ELSE 'disjoint_provenance' END AS stratum, score, rank FROM r WHERE rank <= greatest(1, CAST(floor(n * 0.8) AS BIGINT))""")
+def hybrid_rank_all(spark: SparkSession, d: str) -> DataFrame:
+    """The hybrid method over all names; a name's type is the least of its objects' types."""
+    k = objects(spark, d).groupBy(X.name_key_native(F.col("name")).alias("k")).agg(F.collect_set("lecture_id").alias("l"), F.min("type").alias("type")).withColumn("tokens", X.token_set(F.col("k")))
+    return pairs.connection_candidates(k, "k", "l", "tokens", "hybrid_provenance_lexical", kind="type")
+
+
 def _clusters(spark: SparkSession, d: str, keyed: DataFrame) -> DataFrame:
     m = keyed.withColumn("mention", M.ref_label(F.col("lecture_id"), F.col("predicted_ko_id")))
     c = clusters.group_clusters(m, "type", "key", "mention", "name", "mention")

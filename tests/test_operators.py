@@ -119,6 +119,33 @@ def test_retained_is_a_share_of_all_pairs(spark):
     assert values(bonus, "rank", "a", "b", "score") == [(i + 1, *p, 1.0 if p == "ab" else 0.0 if p == "ad" else 0.03) for i, p in enumerate(("ab", "ac", "ae", "bc", "be", "cd", "ce", "de"))]
 
 
+def test_connection_candidates_equal_brute_force(spark):
+    import math
+
+    rng = random.Random(5)
+    objects = [(f"k{i:02}", sorted({rng.choice("lmnop") for _ in range(rng.randint(1, 2))}), [rng.choice("pqrstuvw") for _ in range(rng.randint(0, 3))], rng.choice("CM")) for i in range(24)]
+    df = spark.createDataFrame(objects, "k string, l array<string>, t array<string>, kind string")
+    w = {t: math.log((len(objects) + 1) / (sum(t in o[2] for o in objects) + 1)) + 1 for t in "pqrstuvw"}
+    universe = [(a, b) for a in objects for b in objects if a[0] < b[0] and any(x != y for x in a[1] for y in b[1])]
+
+    def want(method):
+        rows = []
+        for a, b in universe:
+            both, shared = set(a[2]) | set(b[2]), bool(set(a[1]) & set(b[1]))
+            lexical = (sum(w[t] for t in set(a[2]) & set(b[2])) / sum(w[t] for t in both) if both else 0) + 0.03 * (a[3] != b[3])
+            score = {"all_pairs": 1.0, "overlap_bridge": float(shared), "lexical_only": lexical, "hybrid_provenance_lexical": lexical + shared}[method]
+            rows.append((-round(score, 9), a[0], b[0]))
+        n = {"all_pairs": len(rows), "overlap_bridge": sum(r[0] < 0 for r in rows)}.get(method, math.floor(len(rows) * 0.8))
+        return [(r[1], r[2], i, round(-r[0], 9)) for i, r in enumerate(sorted(rows)[:n], 1)]
+
+    assert pairs.eligible_pairs(df, "l").first().n_pairs == len(universe)
+    for method in pairs.METHODS:
+        got = pairs.connection_candidates(df, "k", "l", "t", method, kind="kind").orderBy("rank").collect()
+        assert [(r.a, r.b, r["rank"], round(r.score, 9)) for r in got] == want(method), method
+    with pytest.raises(ValueError):
+        pairs.connection_candidates(df, "k", "l", "t", "other")
+
+
 def test_identity_reasons(spark):
     rows = [("l", "1", "Concept", "Gradient Descent", ["s1"]), ("l", "2", "Concept", "gradient–descent", []), ("l", "3", "Concept", "GD", None), ("l", "4", "Concept", "gradient", ["s1"]), ("l", "5", "Method", "GD", []), ("l", "6", "Concept", "gradient descent", [None]), ("m", "7", "Concept", "GD", []), ("l", "8", None, "GD", []), ("l", "9", "Concept", "other", [])]
     df = spark.createDataFrame(rows, "g string, id string, t string, n string, s array<string>")
