@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import measures as M
 from knotwork.functions import text as X
-from knotwork.session import col, small, written
+from knotwork.session import SOURCE_BYTES, col, estimated_bytes, small, written
 
 
 def numbered(df: DataFrame, order: Sequence[str], out: str = "no", within: Sequence[str] = ()) -> DataFrame:
@@ -59,6 +59,39 @@ def cross_universe(objects: DataFrame, block: str, key: str, lectures: str) -> D
     return pairs.filter(~one_same).select("block", "a", "b", M.pair_id("pair_", F.col("a").cast("string"), F.col("b").cast("string")).alias("pair_id"), stratum.alias("stratum"))
 
 
+SCOPES = {"course": ("same_course_cross_lecture", "cross_course"), "topic": ("same_topic_cross_lecture", "cross_topic")}
+
+
+def scoped_universe(objects: DataFrame, key: str, lecture: str, places: DataFrame) -> DataFrame:
+    """``a, b, pair_id, stratum`` and four scope flags: the cross-lecture universe of all objects.
+
+    ``objects`` has a row per object and lecture, ``places`` one per ``lecture`` with ``course`` and
+    ``topic``; a null course or topic, or that of an unknown lecture, equals another null. A flag holds
+    if some combination of two different lectures has it; it is found from each object's courses (or
+    topics), those in which it has several lectures, and those in which it has one, not from the
+    combinations. The universe is quadratic in the objects by definition.
+    """
+    own = objects.select(col(key).alias("k"), col(lecture).alias("lecture")).dropna().distinct().join(places.select("lecture", *(F.col(c).cast("string") for c in SCOPES)), "lecture", "left")
+    o = own.groupBy("k").agg(F.collect_list("lecture").alias("l"))
+    for c in SCOPES:
+        by = own.groupBy("k", F.coalesce(c, F.lit("")).alias("c")).agg(F.count("*").alias("n"), F.min("lecture").alias("one"))
+        parts = by.groupBy("k").agg(F.collect_list("c").alias(f"{c}_all"), F.collect_list(F.when(F.col("n") > 1, F.col("c"))).alias(f"{c}_many"), F.collect_list(F.when(F.col("n") == 1, F.col("c"))).alias(f"{c}_solo"), F.collect_list(F.when(F.col("n") == 1, F.col("one"))).alias(f"{c}_at"))
+        o = o.join(parts, "k")
+    o = written(o, "objects")
+    side = lambda s: o.select(*(F.col(x).alias(f"{x}_{s}") for x in o.columns))
+    spread = o.sparkSession.sparkContext.defaultParallelism * 4
+    pairs = side("a").repartition(spread, "k_a").crossJoin(F.broadcast(side("b")) if estimated_bytes(o) <= SOURCE_BYTES else side("b")).filter("k_a < k_b")
+    one_same = (F.size("l_a") == 1) & (F.size("l_b") == 1) & (F.col("l_a")[0] == F.col("l_b")[0])
+    flags = []
+    for c, (same, cross) in SCOPES.items():
+        x = lambda n, s, c=c: F.col(f"{c}_{n}_{s}")
+        alone = F.size(F.array_intersect(x("solo", "a"), x("solo", "b"))) > F.size(F.array_intersect(x("at", "a"), x("at", "b")))
+        flags.append((F.arrays_overlap(x("many", "a"), x("all", "b")) | F.arrays_overlap(x("all", "a"), x("many", "b")) | alone).alias(same))
+        flags.append((~((F.size(x("all", "a")) == 1) & (F.size(x("all", "b")) == 1) & (x("all", "a")[0] == x("all", "b")[0]))).alias(cross))
+    stratum = F.when(F.arrays_overlap("l_a", "l_b"), "overlapping_provenance").otherwise("disjoint_provenance")
+    return pairs.filter(~one_same).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), M.pair_id("pair_", F.col("k_a").cast("string"), F.col("k_b").cast("string")).alias("pair_id"), stratum.alias("stratum"), *flags)
+
+
 def idf(objects: DataFrame, key: str, tokens: str) -> DataFrame:
     """``token, df, idf`` with idf = ln((N+1)/(df+1)) + 1 over the objects."""
     n = objects.agg(F.count("*").alias("n"))  # one row

@@ -73,6 +73,20 @@ def pair_universe_cross(spark: SparkSession, d: str) -> DataFrame:
     return pairs.cross_universe(canonical_objects(spark, d), "noun", "k", "l")
 
 
+@query(f"""WITH p AS (SELECT lecture_id, max(course_id) AS c, max(topic_id) AS t FROM lectures GROUP BY 1),
+    x AS (SELECT k, lecture_id, coalesce(c, '') AS c, coalesce(t, '') AS t FROM (SELECT DISTINCT {NAME_KEY.format('name')} AS k, lecture_id FROM {KO} WHERE lecture_id IS NOT NULL) LEFT JOIN p USING (lecture_id))
+    SELECT a.k AS a, b.k AS b, 'pair_' || left(sha256('connection_pair_v0.1|' || a.k || '|' || b.k), 16) AS pair_id,
+    CASE WHEN bool_or(a.lecture_id = b.lecture_id) THEN 'overlapping_provenance' ELSE 'disjoint_provenance' END AS stratum,
+    bool_or(a.lecture_id <> b.lecture_id AND a.c = b.c) AS same_course_cross_lecture, bool_or(a.lecture_id <> b.lecture_id AND a.c <> b.c) AS cross_course,
+    bool_or(a.lecture_id <> b.lecture_id AND a.t = b.t) AS same_topic_cross_lecture, bool_or(a.lecture_id <> b.lecture_id AND a.t <> b.t) AS cross_topic
+    FROM x a JOIN x b ON a.k < b.k GROUP BY 1, 2 HAVING bool_or(a.lecture_id <> b.lecture_id)""")
+def pair_universe_cross_all(spark: SparkSession, d: str) -> DataFrame:
+    """The universe over all names, with scope flags."""
+    k = objects(spark, d).select(X.name_key_native(F.col("name")).alias("k"), "lecture_id")
+    places = table(spark, d, "lectures").groupBy(F.col("lecture_id").alias("lecture")).agg(F.max("course_id").alias("course"), F.max("topic_id").alias("topic"))
+    return pairs.scoped_universe(k, "k", "lecture_id", places)
+
+
 _ORD = "list_filter(" + WORDS.format("key") + ", lambda x: x <> 's')"
 _SUB = "(len({0}) > 0 AND len({1}) > 0 AND list_has_all({1}, {0}) AND NOT list_has_all({0}, {1}))"
 _INI = "(len({0}) = 1 AND length({0}[1]) >= 2 AND {0}[1] = array_to_string(list_transform({1}, lambda x: left(x, 1)), ''))"

@@ -146,6 +146,21 @@ def test_connection_candidates_equal_brute_force(spark):
         pairs.connection_candidates(df, "k", "l", "t", "other")
 
 
+def test_scoped_universe_equals_brute_force(spark):
+    rng = random.Random(6)
+    places = [(f"l{i}", rng.choice(["c1", "c2", "c3", None]), rng.choice(["t1", "t2", "t3"])) for i in range(7)]
+    objects = {f"k{i:02}": sorted(rng.sample([p[0] for p in places], rng.randint(1, 3))) for i in range(30)}
+    df = spark.createDataFrame([(k, x) for k, ls in objects.items() for x in ls], "k string, l string")
+    at, want = {p[0]: p for p in places}, {}
+    for a in objects:
+        for b in objects:
+            if a < b and (combos := [(at[x], at[y]) for x in objects[a] for y in objects[b] if x != y]):
+                shared = "overlapping_provenance" if set(objects[a]) & set(objects[b]) else "disjoint_provenance"
+                want[a, b] = (shared, *(any((x[i] == y[i]) == same for x, y in combos) for i in (1, 2) for same in (True, False)))
+    got = pairs.scoped_universe(df, "k", "l", spark.createDataFrame(places, "lecture string, course string, topic string"))
+    assert {(r.a, r.b): (r.stratum, r.same_course_cross_lecture, r.cross_course, r.same_topic_cross_lecture, r.cross_topic) for r in got.collect()} == want
+
+
 def test_identity_reasons(spark):
     rows = [("l", "1", "Concept", "Gradient Descent", ["s1"]), ("l", "2", "Concept", "gradient–descent", []), ("l", "3", "Concept", "GD", None), ("l", "4", "Concept", "gradient", ["s1"]), ("l", "5", "Method", "GD", []), ("l", "6", "Concept", "gradient descent", [None]), ("m", "7", "Concept", "GD", []), ("l", "8", None, "GD", []), ("l", "9", "Concept", "other", [])]
     df = spark.createDataFrame(rows, "g string, id string, t string, n string, s array<string>")
