@@ -211,6 +211,46 @@ def rule_reasons(distance: Column, shared_words: Column, shared_symbols: Column,
     })
 
 
+#: Phrases that tie two objects named in one block, in normal form; the reference's own list is not available.
+CUES = ("also known as", "based on", "because of", "called", "compared to", "consists of", "defined as", "depends on", "derived from", "equivalent to", "follows from", "known as", "leads to", "related to", "such as")
+
+
+def rule_decisions(objects: DataFrame, blocks: DataFrame, group: str, key: str, name: str, spans: str, cues: Sequence[str] = CUES, symbols: Sequence[str] = X.SYMBOLS, max_distance: int = 1, min_words: int = 1, min_symbols: int = 1) -> DataFrame:
+    """``group, a, b, selected, reasons, exclusion_reason``: the rule filter's decision on every pair inside a group.
+
+    ``blocks`` has ``group, block_index, span``. An object stands in the blocks that hold one of its
+    spans, both in :func:`X.feature_text` form, else in those that hold its name, else nowhere. A pair
+    has an explicit reference if a block with a cue phrase names both: it is a place of the object or
+    holds all its words. The audit is quadratic inside a group by definition; the pairs of a large
+    group are spread over tasks.
+    """
+    c, ids = F.col, ["g", "id"]
+    texts = written(blocks.select(col(group).alias("g"), "block_index", X.feature_text(c("span")).alias("text")), "texts")
+    own = objects.select(col(group).alias("g"), col(key).alias("id"), col(name).alias("name"), F.coalesce(col(spans), F.array().cast("array<string>")).alias("spans")).dropna(subset=ids).dropDuplicates(ids)
+    own = written(own.select(*ids, "spans", X.feature_text(c("name")).alias("name"), X.lexical_tokens(X.name_key(c("name"))).alias("words")), "objects")
+    quoted = own.select("g", F.explode("spans").alias("s")).dropna().distinct().select("g", "s", X.feature_text(c("s")).alias("needle"))
+    held = lambda needles, n: texts.join(needles, "g").filter((c(n) != "") & F.contains("text", c(n)))
+    by_span = held(quoted, "needle").select("g", "s", "block_index").join(own.select(*ids, F.explode("spans").alias("s")), ["g", "s"]).select(*ids, "block_index").distinct()
+    by_span = written(by_span, "by_span")
+    named = own.join(by_span, ids, "left_anti").select(*ids, "name")
+    at = written(by_span.unionByName(held(named, "name").select(*ids, "block_index")), "places")
+    cued = texts.filter(F.exists(F.array(*map(F.lit, cues)).cast("array<string>"), lambda x: F.contains("text", x))).select("g", "block_index", X.words(c("text")).alias("held"))
+    said = cued.join(own.select(*ids, "words"), "g").filter(F.size(F.array_except("words", "held")) == 0).select(*ids, "block_index")
+    said = said.unionByName(at.join(cued.select("g", "block_index"), ["g", "block_index"]).select(*ids, "block_index"))
+    lists = lambda df, out: df.groupBy(*ids).agg(F.collect_set("block_index").alias(out))
+    o = own.select(*ids, "words", X.symbol_tokens(c("spans"), symbols).alias("symbols")).join(lists(at, "at"), ids, "left").join(lists(said, "said"), ids, "left")
+    o = written(o.withColumn("near", F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x - max_distance, x + max_distance))))), "features")
+    parts = 16
+    side = lambda s, salt: o.select("g", salt.alias("salt"), *(c(x).alias(f"{x}_{s}") for x in o.columns if x != "g"))
+    pairs = side("a", F.pmod(F.hash("id"), F.lit(parts))).join(side("b", F.explode(F.array(*map(F.lit, range(parts))))), ["g", "salt"]).filter("id_a < id_b")
+    near = F.when(F.arrays_overlap("near_a", "at_b"), 0).otherwise(max_distance + 1)
+    shared = lambda x: F.size(F.array_intersect(f"{x}_a", f"{x}_b"))
+    why = rule_reasons(near, shared("words"), shared("symbols"), F.arrays_overlap("said_a", "said_b"), max_distance, min_words, min_symbols)
+    pairs = pairs.select(c("g").alias(group), c("id_a").alias("a"), c("id_b").alias("b"), why.alias("reasons"))
+    some = F.size("reasons") > 0
+    return pairs.select(group, "a", "b", some.alias("selected"), "reasons", F.when(~some, "no_rule_triggered").alias("exclusion_reason"))
+
+
 IDENTITY_REASONS = ("exact_normalized_name", "frozen_alias_identity", "name_token_equivalence", "initialism_name_match", "name_token_containment", "exact_source_span")
 
 

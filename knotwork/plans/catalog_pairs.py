@@ -171,6 +171,14 @@ def rule_filtered_selection(spark: SparkSession, d: str) -> DataFrame:
     return p.select("lecture_id", "a", "b", F.array_join(why, ",").alias("reasons")).filter("reasons <> ''")
 
 
+@query()
+def rule_filtered_decisions_all(spark: SparkSession, d: str) -> DataFrame:
+    """All four rules over every pair inside a lecture, with the pairs left out; no SQL, as DuckDB has no NFKC."""
+    blocks = evidence.block_rows(lectures(spark, d), "lecture_id", "text", X.math_blocks)
+    found = pairs.rule_decisions(objects(spark, d), blocks, "lecture_id", "predicted_ko_id", "name", "spans")
+    return found.withColumn("reasons", F.array_join("reasons", ","))
+
+
 _IDF = f"""(SELECT token, count(*) AS df, ln(((SELECT count(*) FROM {_CANON}) + 1) / (count(*) + 1)) + 1 AS idf
     FROM (SELECT unnest({TOKENS.format('k')}) AS token FROM {_CANON}) GROUP BY 1)"""
 

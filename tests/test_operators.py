@@ -161,6 +161,20 @@ def test_scoped_universe_equals_brute_force(spark):
     assert {(r.a, r.b): (r.stratum, r.same_course_cross_lecture, r.cross_course, r.same_topic_cross_lecture, r.cross_topic) for r in got.collect()} == want
 
 
+def test_rule_decisions(spark):
+    blocks = spark.createDataFrame([("l", 0, "The Ｆｕｌｌ  rank matters."), ("l", 1, "nothing"), ("l", 2, "Newton step"), ("l", 3, "x"), ("l", 4, "y"), ("l", 5, "Momentum is based on the step of inertia"), ("m", 0, "full rank")], "g string, block_index int, span string")
+    rows = [
+        ("l", "1", "Matrix", ["full rank"]), ("l", "2", "Newton step", None), ("l", "3", "inertia", ["no such span"]), ("l", "4", "momentum", []), ("l", "5", "Alpha", [r"\\beta and Q"]), ("l", "6", "Gamma", [r"\\beta", None]),
+        ("l", "7", "Newton method", []), ("l", "8", "nothing", []), ("m", "9", "Matrix", []), (None, "10", "Matrix", []),
+    ]
+    df = spark.createDataFrame(rows, "g string, id string, n string, s array<string>")
+    rows = pairs.rule_decisions(df, blocks, "g", "id", "n", "s").collect()
+    assert len(rows) == 28 and all(r.selected == bool(r.reasons) and (r.exclusion_reason is None) == r.selected for r in rows)
+    assert {(r.a, r.b): r.reasons for r in rows if r.selected} == {
+        ("1", "8"): ["source_proximity"], ("2", "8"): ["source_proximity"], ("2", "7"): ["lexical_overlap"], ("3", "4"): ["source_proximity", "explicit_reference"], ("5", "6"): ["symbol_overlap"],
+    }
+
+
 def test_identity_reasons(spark):
     rows = [("l", "1", "Concept", "Gradient Descent", ["s1"]), ("l", "2", "Concept", "gradient–descent", []), ("l", "3", "Concept", "GD", None), ("l", "4", "Concept", "gradient", ["s1"]), ("l", "5", "Method", "GD", []), ("l", "6", "Concept", "gradient descent", [None]), ("m", "7", "Concept", "GD", []), ("l", "8", None, "GD", []), ("l", "9", "Concept", "other", [])]
     df = spark.createDataFrame(rows, "g string, id string, t string, n string, s array<string>")
