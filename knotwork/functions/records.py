@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from knotwork.functions.jsontree import loads
+from knotwork.functions.jsontree import items_of, parsed
 
 # Words that name the same thing in a field name, by the word they are read as;
 # words read as '' say nothing about the field.
@@ -69,7 +69,7 @@ def identifier_in(value: object, contract: Contract) -> str | None:
         text = value.strip()
         if re.fullmatch(contract.pattern, text):
             return text
-        value = int(text) if contract.of_number and re.fullmatch(r"\d{1,18}", text) else None
+        value = int(text) if contract.of_number and re.fullmatch(r"[0-9]{1,4000}", text) else None
     if contract.of_number and isinstance(value, int) and not isinstance(value, bool) and value >= 0:
         return contract.of_number % value
     return None
@@ -104,12 +104,37 @@ def records_of(content: str | None, contract: Contract | None) -> list[tuple[str
     """``(identifier, its field, record)`` for each record of a file, [] where it holds none.
 
     A file holds records only if its whole content is valid JSON: one record, a list of records or
-    an object whose ``results`` is such a list.
+    an object whose ``results`` is such a list. Depth and length of numbers have no limit.
     """
-    value = loads(content) if content and contract else None
+    return [(who[1], who[0], r) for r in _candidates(content, contract)[1] if (who := identified(r, contract))]
+
+
+def record_texts(content: str | None, contract: Contract | None) -> list[tuple[str, str]]:
+    """``(identifier, text)`` for each record of a file: the record's own text, byte for byte."""
+    whole, values = _candidates(content, contract)
+    found = [(i, who[1]) for i, r in enumerate(values) if (who := identified(r, contract))]
+    if not found:
+        return []
+    texts = [content.strip(" \t\r\n")] if whole else items_of(content)
+    return [(name, texts[i]) for i, name in found]
+
+
+def _candidates(content: str | None, contract: Contract | None) -> tuple[bool, list]:
+    """Whether the file is one object alone, and the values that may be records."""
+    value = parsed(content)[1] if content and contract else None
     if isinstance(value, dict):
         inside = value.get("results")
-        value = inside if isinstance(inside, list) and not identified(value, contract) else [value]
-    if not isinstance(value, list):
-        return []
-    return [(who[1], who[0], r) for r in value if (who := identified(r, contract))]
+        return (False, inside) if isinstance(inside, list) and not identified(value, contract) else (True, [value])
+    return False, value if isinstance(value, list) else []
+
+
+def reject_of(content: str | None, contract: Contract | None) -> str | None:
+    """Why a file holds no record; None where it holds some."""
+    if contract is None:
+        return "unknown_feed"
+    if not content:
+        return "empty"
+    valid, _ = parsed(content)
+    if not valid:
+        return "not_json"
+    return None if records_of(content, contract) else "no_record"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.functions.records import CONTRACTS, Contract, records_of
+from knotwork.functions.records import CONTRACTS, Contract, record_texts, reject_of
 
 #: Segments of the first level are at least about this large.
 SMALLEST = 1 << 16
@@ -63,12 +63,12 @@ def merge_tiny(files: DataFrame, goal_bytes: int, fan_in: int, contracts: Mappin
                 at[0] += n_bytes or len(content or "")
                 at[1].append(file_id)
                 order, counted = (modified, file_id), set()
-                for rid, _, record in records_of(content, contracts.get(feed)):
+                for rid, record in record_texts(content, contracts.get(feed)):
                     old = at[2].setdefault(rid, [None, 0, None])
                     old[1] += rid not in counted
                     counted.add(rid)
                     if old[0] is None or _before(old[0], order):
-                        old[0], old[2] = order, json.dumps(record)
+                        old[0], old[2] = order, record
                 if at[0] >= goal_bytes:
                     yield close(which)
         for which in sorted(held, key=str):
@@ -127,6 +127,19 @@ def once(files: DataFrame) -> DataFrame:
     return named.groupBy("file_id").agg(row.alias("r")).select("file_id", "r.*")
 
 
+def rejected(files: DataFrame, contracts: Mapping[str, Contract] = CONTRACTS) -> DataFrame:
+    """``file_id, feed, reason`` of the files that hold no record: ``unknown_feed``, ``empty`` (or null), ``not_json`` or ``no_record``."""
+    known = dict(contracts)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, f, r) for i, f, c in zip(*(b.column(n).to_pylist() for n in range(3)), strict=True) if (r := reject_of(c, known.get(f)))]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True)], ["file_id", "feed", "reason"])
+
+    return files.select("file_id", "feed", "content").mapInArrow(check, "file_id long, feed string, reason string")
+
+
 class Store:
     """A compacted store in ``path``; :meth:`add` takes files in, each at most once."""
 

@@ -58,6 +58,10 @@ _HELD = """
 """
 P2 = f"{_HELD} SELECT feed, record_id FROM ids WHERE record_id IS NOT NULL GROUP BY feed, record_id HAVING count(DISTINCT file_id) > 1"
 
+P3_REJECTS = f"""{_HELD}, held AS (SELECT DISTINCT file_id FROM ids WHERE record_id IS NOT NULL),
+    f AS (SELECT file_id, feed, CASE WHEN content IS NULL OR content = '' THEN 'empty' WHEN NOT json_valid(content) THEN 'not_json' ELSE 'no_record' END AS reason FROM raw_files)
+    SELECT DISTINCT file_id, feed, reason FROM f WHERE file_id NOT IN (SELECT file_id FROM held)"""
+
 _REFS = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, {r} AS record_id, '{c}.ko_id' AS field_name, {c}.lecture_id AS l, {c}.ko_id AS k, recorded_at AS ts FROM {t} WHERE {c}.ko_id IS NOT NULL"
     for t, r, c in (("relation_predictions", "pair_id", "source"), ("relation_predictions", "pair_id", "target"), ("relation_errors", "error_id", "predicted_source"))
@@ -120,9 +124,20 @@ P5_RUNS = f"""WITH {_RUNS}
         {_GET("inputs.prompt.path")} AS prompt_path, {_GET("inputs.prompt.sha256")} AS prompt_sha256,
         {_GET("inputs.candidate_bundle.path")} AS bundle_path, {_GET("inputs.candidate_bundle.sha256")} AS bundle_sha256 FROM runs"""
 
+P5_REJECTS = """WITH r AS (SELECT run_id, body FROM run_metadata QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY started_at DESC, loaded_at DESC, body DESC) = 1),
+    f AS (SELECT run_id, CASE WHEN body IS NULL THEN 'null' WHEN trim(body) = '' THEN 'empty' WHEN NOT json_valid(body) THEN 'not_json' END AS reason FROM r)
+    SELECT run_id, reason FROM f WHERE reason IS NOT NULL"""
+_ROW_KEY = """sha256(CAST(to_json({{'pair_id': pair_id, 'source': source, 'target': target, 'relation_type': relation_type, 'evidence_spans': evidence_spans, 'rationale': rationale, 'run_id': run_id,
+    'recorded_at': CAST(recorded_at AS VARCHAR), 'loaded_at': CAST(loaded_at AS VARCHAR)}}) AS VARCHAR))""".replace("{{", "{").replace("}}", "}")
+P5_PAIRS = f"""SELECT DISTINCT {_ROW_KEY} AS row_key, pair_id, source.lecture_id AS source_lecture_id, source.ko_id AS source_ko_id, target.lecture_id AS target_lecture_id, target.ko_id AS target_ko_id,
+    relation_type, rationale, run_id, recorded_at, loaded_at FROM relation_predictions"""
+P5_PAIR_SPANS = f"""WITH r AS (SELECT DISTINCT {_ROW_KEY} AS row_key, evidence_spans FROM relation_predictions), x AS (SELECT row_key, unnest(range(len(evidence_spans))) AS n, unnest(evidence_spans) AS s FROM r)
+    SELECT row_key, CAST(n AS INT) AS span_no, s.lecture_id AS lecture_id, s.span AS span FROM x WHERE s IS NOT NULL"""
+
 P1_VALUES = f"{_valued('relation_predictions', 'pair_id', _RELATION)} UNION ALL {_valued('connection_predictions', 'canonical_pair_id', _CONNECTION)}"
 
 ORACLE = {
-    "p1_found": P1, "p1_differences": P1_VALUES, "p2_found": P2, "p4_found": P4, "p4_by_month": P4_MONTH,
+    "p1_found": P1, "p1_differences": P1_VALUES, "p2_found": P2, "p3_rejects": P3_REJECTS, "p4_found": P4, "p4_by_month": P4_MONTH,
     "p5_found": P5, "p5_runs": P5_RUNS, "p5_results": P5_RESULTS, "p5_evidence_spans": P5_SPANS, "p5_attempts": P5_ATTEMPTS, "p5_attempt_errors": P5_ERRORS,
+    "p5_rejects": P5_REJECTS, "p5_pairs": P5_PAIRS, "p5_pair_spans": P5_PAIR_SPANS,
 }

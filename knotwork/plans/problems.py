@@ -57,28 +57,33 @@ def _drift(spark: SparkSession, d: str):
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    _, contracts, union, shapes = _drift(spark, d)
-    return drift.changes(union, contracts, shapes).select("batch_id", "field_path", "change").distinct()
+    _, contracts, union, evidence = _drift(spark, d)
+    return drift.changes(union, contracts, evidence).select("batch_id", "field_path", "change").distinct()
 
 
 def p3_changes(spark: SparkSession, d: str) -> DataFrame:
     """The report with feed, type found and number of records."""
-    _, contracts, union, shapes = _drift(spark, d)
-    return drift.changes(union, contracts, shapes)
+    _, contracts, union, evidence = _drift(spark, d)
+    return drift.changes(union, contracts, evidence)
 
 
 def p3_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return drift.alternatives(_drift(spark, d)[2])
 
 
+def p3_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Files that hold no record, and why; none is left out unseen."""
+    return compact.rejected(wide_table(spark, d, "raw_files"))
+
+
 def p3_relation(spark: SparkSession, d: str) -> DataFrame:
-    files, contracts, _, shapes = _drift(spark, d)
-    return drift.unified(files, contracts["relation"], shapes["relation"])
+    files, contracts, _, evidence = _drift(spark, d)
+    return drift.unified(files, contracts["relation"], evidence["relation"])
 
 
 def p3_connection(spark: SparkSession, d: str) -> DataFrame:
-    files, contracts, _, shapes = _drift(spark, d)
-    return drift.unified(files, contracts["connection"], shapes["connection"])
+    files, contracts, _, evidence = _drift(spark, d)
+    return drift.unified(files, contracts["connection"], evidence["connection"])
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -130,23 +135,43 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = nested.triples(_runs(spark, d), "key", "body", RUN_LISTS, list(CHILDREN), objects_only=True)
-    child = F.create_map(*(F.lit(x) for pair in CHILDREN.items() for x in pair))[F.col("path")]
+    """The rows of the flat tables of children; their fields are left unread."""
+    rows = nested.flattened(_runs(spark, d), "key", "body", RUN_LISTS, list(CHILDREN), [])
+    child = F.create_map(*(F.lit(x) for pair in CHILDREN.items() for x in pair))[F.col("group")]
     no = lambda i: F.coalesce(F.get("ordinals", F.lit(i)), F.lit(-1)).cast("long")
-    return found.select(F.col("key").alias("run_id"), child.alias("child"), no(0).alias("result_no"), no(1).alias("item_no"), no(2).alias("subitem_no"))
+    return rows.select(F.col("key").alias("run_id"), child.alias("child"), no(0).alias("result_no"), no(1).alias("item_no"), no(2).alias("subitem_no"))
 
 
 def _run_table(group: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        found = nested.triples(_runs(spark, d), "key", "body", RUN_LISTS, [group, *RUN_TABLES[group].values()])
-        return nested.pivoted(found, group, RUN_TABLES[group], RUN_LISTS).withColumnRenamed("key", "run_id")
+        rows = nested.flattened(_runs(spark, d), "key", "body", RUN_LISTS, [group])
+        return nested.table_of(rows, group, RUN_TABLES[group], RUN_LISTS).drop("others").withColumnRenamed("key", "run_id")
 
     return query
 
 
+def p5_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of every group with all its fields, whatever lists and fields the records hold."""
+    return nested.flattened(_runs(spark, d), "key", "body", RUN_LISTS).withColumnRenamed("key", "run_id")
+
+
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Each path found, its group and whether a table of RUN_TABLES has a column for it."""
+    fields = p5_rows(spark, d).select("group", F.explode("fields").alias("path", "value"))
+    known = F.array(*(F.lit(p) for t in RUN_TABLES.values() for p in t.values()))
+    return fields.groupBy("group", "path").agg(F.count("*").alias("n_fields"), F.count("value").alias("n_values")).withColumn("has_column", F.array_contains(known, F.col("path")))
+
+
+def p5_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Runs whose body gives no row, and why; none is dropped unseen."""
+    return nested.rejected(_runs(spark, d), "key", "body").withColumnRenamed("key", "run_id")
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each distinct row of relation_predictions under a key made of its content."""
-    key = F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}), 256).alias("row_key")
+    """Each distinct row of relation_predictions under a key made of its content, times as texts."""
+    times = [F.col(c).cast("string").alias(c) for c in ("recorded_at", "loaded_at")]
+    body = F.struct("pair_id", "source", "target", "relation_type", "evidence_spans", "rationale", "run_id", *times)
+    key = F.sha2(F.to_json(body, {"ignoreNullFields": "false"}), 256).alias("row_key")
     return table(spark, d, "relation_predictions").select(key, "*").dropDuplicates(["row_key"])
 
 
@@ -163,9 +188,9 @@ def p5_pair_spans(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_differences": p1_differences,
     "p2_found": p2_found, "p2_compacted": p2_compacted, "p2_journal": p2_journal,
-    "p3_found": p3_found, "p3_changes": p3_changes, "p3_alternatives": p3_alternatives, "p3_relation": p3_relation, "p3_connection": p3_connection,
+    "p3_found": p3_found, "p3_changes": p3_changes, "p3_alternatives": p3_alternatives, "p3_rejects": p3_rejects, "p3_relation": p3_relation, "p3_connection": p3_connection,
     "p4_found": p4_found, "p4_by_month": p4_by_month,
     "p5_found": p5_found, "p5_runs": _run_table(""), "p5_results": _run_table("results"), "p5_evidence_spans": _run_table("results.evidence_spans"),
     "p5_attempts": _run_table("results.attempts"), "p5_attempt_errors": _run_table("results.attempts.errors"),
-    "p5_pairs": p5_pairs, "p5_pair_spans": p5_pair_spans,
+    "p5_rows": p5_rows, "p5_paths": p5_paths, "p5_rejects": p5_rejects, "p5_pairs": p5_pairs, "p5_pair_spans": p5_pair_spans,
 }

@@ -75,3 +75,11 @@ def test_equals_brute_force(spark, first, second):
     want |= {(k, n) for k in x.keys() & y.keys() for n, i in (("a", 0), ("l", 1)) if x[k][i] != y[k][i]}
     made = diff(spark, [row(k, a, None, arr, o) for k, a, arr, o in first], [row(k, a, None, arr, o) for k, a, arr, o in second])
     assert {m[:2] for m in made} == want
+
+
+def test_times_inside_arrays_keep_their_microseconds(spark):
+    times = lambda us: [("1", [dt.datetime(2025, 1, 1, 0, 0, 0, us)], dt.datetime(2025, 1, 1, 0, 0, 0, us))]
+    for kind in ("timestamp_ntz", "timestamp"):
+        make = lambda us: spark.createDataFrame(times(us), f"k string, l array<{kind}>, t {kind}")  # noqa: B023, E731
+        assert diff_copies(make(123456), make(123456), "k", ["l", "t"]).count() == 0
+        assert {r.difference for r in diff_copies(make(123456), make(123999), "k", ["l", "t"]).collect()} == {"l", "t"}

@@ -2,6 +2,8 @@ import json
 
 import pytest
 
+from knotwork.functions import records
+from knotwork.functions.jsontree import DEEPEST
 from knotwork.operators import drift
 
 FIELDS = [("relation", p, t) for p, t in (("pair_id", "string"), ("source.lecture_id", "string"), ("source.ko_id", "string"), ("target.lecture_id", "string"), ("target.ko_id", "string"), ("relation_type", "string"), ("evidence_spans", "array"), ("rationale", "string"))]
@@ -29,8 +31,8 @@ def report(spark, records, feed="relation"):
     rows = [(i, feed, "good", json.dumps(GOOD if feed == "relation" else CONN), "x") for i in range(20)]
     rows += [(100 + i, feed, "b", r if isinstance(r, str) else json.dumps(r), "x") for i, r in enumerate(records)]
     contracts = drift.contracts_from(spark.createDataFrame(FIELDS, "feed string, field_path string, json_type string"))
-    union, shapes = drift.infer(spark.createDataFrame(rows, FILES), contracts)
-    return {(r.field_path, r.change) for r in drift.changes(union, contracts, shapes).collect() if r.batch_id == "b"}
+    union, evidence = drift.infer(spark.createDataFrame(rows, FILES), contracts)
+    return {(r.field_path, r.change) for r in drift.changes(union, contracts, evidence).collect() if r.batch_id == "b"}
 
 
 CASES = [
@@ -73,8 +75,8 @@ def test_unified_table_and_alternatives(spark):
     rows = [(i, "relation" if i < 2 else "connection", f"b{i}", json.dumps(r), "x") for i, r in enumerate(records)]
     contracts = drift.contracts_from(spark.createDataFrame(FIELDS, "feed string, field_path string, json_type string"))
     files = spark.createDataFrame(rows, FILES)
-    union, shapes = drift.infer(files, contracts)
-    made = {r.file_id: r for r in drift.unified(files, contracts["relation"], shapes["relation"]).collect()}
+    union, evidence = drift.infer(files, contracts)
+    made = {r.file_id: r for r in drift.unified(files, contracts["relation"], evidence["relation"]).collect()}
     assert set(made) == {0, 1} and made[0].branches == {}
     assert made[1].pair_id == "rel_dev_00000007" and made[1].rationale == "Why" and made[1].source_ko_id == "k_1"
     assert made[1].evidence_spans == ['{"lecture_id": "l", "span": "s"}']
@@ -86,8 +88,52 @@ def test_unified_table_and_alternatives(spark):
 def test_no_files(spark):
     contracts = drift.contracts_from(spark.createDataFrame(FIELDS, "feed string, field_path string, json_type string"))
     files = spark.createDataFrame([], FILES)
-    union, shapes = drift.infer(files, contracts)
-    assert drift.changes(union, contracts, shapes).collect() == []
-    assert drift.unified(files, contracts["relation"], shapes["relation"]).collect() == []
+    union, evidence = drift.infer(files, contracts)
+    assert drift.changes(union, contracts, evidence).collect() == []
+    assert drift.unified(files, contracts["relation"], evidence["relation"]).collect() == []
     nulls = spark.createDataFrame([(1, None, None, None, None), (2, "relation", None, "[1, null]", None)], FILES)
-    assert drift.tagged_union(nulls, contracts).collect() == []
+    assert drift.tagged_union(drift.fused(nulls, contracts)).collect() == []
+
+
+def test_rare_shapes_count(spark):
+    """A shape of one value in hundreds is as much a shape of the field as the usual one."""
+    rare = changed(CONN, source_canonical_ko_id="free text it is")
+    rows = [(i, "connection", "good", json.dumps(CONN), "x") for i in range(300)] + [(400, "connection", "good", json.dumps(rare), "x")]
+    rows.append((401, "connection", "b", json.dumps(changed(CONN, source_canonical_ko_id=..., src="more free text", target_canonical_ko_id=..., relation_type=...)), "x"))
+    contracts = drift.contracts_from(spark.createDataFrame(FIELDS, "feed string, field_path string, json_type string"))
+    union, evidence = drift.infer(spark.createDataFrame(rows, FILES), contracts)
+    assert ("source_canonical_ko_id", "renamed") in {(r.field_path, r.change) for r in drift.changes(union, contracts, evidence).collect() if r.batch_id == "b"}
+
+
+def test_renames_by_evidence_without_a_word_list(spark, monkeypatch):
+    """Values of one record in two layouts, then shapes, name a renamed field; no list of synonyms is needed."""
+    monkeypatch.setattr(records, "SYNONYMS", {})
+    old, new = [], []
+    for i in range(6):
+        r = changed(GOOD, pair_id=f"rel_dev_{i:08d}", rationale=f"Since {i} it is.", source__ko_id=f"tree_{i}", relation_type=["USES", "REQUIRES"][i % 2])
+        old.append(r)
+        r = {**r, "blurb": r["rationale"], "sort": r["relation_type"], "head": r["source"], "note": "a text of its own"}
+        for gone in ("rationale", "relation_type", "source"):
+            del r[gone]
+        new.append(r)
+    rows = [(i, "relation", "a", json.dumps(r), "x") for i, r in enumerate(old)] + [(100 + i, "relation", "b", json.dumps(r), "x") for i, r in enumerate(new)]
+    contracts = drift.contracts_from(spark.createDataFrame(FIELDS, "feed string, field_path string, json_type string"))
+    union, evidence = drift.infer(spark.createDataFrame(rows, FILES), contracts)
+    got = {(r.field_path, r.change) for r in drift.changes(union, contracts, evidence).collect()}
+    assert got == {("rationale", "renamed"), ("relation_type", "renamed"), ("source.ko_id", "renamed"), ("source.lecture_id", "renamed"), ("note", "added")}
+    lone = changed(GOOD, target__ko_id=..., target__thing="a_b_1")
+    assert report(spark, [lone]) == {("target.ko_id", "renamed")}  # the only unknown member in place of the only missing one
+    assert report(spark, [changed(GOOD, rationale=..., confidence=0.5)]) == {("rationale", "removed"), ("confidence", "added")}
+
+
+def test_deep_records_long_numbers_and_dotted_names(spark):
+    deep = json.dumps(GOOD)[:-1] + ', "extra": ' + '{"d": ' * 20_000 + "1" + "}" * 20_000 + ', "count": ' + "9" * 5_000 + "}"
+    assert report(spark, [deep]) == {("extra", "added"), ("count", "added")}
+    flat = {**changed(GOOD, source=...), "source.lecture_id": "calculus_001", "source.ko_id": "a_b_1"}
+    assert report(spark, [flat]) == {("source.lecture_id", "renamed"), ("source.ko_id", "renamed")}
+    assert len(drift.tags_of(json.loads('{"d": ' * 900 + "1" + "}" * 900))) == 900 < DEEPEST
+    contracts = drift.contracts_from(spark.createDataFrame(FIELDS, "feed string, field_path string, json_type string"))
+    files = spark.createDataFrame([(1, "relation", "b", deep, "x"), (2, "relation", "b", json.dumps(flat), "x")], FILES)
+    _, evidence = drift.infer(files, contracts)
+    made = {r.file_id: r for r in drift.unified(files, contracts["relation"], evidence["relation"]).collect()}
+    assert made[1].pair_id == "rel_dev_00000001" and made[2].source_ko_id == "a_b_1"

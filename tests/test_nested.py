@@ -50,11 +50,13 @@ def test_flat_tables_link_and_rebuild(spark):
     bodies = []
     for _ in range(20):
         bodies.append({"v": str(rng.random()), "results": [{"p": str(i), "attempts": [{"ms": rng.randint(1, 9), "errors": [{"m": str(k)} for k in range(rng.randint(0, 2))]} for _ in range(rng.randint(0, 3))]} for i in range(rng.randint(0, 3))]})
-    found = run(spark, bodies)
-    top = {r.key: r.v for r in nested.pivoted(found, "", {"v": "v"}, LISTS).collect()}
-    res = {(r.key, r.results_no): r.p for r in nested.pivoted(found, "results", {"p": "results.p"}, LISTS).collect()}
-    att = {(r.key, r.results_no, r.results_attempts_no): r.ms for r in nested.pivoted(found, "results.attempts", {"ms": "results.attempts.ms"}, LISTS).collect()}
-    err = {(r.key, r.results_no, r.results_attempts_no, r.results_attempts_errors_no): r.m for r in nested.pivoted(found, "results.attempts.errors", {"m": "results.attempts.errors.m"}, LISTS).collect()}
+    found = spark.createDataFrame([(f"r{i}", json.dumps(b)) for i, b in enumerate(bodies)], "id string, body string")
+    rows = nested.flattened(found, "id", "body", LISTS)
+    flat = lambda group, **cols: nested.table_of(rows, group, cols, LISTS).collect()
+    top = {r.key: r.v for r in flat("", v="v")}
+    res = {(r.key, r.results_no): r.p for r in flat("results", p="results.p")}
+    att = {(r.key, r.results_no, r.results_attempts_no): r.ms for r in flat("results.attempts", ms="results.attempts.ms")}
+    err = {(r.key, r.results_no, r.results_attempts_no, r.results_attempts_errors_no): r.m for r in flat("results.attempts.errors", m="results.attempts.errors.m")}
     for i, body in enumerate(bodies):
         k = f"r{i}"
         assert top[k] == body["v"]
@@ -69,3 +71,40 @@ def test_flat_tables_link_and_rebuild(spark):
 def test_latest_delivery(spark):
     df = spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("a", "3", 2), (None, "x", 1), ("b", None, 5), ("b", "old", 4)], "id string, body string, o int")
     assert {r.key: r.body for r in nested.latest_delivery(df, "id", "body", ["o"]).collect()} == {"a": "3", None: "x", "b": None}
+
+
+def test_depth_and_numbers_have_no_limit(spark):
+    deep = '{"results": [{"p": "1", "x": ' + '{"d":' * 100_000 + "1" + "}" * 100_000 + ', "n": ' + "7" * 5_000 + ', "e": 1e400, "q": 1.50}]}'
+    df = spark.createDataFrame([("deep", deep)], "id string, body string")
+    assert nested.rejected(df, "id", "body").collect() == []
+    only = nested.flattened(df, "id", "body", LISTS, ["results"], ["results.p", "results.n", "results.e", "results.q"]).first()
+    assert only.fields == {"results.p": "1", "results.n": "7" * 5_000, "results.e": "1e400", "results.q": "1.50"}
+    every = nested.flattened(df, "id", "body", LISTS).filter("group = 'results'").first().fields
+    (path, rest) = next((p, v) for p, v in every.items() if v and v.startswith("{"))
+    assert path.count(".d") == nested.DEEPEST - 2 and rest.count("{") == 100_000 - (nested.DEEPEST - 2)
+    assert nested.repeated_paths(df, "body") == ["results"]
+
+
+def test_names_with_dots_lists_in_lists_and_repeated_members(spark):
+    body = '{"a.b": 1, "a": {"b": 2, "c\\\\d": 3}, "results": [[{"p": 1}], 4, {"p": "x"}], "a": {"b": 5}, "t": {}}'
+    got = {(r.path, tuple(r.ordinals), r.json_type, r.value) for r in run(spark, [body]).collect()}
+    assert got == {
+        ("", (), "object", None), ("a\\.b", (), "number", "1"), ("a", (), "object", None), ("a.b", (), "number", "5"), ("results", (0,), "array", '[{"p": 1}]'),
+        ("results", (1,), "number", "4"), ("results", (2,), "object", None), ("results.p", (2,), "string", "x"), ("t", (), "object", None),
+    }
+
+
+def test_new_lists_and_fields_are_rows_too(spark):
+    body = {"new": [None, {"k": 1, "more": [{"z": True}]}], "plain": [1, 2], "results": {"p": 1, "extra": {"deep": "x"}}}
+    df = spark.createDataFrame([("r", json.dumps(body))], "id string, body string")
+    rows = nested.flattened(df, "id", "body", LISTS)
+    got = {(r.group, tuple(r.ordinals)): r.fields for r in rows.collect()}
+    assert got == {("", ()): {"plain": "[1, 2]"}, ("new", (1,)): {"new.k": "1"}, ("new.more", (1, 0)): {"new.more.z": "true"}, ("results", (0,)): {"results.p": "1", "results.extra.deep": "x"}}
+    one = nested.table_of(rows, "results", {"p": "results.p"}, LISTS).first()
+    assert one.p == "1" and one.results_no == 0 and one.others == {"results.extra.deep": "x"}
+
+
+def test_rejects(spark):
+    df = spark.createDataFrame([("a", None), ("b", " "), ("c", '{"x": 1'), ("d", "{}"), (None, "{} {}")], "id string, body string")
+    assert {(r.key, r.reason) for r in nested.rejected(df, "id", "body").collect()} == {("a", "null"), ("b", "empty"), ("c", "not_json"), (None, "not_json")}
+    assert nested.rejected(df.limit(0), "id", "body").collect() == []
