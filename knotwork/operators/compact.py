@@ -1,10 +1,13 @@
 """Many tiny files into few: size-tiered incremental compaction with a transaction journal.
 
-A store is a folder with numbered generations. ``level=k`` folders hold segments: each row of kind
-``record`` is one record of a segment, each row of kind ``txn`` is the journal entry of the merge
-that made the segment (inputs, output, counts). Records and journal entry are written by the same
-job, so a merge is committed whole or not at all; a merge that is repeated reads the journal and
-finds its inputs taken.
+A store is a folder of generations. A generation that takes files in merges them level by level:
+level 1 merges the tiny files that a task reads into segments of like-sized files, without a shuffle;
+each level above merges about ``fan_in`` segments of one size class; the last merge gives each record
+to one file of the target size, and makes a run. Runs are merged in turn once ``fan_in`` of one size
+class exist, so taking in a small amount writes a small amount, and a record is written again only as
+often as its size class grows. Every merge has a journal entry with its inputs and outputs. The
+journal is written last: it commits the generation, and what was cut off before is written again.
+Files in the journal are never taken again.
 """
 
 from __future__ import annotations
@@ -13,24 +16,28 @@ import hashlib
 import json
 import math
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions.records import CONTRACTS, Contract, record_texts, reject_of
+from knotwork.session import exists, listed, remove
 
 #: Segments of the first level are at least about this large.
 SMALLEST = 1 << 16
-SEGMENT = (
-    "kind string, segment_id string, feed string, record_id string, modified_at timestamp_ntz, file_id long, "
-    "n_files long, record string, inputs array<long>, n_records long, n_bytes long"
-)
+#: A segment is closed at so many inputs, so that files without content close it too.
+MOST_INPUTS = 10_000
+RECORD = "feed string, record_id string, modified_at timestamp_ntz, file_id long, n_files long, record string, n_bytes long"
+SEGMENT = f"kind string, segment_id string, segment_bytes long, {RECORD}, inputs array<string>, n_records long"
+JOURNAL = "level int, kind string, output string, feed string, inputs array<string>, n_inputs long, n_outputs long, n_records long, n_bytes long"
 _TYPES = pa.schema([
-    ("kind", pa.string()), ("segment_id", pa.string()), ("feed", pa.string()), ("record_id", pa.string()),
-    ("modified_at", pa.timestamp("us")), ("file_id", pa.int64()), ("n_files", pa.int64()), ("record", pa.string()),
-    ("inputs", pa.list_(pa.int64())), ("n_records", pa.int64()), ("n_bytes", pa.int64()),
+    ("kind", pa.string()), ("segment_id", pa.string()), ("segment_bytes", pa.int64()), ("feed", pa.string()), ("record_id", pa.string()),
+    ("modified_at", pa.timestamp("us")), ("file_id", pa.int64()), ("n_files", pa.int64()), ("record", pa.string()), ("n_bytes", pa.int64()),
+    ("inputs", pa.list_(pa.string())), ("n_records", pa.int64()),
 ])
+_RECORD = [f.split()[0] for f in RECORD.split(", ")]
 
 
 def tier(n_bytes: int, fan_in: int) -> int:
@@ -39,37 +46,41 @@ def tier(n_bytes: int, fan_in: int) -> int:
 
 
 def merge_tiny(files: DataFrame, goal_bytes: int, fan_in: int, contracts: Mapping[str, Contract] = CONTRACTS) -> DataFrame:
-    """Level 0: each task merges the tiny files it reads into segments of about ``goal_bytes``, without a shuffle.
+    """Level 1: each task merges the tiny files it reads into segments of about ``goal_bytes``, without a shuffle.
 
-    Files of one feed and size class share an open segment, in which a record is kept once: its
-    latest copy, with the number of files that held it. Files are parsed strictly; those that hold
-    no records are inputs of a segment too, so that the journal accounts for every file.
+    Files of one feed and size class share an open segment, in which a record is kept once: the text
+    of its latest copy, byte for byte, with the number of files that held it. Rows of kind ``record``
+    are records, rows of kind ``txn`` journal entries. Files are parsed strictly; those that hold no
+    records are inputs of a segment too, so that the journal accounts for every file.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}  # (feed, tier) -> [bytes, input ids, {record_id: [order, n_files, json]}]
+        held: dict[tuple, list] = {}  # (feed, tier) -> [bytes, input ids, {record_id: [order, n_files, text]}]
 
         def close(which: tuple) -> pa.RecordBatch:
-            size, inputs, records = held.pop(which)
+            _, inputs, records = held.pop(which)
             name = "seg_" + hashlib.sha256(json.dumps([which[0], sorted(inputs)]).encode()).hexdigest()[:24]
-            rows = [("record", name, which[0], r, o[0], o[1], n, text, None, None, None) for r, (o, n, text) in records.items()]
-            rows.append(("txn", name, which[0], None, None, None, None, None, sorted(inputs), len(records), sum(len(r[7]) for r in rows)))
+            sizes = {r: len(text.encode("utf-8", "replace")) for r, (_, _, text) in records.items()}
+            total = sum(sizes.values())
+            rows = [("record", name, total, which[0], r, o[0], o[1], n, text, sizes[r], None, None) for r, (o, n, text) in records.items()]
+            rows.append(("txn", name, total, which[0], None, None, None, None, None, total, [str(i) for i in sorted(inputs)], len(records)))
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _TYPES.types, strict=True)], schema=_TYPES)
 
         for b in batches:
             for feed, file_id, modified, n_bytes, content in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                which = (feed, tier(n_bytes or len(content or ""), fan_in))
+                size = n_bytes or len(content or "")
+                which = (feed, tier(size, fan_in))
                 at = held.setdefault(which, [0, [], {}])
-                at[0] += n_bytes or len(content or "")
+                at[0] += size
                 at[1].append(file_id)
                 order, counted = (modified, file_id), set()
-                for rid, record in record_texts(content, contracts.get(feed)):
+                for rid, text in record_texts(content, contracts.get(feed)):
                     old = at[2].setdefault(rid, [None, 0, None])
                     old[1] += rid not in counted
                     counted.add(rid)
                     if old[0] is None or _before(old[0], order):
-                        old[0], old[2] = order, record
-                if at[0] >= goal_bytes:
+                        old[0], old[2] = order, text
+                if at[0] >= goal_bytes or len(at[1]) >= MOST_INPUTS:
                     yield close(which)
         for which in sorted(held, key=str):
             yield close(which)
@@ -83,36 +94,42 @@ def _before(a: tuple, b: tuple) -> bool:
     return (a[0] is not None, a[0] or b[0], a[1]) < (b[0] is not None, b[0] or a[0], b[1])
 
 
-def merge_segments(level: DataFrame, goal_bytes: int, fan_in: int) -> DataFrame:
-    """Level k to k+1: segments of similar size merge in groups of about ``fan_in``, by hash of their name.
+def latest_copies(records: DataFrame, by: list[str]) -> DataFrame:
+    """One row per key: its latest copy, and how many files held it."""
+    last = F.max(F.struct("modified_at", "file_id", "record", "n_bytes")).alias("l")
+    whole = records.groupBy(*by).agg(last, F.sum("n_files").alias("n_files"))
+    return whole.select(*by, "l.modified_at", "l.file_id", "n_files", "l.record", "l.n_bytes")
 
-    The group sizes come from one aggregate per feed and size class; the data move once, by group
-    and record, and a record that several segments hold leaves the group once.
+
+def placements(entries: DataFrame, goal_bytes: int, fan_in: int) -> DataFrame:
+    """``feed, tier, groups, share``: into how many segments of about the goal each size class is merged.
+
+    As many rows as feeds and size classes: the logarithm of the sizes.
     """
-    entries = level.filter("kind = 'txn'").select("segment_id", "feed", "n_bytes", "inputs")
-    kind = F.floor(F.log(float(fan_in), F.greatest(F.col("n_bytes"), F.lit(1)).cast("double"))).alias("tier")
-    entries = entries.withColumn("tier", kind)
-    groups = entries.groupBy("feed", "tier").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_bytes") / F.lit(goal_bytes))).alias("groups"))
-    number = F.pmod(F.xxhash64("segment_id"), F.col("groups")).cast("string")
-    placed = entries.join(groups, ["feed", "tier"]).withColumn("into", F.concat_ws("_", F.lit("seg"), "feed", F.col("tier").cast("string"), number))
-    latest = F.struct("modified_at", "file_id", "record")
-    merged = (
-        level.filter("kind = 'record'")
-        .join(placed.select("segment_id", "into"), "segment_id")
-        .groupBy("into", "feed", "record_id")
-        .agg(F.max(latest).alias("l"), F.sum("n_files").alias("n_files"))
-    )
-    null = F.lit(None)
-    records = merged.select(
-        F.lit("record").alias("kind"), F.col("into").alias("segment_id"), "feed", "record_id", "l.modified_at", "l.file_id", "n_files", "l.record",
-        null.cast("array<bigint>").alias("inputs"), null.cast("long").alias("n_records"), null.cast("long").alias("n_bytes"),
-    )
-    txns = placed.groupBy("into", "feed").agg(F.flatten(F.collect_list("inputs")).alias("inputs"), F.count("*").alias("n"), F.sum("n_bytes").alias("b"))
-    txns = txns.select(
-        F.lit("txn").alias("kind"), F.col("into").alias("segment_id"), "feed", null.cast("string").alias("record_id"), null.cast("timestamp_ntz").alias("modified_at"),
-        null.cast("long").alias("file_id"), null.cast("long").alias("n_files"), null.cast("string").alias("record"), "inputs", F.col("n").alias("n_records"), F.col("b").alias("n_bytes"),
-    )
-    return records.unionByName(txns)
+    by = entries.groupBy("feed", _tier(fan_in)).agg(F.sum("n_bytes").alias("b"))
+    by = by.withColumn("groups", F.greatest(F.lit(1), F.ceil(F.col("b") / F.lit(goal_bytes))).cast("long"))
+    return by.select("feed", "tier", "groups", F.ceil(F.col("b") / F.col("groups")).cast("long").alias("share"))
+
+
+def _tier(fan_in: int, size: str = "n_bytes"):
+    return F.floor(F.log(float(fan_in), F.greatest(F.col(size), F.lit(1)).cast("double"))).alias("tier")
+
+
+def merge_segments(level: DataFrame, entries: DataFrame, goal_bytes: int, fan_in: int) -> tuple[DataFrame, DataFrame]:
+    """Level k to k+1, ``(records, entries)``: segments of one size class merge in groups of about ``fan_in``.
+
+    A segment's group is a hash of its name among as many as the class needs, so records find theirs
+    without a join on segments; they move once, by group and record, and a record that several
+    segments of a group hold leaves it once. ``entries`` have ``segment_id, feed, n_bytes``, those
+    returned name their input segments.
+    """
+    groups = F.broadcast(placements(entries, goal_bytes, fan_in))
+    into = F.concat_ws("_", F.lit("seg"), "feed", F.col("tier").cast("string"), F.pmod(F.xxhash64("segment_id"), F.col("groups")).cast("string")).alias("into")
+    records = level.withColumn("tier", _tier(fan_in, "segment_bytes")).join(groups, ["feed", "tier"]).select(into, "share", *_RECORD)
+    merged = latest_copies(records, ["into", "share", "feed", "record_id"]).withColumnsRenamed({"into": "segment_id", "share": "segment_bytes"})
+    placed = entries.withColumn("tier", _tier(fan_in)).join(groups, ["feed", "tier"]).select(into, "feed", "segment_id", "share")
+    made = placed.groupBy("into", "feed", "share").agg(F.collect_list("segment_id").alias("inputs"), F.count("*").alias("n_inputs"))
+    return merged, made.withColumnsRenamed({"into": "segment_id", "share": "n_bytes"})
 
 
 def once(files: DataFrame) -> DataFrame:
@@ -143,82 +160,119 @@ def rejected(files: DataFrame, contracts: Mapping[str, Contract] = CONTRACTS) ->
 class Store:
     """A compacted store in ``path``; :meth:`add` takes files in, each at most once."""
 
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fan_in: int = 1024, contracts: Mapping[str, Contract] = CONTRACTS):
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fan_in: int = 16, contracts: Mapping[str, Contract] = CONTRACTS):
         self.spark, self.path, self.target, self.fan_in, self.contracts = spark, path.rstrip("/"), target_bytes, fan_in, contracts
 
     def _generations(self) -> list[int]:
-        """Complete generations; one that was cut off has no commit mark and is written again."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        done = [n for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/base/_SUCCESS"))]
-        return sorted(int(n.removeprefix("gen=")) for n in done if n.startswith("gen="))
-
-    def _read(self, gen: int, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/gen={gen}/{part}")
+        """Complete generations: those whose journal is there."""
+        names = listed(self.spark, self.path)
+        return sorted(int(n.removeprefix("gen=")) for n in names if n.startswith("gen=") and exists(self.spark, f"{self.path}/{n}/journal/_SUCCESS"))
+
+    def _read(self, gen: int, part: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/gen={gen}/{part}")
 
     def journal(self) -> DataFrame:
-        """Every transaction: generation, level, output segment, its input files and counts."""
-        out = None
-        for gen in self._generations():
-            j = self._read(gen, "journal").withColumn("generation", F.lit(gen))
-            out = j if out is None else out.unionByName(j)
-        if out is None:
-            return self.spark.createDataFrame([], "level int, segment_id string, feed string, inputs array<long>, n_records long, n_bytes long, generation int")
-        return out
+        """Every merge: generation, level, kind (what was merged: ``files``, ``segments`` or ``runs``), outputs, inputs and counts."""
+        gens = self._generations()
+        each = [self._read(g, "journal", JOURNAL).withColumn("generation", F.lit(g)) for g in gens]
+        return reduce(DataFrame.unionByName, each) if each else self.spark.createDataFrame([], f"{JOURNAL}, generation int")
 
     def taken(self) -> DataFrame:
-        """The ids of all files that some transaction of level 1 has as inputs."""
-        return self.journal().filter("level = 1").select(F.explode("inputs").alias("file_id")).distinct()
+        """The ids of all files that some merge has as inputs."""
+        return self.journal().filter("kind = 'files'").select(F.explode(F.col("inputs").cast("array<bigint>")).alias("file_id")).distinct()
+
+    def runs(self) -> dict[int, tuple[int, int]]:
+        """Generation -> bytes and files of each run that no later run has taken in. As many rows as generations reach the driver."""
+        last = self.journal().filter("n_outputs IS NOT NULL AND kind <> 'files' AND output LIKE 'run=%'")
+        rows = last.groupBy("generation").agg(F.sum("n_bytes").alias("b"), F.max("n_outputs").alias("f"), F.flatten(F.collect_set(F.when(F.col("kind") == "runs", F.col("inputs")))).alias("i")).collect()
+        dead = {i for r in rows for i in r.i}
+        return {r.generation: (r.b, r.f) for r in rows if f"run={r.generation}" not in dead}
 
     def base(self) -> DataFrame:
         """The records: each identifier once per feed, its latest copy, the number of files that held it."""
-        gens = self._generations()
-        if not gens:
-            return self.spark.createDataFrame([], "feed string, record_id string, modified_at timestamp_ntz, file_id long, record string, n_files long")
-        return self._read(gens[-1], "base")
+        live = [self._read(g, "run", RECORD) for g in self.runs()]
+        if not live:
+            return self.spark.createDataFrame([], RECORD)
+        return live[0] if len(live) == 1 else latest_copies(reduce(DataFrame.unionByName, live), ["feed", "record_id"]).select(*_RECORD)
 
     def add(self, files: DataFrame) -> int:
-        """Take in the files that no transaction has yet; returns the number of the newest generation.
+        """Take in the files that no merge has yet; returns the number of the newest generation.
 
         A file delivered twice (same file_id) counts once. Adding the same files again changes
-        nothing. The newest generation's base is the old one merged with the new segments.
+        nothing. Only the new files' records are written, and older runs where a size class is full.
         """
         gens = self._generations()
-        gen = gens[-1] + 1 if gens else 0
-        at = f"{self.path}/gen={gen}"
         fresh = files
         if gens:
             fresh = files.join(self.taken(), "file_id", "left_anti")
             if fresh.isEmpty():
                 return gens[-1]
-        fresh = once(fresh)
-        goal = self.target // self.fan_in
+        gen = gens[-1] + 1 if gens else 0
+        at = f"{self.path}/gen={gen}"
+        goal = self.target
         while goal // self.fan_in >= SMALLEST:
             goal //= self.fan_in
-        goal = max(goal, SMALLEST)
-        merge_tiny(fresh, goal, self.fan_in, self.contracts).write.mode("overwrite").parquet(f"{at}/level=1")
-        level, journal = 1, None
-        while True:
-            held = self.spark.read.parquet(f"{at}/level={level}")
-            entries = held.filter("kind = 'txn'").select(F.lit(level).alias("level"), "segment_id", "feed", "inputs", "n_records", "n_bytes")
-            journal = entries if journal is None else journal.unionByName(entries)
-            n, size = entries.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+        self._write(merge_tiny(once(fresh), goal, self.fan_in, self.contracts), f"{at}/level=1")
+        held = self._read(gen, "level=1", SEGMENT)
+        entries = held.filter("kind = 'txn'").select("segment_id", "feed", "n_bytes", "inputs", F.size("inputs").cast("long").alias("n_inputs"), "n_records")
+        journal = [self._entries(entries, 1, "files")]
+        held, level = held.filter("kind = 'record'"), 1
+        while goal * self.fan_in < self.target and entries.count() > 1:
             goal *= self.fan_in
-            if n < 2 or goal >= self.target:
-                break
-            merge_segments(held, goal, self.fan_in).write.mode("overwrite").parquet(f"{at}/level={level + 1}")
             level += 1
-        records = held.filter("kind = 'record'").select("feed", "record_id", "modified_at", "file_id", "record", "n_files")
-        if gens:
-            base = self.base()
-            size += base.agg(F.coalesce(F.sum(F.length("record")), F.lit(0))).first()[0]
-            records = records.unionByName(base.select(*records.columns))
-        shards = max(1, math.ceil(size / self.target))
-        last = F.max(F.struct("modified_at", "file_id", "record")).alias("l")
-        whole = records.repartition(shards, "feed", "record_id").groupBy("feed", "record_id").agg(last, F.sum("n_files").alias("n_files"))
-        journal.write.mode("overwrite").parquet(f"{at}/journal")
-        whole.select("feed", "record_id", "l.modified_at", "l.file_id", "l.record", "n_files").write.mode("overwrite").parquet(f"{at}/base")
-        return gen
+            merged, made = merge_segments(held, entries, goal, self.fan_in)
+            self._write(merged, f"{at}/level={level}")
+            held = self._read(gen, f"level={level}", f"segment_id string, segment_bytes long, {RECORD}")
+            entries = made.join(held.groupBy("segment_id").agg(F.count("*").alias("n_records")), "segment_id", "left").fillna(0, ["n_records"])
+            self._write(entries, f"{at}/entries={level}")
+            entries = self.spark.read.schema(entries.schema).parquet(f"{at}/entries={level}")
+            journal.append(self._entries(entries, level, "segments"))
+        inputs = entries.groupBy("feed").agg(F.count("*").alias("n_inputs"))
+        size = entries.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        self._run(gen, held, size, level + 1, "segments", F.array(F.lit(f"level={level}")), inputs, journal)
+        for part in listed(self.spark, at):
+            if part.startswith(("level=", "entries=")):
+                remove(self.spark, f"{at}/{part}")
+        return self._merge_runs(gen)
+
+    def _run(self, gen: int, records: DataFrame, size: int, level: int, kind: str, inputs, n_inputs: DataFrame, journal: list[DataFrame]) -> None:
+        """The last merge: each record to one file of about the target size; then the journal, which commits."""
+        at, shards = f"{self.path}/gen={gen}", max(1, math.ceil(size / self.target))
+        whole = latest_copies(records.select(*_RECORD).repartition(shards, "feed", "record_id"), ["feed", "record_id"])
+        self._write(whole.select(*_RECORD), f"{at}/run")
+        counts = self._read(gen, "run", RECORD).groupBy("feed").agg(F.count("*").alias("n_records"), F.sum("n_bytes").alias("n_bytes"))
+        last = n_inputs.join(counts, "feed", "left").select(
+            F.lit(level).alias("level"), F.lit(kind).alias("kind"), F.lit(f"run={gen}").alias("output"), "feed", inputs.alias("inputs"), "n_inputs", F.lit(shards).cast("long").alias("n_outputs"),
+            F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"),
+        )
+        self._write(reduce(DataFrame.unionByName, [*journal, last]), f"{at}/journal")
+
+    def _merge_runs(self, gen: int, least: int | None = None) -> int:
+        """Merge the runs of each size class that has ``fan_in`` of them, until none has; the merged runs' records are deleted."""
+        while True:
+            by: dict[int, list[int]] = {}
+            for g, (size, _) in self.runs().items():
+                by.setdefault(0 if least else tier(size // max(1, self.target // self.fan_in), self.fan_in), []).append(g)
+            full = next((sorted(gs) for _, gs in sorted(by.items()) if len(gs) >= (least or self.fan_in)), None)
+            if full is None:
+                return gen
+            sizes, gen = self.runs(), gen + 1
+            records = reduce(DataFrame.unionByName, [self._read(g, "run", RECORD) for g in full])
+            feeds = self.journal().filter(F.col("generation").isin(full) & F.col("output").startswith("run=")).groupBy("feed").agg(F.countDistinct("output").alias("n_inputs"))
+            level = 1 + self.journal().filter(F.col("generation").isin(full)).agg(F.max("level")).first()[0]
+            self._run(gen, records, sum(sizes[g][0] for g in full), level, "runs", F.array(*(F.lit(f"run={g}") for g in full)), feeds, [])
+            for g in full:
+                remove(self.spark, f"{self.path}/gen={g}/run")
+
+    def compact(self) -> int:
+        """Merge all runs into one, so that each record stands in one file once."""
+        gens = self._generations()
+        return self._merge_runs(gens[-1], least=2) if len(self.runs()) > 1 else (gens[-1] if gens else -1)
+
+    def _entries(self, entries: DataFrame, level: int, kind: str) -> DataFrame:
+        one = F.lit(1).cast("long").alias("n_outputs")
+        return entries.select(F.lit(level).alias("level"), F.lit(kind).alias("kind"), F.col("segment_id").alias("output"), "feed", "inputs", "n_inputs", one, "n_records", "n_bytes")
+
+    @staticmethod
+    def _write(df: DataFrame, path: str) -> None:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)

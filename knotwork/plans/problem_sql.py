@@ -58,10 +58,25 @@ _HELD = """
 """
 P2 = f"{_HELD} SELECT feed, record_id FROM ids WHERE record_id IS NOT NULL GROUP BY feed, record_id HAVING count(DISTINCT file_id) > 1"
 
-P3_REJECTS = f"""{_HELD}, held AS (SELECT DISTINCT file_id FROM ids WHERE record_id IS NOT NULL),
+P2_REJECTS = f"""{_HELD}, held AS (SELECT DISTINCT file_id FROM ids WHERE record_id IS NOT NULL),
     f AS (SELECT file_id, feed, CASE WHEN content IS NULL OR content = '' THEN 'empty' WHEN NOT json_valid(content) THEN 'not_json' ELSE 'no_record' END AS reason FROM raw_files)
     SELECT DISTINCT file_id, feed, reason FROM f WHERE file_id NOT IN (SELECT file_id FROM held)"""
 
+_COPIES = f"""{_HELD.replace("    items AS", "    old_items AS").split("members AS")[0]}
+    items AS (SELECT file_id, feed, modified_at, i, json_extract(rs, '$[' || i || ']') AS r FROM (SELECT *, unnest(range(CAST(json_array_length(rs) AS BIGINT))) AS i FROM lists)),
+    members AS (SELECT file_id, i, feed, modified_at, r, unnest(json_keys(r)) AS k FROM items WHERE json_type(r) = 'OBJECT'),
+    texts AS (SELECT *, json_extract(r, '$."' || k || '"') AS v FROM members),
+    named AS (SELECT *, CASE json_type(v) WHEN 'ARRAY' THEN json_extract_string(v, '$[0]') ELSE json_extract_string(v, '$') END AS t FROM texts),
+    copies AS (SELECT file_id, i, feed, modified_at, r, CASE
+            WHEN feed = 'relation' AND regexp_full_match(t, 'rel_dev_\\d+') THEN t
+            WHEN feed = 'relation' AND k IN ('pair_id', 'pairId', 'PairID', 'pair_identifier', 'rel_pair', 'id') AND regexp_full_match(t, '\\d+') THEN printf('rel_dev_%08d', CAST(t AS BIGINT))
+            WHEN feed = 'connection' AND regexp_full_match(t, 'conn_dev_pair_[0-9a-f]+') THEN t END AS record_id FROM named)"""
+P2_RECORDS = f"""{_COPIES}, best AS (SELECT *, row_number() OVER (PARTITION BY feed, record_id ORDER BY modified_at DESC NULLS LAST, file_id DESC, i) AS n,
+        (SELECT count(DISTINCT c.file_id) FROM copies c WHERE c.feed = copies.feed AND c.record_id = copies.record_id) AS n_files FROM copies WHERE record_id IS NOT NULL)
+    SELECT feed, record_id, file_id, modified_at, n_files, json_extract_string(r, '$.rationale') AS rationale FROM best WHERE n = 1"""
+P2_JOURNAL = f"""{_HELD} SELECT feed, 3 AS n_levels, count(DISTINCT file_id) AS n_files, (SELECT count(DISTINCT record_id) FROM ids WHERE ids.feed = raw_files.feed AND record_id IS NOT NULL) AS n_records, CAST(0 AS BIGINT) AS n_unbalanced
+    FROM raw_files GROUP BY feed"""
+
 _REFS = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, {r} AS record_id, '{c}.ko_id' AS field_name, {c}.lecture_id AS l, {c}.ko_id AS k, recorded_at AS ts FROM {t} WHERE {c}.ko_id IS NOT NULL"
     for t, r, c in (("relation_predictions", "pair_id", "source"), ("relation_predictions", "pair_id", "target"), ("relation_errors", "error_id", "predicted_source"))
@@ -137,7 +152,7 @@ P5_PAIR_SPANS = f"""WITH r AS (SELECT DISTINCT {_ROW_KEY} AS row_key, evidence_s
 P1_VALUES = f"{_valued('relation_predictions', 'pair_id', _RELATION)} UNION ALL {_valued('connection_predictions', 'canonical_pair_id', _CONNECTION)}"
 
 ORACLE = {
-    "p1_found": P1, "p1_differences": P1_VALUES, "p2_found": P2, "p3_rejects": P3_REJECTS, "p4_found": P4, "p4_by_month": P4_MONTH,
+    "p1_found": P1, "p1_differences": P1_VALUES, "p2_found": P2, "p2_rejects": P2_REJECTS, "p2_records": P2_RECORDS, "p2_journal": P2_JOURNAL, "p4_found": P4, "p4_by_month": P4_MONTH,
     "p5_found": P5, "p5_runs": P5_RUNS, "p5_results": P5_RESULTS, "p5_evidence_spans": P5_SPANS, "p5_attempts": P5_ATTEMPTS, "p5_attempt_errors": P5_ERRORS,
     "p5_rejects": P5_REJECTS, "p5_pairs": P5_PAIRS, "p5_pair_spans": P5_PAIR_SPANS,
 }

@@ -30,8 +30,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _store(spark: SparkSession, d: str) -> compact.Store:
-    """All raw files taken into a new store; well-sized is 16 MB here, as the largest test data are a few hundred MB."""
-    store = compact.Store(spark, fresh_dir(spark, "compact"), target_bytes=16 << 20, fan_in=64)
+    """All raw files taken into a new store; well-sized is 16 MB here, as the largest test data are a few hundred MB.
+
+    Segments have 64 KB at level 1 and 1 MB at level 2, level 3 is the run.
+    """
+    store = compact.Store(spark, fresh_dir(spark, "compact"), target_bytes=16 << 20, fan_in=16)
     store.add(wide_table(spark, d, "raw_files"))
     return store
 
@@ -41,14 +44,41 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_compacted(spark: SparkSession, d: str) -> DataFrame:
-    """Every record exactly once, with its latest copy."""
+    """Every record exactly once: its latest copy, by time then file id."""
     return _store(spark, d).base().select("feed", "record_id", "file_id", "modified_at", "record", "n_files")
 
 
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a field out of the kept copy's text."""
+    return p2_compacted(spark, d).withColumn("rationale", F.get_json_object("record", "$.rationale")).drop("record")
+
+
+def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Files that hold no record, and why; none is left out unseen."""
+    return compact.rejected(wide_table(spark, d, "raw_files"))
+
+
+def p2_levels(spark: SparkSession, d: str) -> DataFrame:
+    """What the merges took in and gave, per level and feed."""
+    j = _store(spark, d).journal()
+    return j.groupBy("level", "kind", "feed").agg(F.sum("n_inputs").alias("n_inputs"), F.sum("n_outputs").alias("n_outputs"), F.sum("n_records").alias("n_records"))
+
+
 def p2_journal(spark: SparkSession, d: str) -> DataFrame:
-    """What the merges took in and gave, per level."""
+    """The journal's balance per feed: files taken in, records given, and segments that no merge or several merges took in."""
     j = _store(spark, d).journal()
-    return j.groupBy("level", "feed").agg(F.sum(F.size("inputs")).alias("n_inputs"), F.count("*").alias("n_outputs"))
+    sums = j.groupBy("feed").agg(
+        F.sum(F.when(F.col("kind") == "files", F.col("n_inputs"))).alias("n_files"), F.max(F.when(F.col("output").startswith("run="), F.col("n_records"))).alias("n_records"),
+        F.max("level").alias("n_levels"),
+    )
+    made = j.filter("output NOT LIKE 'run=%'").select("feed", "level", F.col("output").alias("segment"))
+    used = j.filter("kind = 'segments' AND output NOT LIKE 'run=%'").select("feed", (F.col("level") - 1).alias("level"), F.explode("inputs").alias("segment"))
+    used = used.groupBy("feed", "level", "segment").agg(F.count("*").alias("n_uses"))
+    last = j.filter("output LIKE 'run=%'").select("feed", (F.col("level") - 1).alias("level"), F.col("n_inputs").alias("n_last"))
+    each = made.join(used, ["feed", "level", "segment"], "full").join(last, ["feed", "level"], "left")
+    by = each.groupBy("feed", "level").agg(F.max("n_last").alias("n_last"), F.count("*").alias("n"), F.count_if(F.col("n_last").isNull() & (F.coalesce("n_uses", F.lit(0)) != 1)).alias("bad"))
+    off = by.groupBy("feed").agg(F.sum(F.col("bad") + F.when(F.col("n_last").isNotNull(), F.abs(F.col("n_last") - F.col("n"))).otherwise(0)).alias("n_unbalanced"))
+    return sums.join(off, "feed").select("feed", "n_levels", "n_files", "n_records", "n_unbalanced")
 
 
 def _drift(spark: SparkSession, d: str):
@@ -71,11 +101,6 @@ def p3_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return drift.alternatives(_drift(spark, d)[2])
 
 
-def p3_rejects(spark: SparkSession, d: str) -> DataFrame:
-    """Files that hold no record, and why; none is left out unseen."""
-    return compact.rejected(wide_table(spark, d, "raw_files"))
-
-
 def p3_relation(spark: SparkSession, d: str) -> DataFrame:
     files, contracts, _, evidence = _drift(spark, d)
     return drift.unified(files, contracts["relation"], evidence["relation"])
@@ -187,8 +212,8 @@ def p5_pair_spans(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_differences": p1_differences,
-    "p2_found": p2_found, "p2_compacted": p2_compacted, "p2_journal": p2_journal,
-    "p3_found": p3_found, "p3_changes": p3_changes, "p3_alternatives": p3_alternatives, "p3_rejects": p3_rejects, "p3_relation": p3_relation, "p3_connection": p3_connection,
+    "p2_found": p2_found, "p2_compacted": p2_compacted, "p2_journal": p2_journal, "p2_levels": p2_levels, "p2_records": p2_records, "p2_rejects": p2_rejects,
+    "p3_found": p3_found, "p3_changes": p3_changes, "p3_alternatives": p3_alternatives, "p3_relation": p3_relation, "p3_connection": p3_connection,
     "p4_found": p4_found, "p4_by_month": p4_by_month,
     "p5_found": p5_found, "p5_runs": _run_table(""), "p5_results": _run_table("results"), "p5_evidence_spans": _run_table("results.evidence_spans"),
     "p5_attempts": _run_table("results.attempts"), "p5_attempt_errors": _run_table("results.attempts.errors"),

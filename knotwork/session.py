@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -30,7 +31,7 @@ def local_session(cores: int | str = 8, shuffle: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one is made only where it is unset."""
+    """The folder named by spark.checkpoint.dir. Only a local session may leave it unset; it gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._conf.get("spark.checkpoint.dir", None)
@@ -38,13 +39,32 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="knotwork_")
         spark.sparkContext.setCheckpointDir(f"file://{found}")
     return found.rstrip("/")
 
 
+#: Folders made in this process and not yet deleted; the rest goes when it ends.
+_left: dict[str, SparkSession] = {}
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/knotwork_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/knotwork_{name}_{uuid.uuid4().hex}"
+    if not _left:
+        atexit.register(_sweep)
+    _left[path] = spark
+    return path
+
+
+def _sweep() -> None:
+    """Delete what results still read when the process ended; a JVM that is gone already leaves it to :func:`clean`."""
+    for path, spark in list(_left.items()):
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001
+            return
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -56,25 +76,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`written`, once everything that reads it has been written itself."""
-    path = getattr(df, "_knotwork_path", None)
-    if path:
-        _delete(df.sparkSession, path)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written`, once everything that reads them has been written itself."""
+    for df in tables:
+        path = getattr(df, "_knotwork_path", None)
+        if path:
+            remove(df.sparkSession, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+    _left.pop(path, None)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none where it does not exist."""
+    p, fs = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
 def clean(spark: SparkSession) -> None:
     """Delete all tables that this library left in the shared folder; results not yet read are lost."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for s in fs.listStatus(root) if fs.exists(root) else []:
-        if s.getPath().getName().startswith("knotwork_"):
-            fs.delete(s.getPath(), True)
+    root = shared_dir(spark)
+    for name in listed(spark, root):
+        if name.startswith("knotwork_"):
+            remove(spark, f"{root}/{name}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
