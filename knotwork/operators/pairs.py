@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,19 +47,6 @@ def universe_counts(df: DataFrame, group: str, key: str) -> DataFrame:
     return n.withColumn("n_pairs", (F.col("n_objects") * (F.col("n_objects") - 1) / 2).cast("long"))
 
 
-def cross_universe(objects: DataFrame, block: str, key: str, lectures: str) -> DataFrame:
-    """Pairs of a block that have a combination of different lectures, with strata and scope.
-
-    A pair is left out only if both objects live in exactly one and the same lecture. ``lectures`` is
-    an array column; ``stratum`` tells whether the arrays overlap.
-    """
-    side = lambda s: objects.select(col(block).alias("block"), col(key).alias(s), F.array_distinct(col(lectures)).alias(f"l{s}"))
-    pairs = side("a").join(side("b"), "block").filter("a < b")
-    one_same = (F.size("la") == 1) & (F.size("lb") == 1) & (F.col("la")[0] == F.col("lb")[0])
-    stratum = F.when(F.arrays_overlap("la", "lb"), "overlapping_provenance").otherwise("disjoint_provenance")
-    return pairs.filter(~one_same).select("block", "a", "b", M.pair_id("pair_", F.col("a").cast("string"), F.col("b").cast("string")).alias("pair_id"), stratum.alias("stratum"))
-
-
 SCOPES = {"course": ("same_course_cross_lecture", "cross_course"), "topic": ("same_topic_cross_lecture", "cross_topic")}
 
 
@@ -122,71 +110,162 @@ def weighted_jaccard(objects: DataFrame, block: Sequence[str], key: str, tokens:
     return shared.select(*(F.col(n).alias(c) for c, n in zip(block, bs, strict=True)), "a", "b", "n_shared", score.alias("weighted_jaccard"))
 
 
-def ranked(df: DataFrame, score: str, ids: Sequence[str], within: Sequence[str] = (), out: str = "rank") -> DataFrame:
-    """Rank by score, highest first, ids break ties."""
-    if within:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(score), *ids)).cast("long"))
-    return numbered(df.withColumn("neg_", -F.col(score)), ["neg_", *ids], out).drop("neg_")
+def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Ranks from 1 inside each group over a total order, without a task that sees a whole group.
 
+    The rows are numbered over group and order together; a group's first number, a partial minimum,
+    is taken off. Nulls in ``by`` are one group.
+    """
+    held = numbered(df, [*by, *order], "no_")
+    first = held.groupBy(*(col(c).alias(f"g{i}_") for i, c in enumerate(by))).agg(F.min("no_").alias("first_"))
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(f"g{i}_").eqNullSafe(col(c))
+    return held.join(first, on).withColumn(out, F.col("no_") - F.col("first_") + 1).drop("no_", "first_", *(f"g{i}_" for i in range(len(by))))
 
-def top_fraction(df: DataFrame, fraction: float, within: Sequence[str], rank: str = "rank") -> DataFrame:
-    """The first max(1, floor(n * fraction)) ranks of each group."""
-    n = F.count("*").over(Window.partitionBy(*within))  # of the partitioning that the ranks already have
-    keep = F.greatest(F.lit(1), F.floor(n * F.lit(fraction)))
-    return df.withColumn("keep_", keep).filter(F.col(rank) <= F.col("keep_")).drop("keep_")
 
+def ranked(df: DataFrame, score: str, ids: Sequence[str], within: Sequence[str] = (), out: str = "rank") -> DataFrame:
+    """Rank by score, highest first, ids break ties; no task sorts a whole group."""
+    signed = df.withColumn("neg_", -F.col(score))
+    made = rank_within(signed, list(within), ["neg_", *ids], out) if within else numbered(signed, ["neg_", *ids], out)
+    return made.drop("neg_")
 
-def retained(objects: DataFrame, block: Sequence[str], key: str, scored: DataFrame, fraction: float, score: str = "weighted_jaccard", kind: str | None = None, bonus: float = 0.03, digits: int = 9) -> DataFrame:
-    """``*block, a, b, n_shared, score, rank`` of the first max(1, floor(n * fraction)) of all n pairs of a block.
 
-    ``scored`` has the pairs that share a token; all others of the block follow with 0, ties in the
-    order of the ids. Pairs whose ``kind`` differs get ``bonus`` on top. By definition it makes
-    n(n-1)/2 rows per block, so blocks must be of bounded size.
-    """
-    bs = [f"block_{i}" for i in range(len(block))]
-    one = objects.select(*(col(c).alias(n) for c, n in zip(block, bs, strict=True)), col(key).alias("a"), (col(kind) if kind else F.lit(None)).alias("kind_a")).dropna(subset=[*bs, "a"]).dropDuplicates([*bs, "a"])
-    every = one.join(one.withColumnsRenamed({"a": "b", "kind_a": "kind_b"}), bs).filter("a < b")
-    n = universe_counts(one.withColumn("group_", F.struct(*bs)), "group_", "a").select("group.*", F.greatest(F.lit(1), F.floor(F.col("n_pairs") * F.lit(fraction))).alias("keep_"))
-    known = scored.select(*(col(c).alias(n_) for c, n_ in zip(block, bs, strict=True)), "a", "b", "n_shared", F.col(score).alias("score"))
-    extra = F.when(~F.col("kind_a").eqNullSafe(F.col("kind_b")), F.lit(bonus)).otherwise(F.lit(0.0))
-    pairs = every.join(known, [*bs, "a", "b"], "left").select(*bs, "a", "b", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"), F.round(F.coalesce("score", F.lit(0.0)) + extra, digits).alias("score"))
-    kept = ranked(pairs, "score", ["a", "b"], bs).join(n, bs).filter("rank <= keep_")
-    return kept.select(*(F.col(n_).alias(c) for c, n_ in zip(block, bs, strict=True)), "a", "b", "n_shared", "score", "rank")
+def top_fraction(df: DataFrame, sizes: DataFrame, fraction: float, within: Sequence[str], rank: str = "rank") -> DataFrame:
+    """The first max(1, floor(n * fraction)) ranks of each group, where ``sizes`` has ``*within, n_pairs``."""
+    keep = F.greatest(F.lit(1), F.floor(F.col("n_pairs") * F.lit(fraction)))
+    return df.join(sizes.select(*within, keep.alias("keep_")), list(within)).filter(F.col(rank) <= F.col("keep_")).drop("keep_")
 
 
 METHODS = ("all_pairs", "overlap_bridge", "lexical_only", "hybrid_provenance_lexical")
+#: Partitions over which the objects of one lecture spread, and objects per block of a running sum.
+PARTS, BLOCK = 16, 1 << 16
 
 
-def connection_candidates(objects: DataFrame, key: str, lectures: str, tokens: str, method: str, fraction: float = 0.8, kind: str | None = None, bonus: float = 0.03, digits: int = 9) -> DataFrame:
-    """``a, b, stratum, score, rank``: the selection of a method from the cross-lecture universe of all objects.
+def sharing(objects: DataFrame, key: str, lectures: str) -> DataFrame:
+    """``a, b``: the eligible pairs that share a lecture, a before b.
+
+    Two objects of one and the same lecture only are no pair, so one of each pair has several lectures:
+    only those look their lectures up in the index. The objects of a large lecture are spread by salt.
+    """
+    at = objects.select(col(key).alias("k"), F.size(col(lectures)).alias("m"), F.explode(col(lectures)).alias("l"))
+    many = at.filter("m > 1").select("l", F.col("k").alias("x"), F.explode(F.array(*map(F.lit, range(PARTS)))).alias("salt"))
+    every = at.select("l", F.col("k").alias("y"), F.pmod(F.hash("k"), F.lit(PARTS)).alias("salt"))
+    return many.join(every, ["l", "salt"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def connection_candidates(objects: DataFrame, key: str, lectures: str, tokens: str, method: str, fraction: float = 0.8, kind: str | None = None, bonus: float = 0.03, digits: int = 9) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, tail)``: the selection of a method from the cross-lecture universe of all objects.
 
     ``all_pairs`` keeps every pair, ``overlap_bridge`` those that share a lecture; ``lexical_only``
     and ``hybrid_provenance_lexical`` keep the first max(1, floor(n * fraction)) of all n eligible
     pairs by weighted overlap, plus ``bonus`` where ``kind`` differs, the latter plus 1 where a
-    lecture is shared; pairs of score 0 follow in the order of the ids. The result is by definition
-    quadratic in the objects; ids are numbers until it is cut.
+    lecture is shared; ties in the order of the ids. No pair is lost and none is made in vain:
+    ``pairs`` (``a, b, stratum, score, rank``) has the kept pairs that share a token (for the hybrid
+    also those that share a lecture), which two inverted indexes give; all others have one of two
+    scores, and ``tail`` (``score, n_pairs, n_kept, last_a, last_b``) says for each how many there are and
+    how many are kept: all, none, or those up to the pair ``last_a, last_b`` in id order. ``rank`` is
+    that among all eligible pairs for pairs that score more than the tail, else null. Null keys and
+    objects without a lecture are left out, repeated keys count once.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
-    own = objects.select(col(key).alias("k"), F.array_compact(F.array_distinct(col(lectures))).alias("l"), col(tokens).alias("t"), (col(kind) if kind else F.lit(None).cast("string")).alias("kind"))
-    o = numbered(own.dropna(subset=["k"]).filter(F.size("l") > 0).dropDuplicates(["k"]), ["k"], "n")
-    side = lambda s: o.select(F.col("n").alias(s), F.col("l").alias(f"l{s}"), F.col("kind").alias(f"kind_{s}"))
-    one_same = (F.size("la") == 1) & (F.size("lb") == 1) & (F.col("la")[0] == F.col("lb")[0])
-    pairs = side("a").crossJoin(side("b")).filter("a < b").filter(~one_same)
-    pairs = pairs.select("a", "b", F.arrays_overlap("la", "lb").alias("shared"), (~F.col("kind_a").eqNullSafe(F.col("kind_b"))).alias("differ"))
-    if method in METHODS[:2]:
-        pairs = pairs.filter("shared") if method == "overlap_bridge" else pairs
-        kept = numbered(pairs.withColumn("score", F.lit(1.0)), ["a", "b"], "rank")
+    c, spark = F.col, objects.sparkSession
+    own = objects.select(col(key).alias("k"), F.array_compact(F.array_distinct(col(lectures))).alias("l"), col(tokens).alias("t"), (F.coalesce(col(kind), F.lit("")) if kind and bonus else F.lit("")).alias("kind"))
+    o = written(numbered(own.dropna(subset=["k"]).filter(F.size("l") > 0).dropDuplicates(["k"]), ["k"], "n"), "objects")
+    total = eligible_pairs(o, "l").first()[0]
+    tails = "score double, n_pairs long, n_kept long, last_a string, last_b string"
+    name = lambda s: small(o.select(c("n").alias(s), c("k").alias(f"k{s}")))
+    if method == "all_pairs":
+        return o.limit(0).select(c("k").alias("a"), c("k").alias("b"), F.lit("").alias("stratum"), F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("rank")), spark.createDataFrame([(1.0, total, total, None, None)], tails)
+    shared = sharing(o, "n", "l").withColumn("shared", F.lit(True))
+    if method == "overlap_bridge":
+        kept = numbered(shared, ["a", "b"], "rank").join(name("a"), "a").join(name("b"), "b")
+        return kept.select(c("ka").alias("a"), c("kb").alias("b"), F.lit("overlapping_provenance").alias("stratum"), F.lit(1.0).alias("score"), "rank"), spark.createDataFrame([], tails)
+    hybrid = method == METHODS[3]
+    scored = weighted_jaccard(o, [], "n", "t", idf(o, "n", "t")).select("a", "b", "weighted_jaccard")
+    met = scored.join(shared, ["a", "b"], "full" if hybrid else "left")
+    side = lambda s: small(o.select(c("n").alias(s), c("l").alias(f"l{s}"), c("kind").alias(f"kind_{s}")))
+    one_same = (F.size("la") == 1) & (F.size("lb") == 1) & (c("la")[0] == c("lb")[0])
+    met = met.join(side("a"), "a").join(side("b"), "b").filter(~one_same).withColumn("differ", c("kind_a") != c("kind_b"))
+    score = F.coalesce("weighted_jaccard", F.lit(0.0)) + F.when(c("differ"), F.lit(bonus)).otherwise(0.0) + (F.when(c("shared"), 1.0).otherwise(0.0) if hybrid else F.lit(0.0))
+    found = ranked(met.select("a", "b", F.coalesce("shared", F.lit(False)).alias("shared"), "differ", F.round(score, digits).alias("score")), "score", ["a", "b"])
+    later = _later(o, found, bonus)
+    n_differ, n_same = later.agg(F.coalesce(F.sum("differ"), F.lit(0)), F.coalesce(F.sum("same"), F.lit(0))).first()
+    above, ties = found.agg(F.count_if(c("score") > bonus), F.count_if(c("score") == bonus)).first()
+    between = found.count() - above - ties
+    keep = max(1, math.floor(total * fraction)) if total else 0
+    # in order: scores above the bonus, the bonus (tail of differing kinds and ties), scores below it, 0
+    at_bonus, below = above + ties + n_differ, above + ties + n_differ + between
+    tie = c("score") == bonus
+    if keep <= above or at_bonus < keep <= below:
+        position = keep if keep <= above else keep - n_differ
+        cut = found.filter(c("rank") == position).select("score", "a", "b").first() or (float("inf"), -1, -1)
+        kept_differ, kept_same, last = (0 if keep <= above else n_differ), 0, {}
+    elif keep <= at_bonus:
+        a, b = _nth(o, found.filter(tie), later.withColumn("c", c("differ") + c("ties")), found, keep - above, True)
+        cut, kept_same = (bonus, a, b), 0
+        kept_differ = keep - above - found.filter(tie & ((c("a") < a) | ((c("a") == a) & (c("b") <= b)))).count()
+        last = {bonus: (a, b)}
     else:
-        scored = weighted_jaccard(o, [], "n", "t", idf(o, "n", "t")).select("a", "b", "weighted_jaccard")
-        score = F.coalesce("weighted_jaccard", F.lit(0.0)) + F.when(F.col("differ"), F.lit(bonus)).otherwise(0.0)
-        if method == "hybrid_provenance_lexical":
-            score = score + F.when(F.col("shared"), 1.0).otherwise(0.0)
-        pairs = ranked(pairs.join(scored, ["a", "b"], "left").select("a", "b", "shared", F.round(score, digits).alias("score")), "score", ["a", "b"])
-        kept = pairs.crossJoin(F.broadcast(eligible_pairs(o, "l"))).filter(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n_pairs") * F.lit(fraction))))
-    name = lambda s: small(o.select(F.col("n").alias(s), F.col("k").alias(f"k{s}")))
-    stratum = F.when(F.col("shared"), "overlapping_provenance").otherwise("disjoint_provenance")
-    return kept.join(name("a"), "a").join(name("b"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"), stratum.alias("stratum"), "score", "rank")
+        kept_differ, kept_same = n_differ, keep - below
+        a, b = _nth(o, None, later.withColumn("c", c("same")), found, kept_same, False) if kept_same < n_same else (-1, -1)
+        cut, last = (-1.0, -1, -1), {0.0: (a, b)} if a >= 0 else {}
+    inside = (c("score") > cut[0]) | ((c("score") == cut[0]) & ((c("a") < cut[1]) | ((c("a") == cut[1]) & (c("b") <= cut[2]))))
+    stratum = F.when(F.arrays_overlap("la", "lb"), "overlapping_provenance").otherwise("disjoint_provenance")
+    full = lambda s: small(o.select(c("n").alias(s), c("k").alias(f"k{s}"), c("l").alias(f"l{s}")))
+    pairs = found.filter(inside).join(full("a"), "a").join(full("b"), "b").select(c("ka").alias("a"), c("kb").alias("b"), stratum.alias("stratum"), "score", F.when(c("score") > bonus, c("rank")).alias("rank"))
+    label = {n: k for n, k in o.filter(c("n").isin([x for pair in last.values() for x in pair])).select("n", "k").collect()} if last else {}
+    rows = [(s, n, kept, *([label[x] for x in last[s]] if s in last else (None, None))) for s, n, kept in ((bonus, n_differ, kept_differ), (0.0, n_same, kept_same)) if n]
+    return pairs, spark.createDataFrame(rows, tails)
+
+
+def _later(o: DataFrame, found: DataFrame, bonus: float) -> DataFrame:
+    """``n, differ, same, ties``: for each object the eligible pairs with later objects that ``found`` lacks, by kind, and ties with the bonus.
+
+    The pairs with all later objects, less those of one kind, less those of one lecture only, from
+    ranks inside kinds and lectures: no pair is made.
+    """
+    c = F.col
+
+    def after(by: tuple[str, ...], out: str) -> DataFrame:
+        """How many objects of the same ``by`` come later: counts per block of numbers, then places inside the block."""
+        rows = o.withColumn("one", F.when(F.size("l") == 1, c("l")[0]))
+        rows = (rows.filter("one IS NOT NULL") if "one" in by else rows).select("n", F.to_json(F.struct(*by)).alias("by_"), F.floor(c("n") / BLOCK).alias("block_"))
+        sizes = rows.groupBy("by_", "block_").agg(F.count("*").alias("m_"))
+        upto = F.sum("m_").over(Window.partitionBy("by_").orderBy(F.desc("block_")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        inside = F.row_number().over(Window.partitionBy("by_", "block_").orderBy("n"))
+        return rows.withColumn("i_", inside).join(sizes.withColumn("upto_", upto), ["by_", "block_"]).select("n", (c("upto_") - c("i_")).alias(out))
+
+    e = found.groupBy(c("a").alias("n")).agg(F.count_if("differ").alias("e_differ"), F.count_if(~c("differ")).alias("e_same"), F.count_if(c("score") == F.lit(bonus)).alias("ties"))
+    rows = o.select("n").crossJoin(F.broadcast(o.agg(F.max("n").alias("top"))))  # one row
+    for by, out in ((("kind",), "t"), (("one",), "l"), (("kind", "one"), "lt")):
+        rows = rows.join(after(by, out), "n", "left")
+    rows = rows.join(e, "n", "left").fillna(0)
+    differ = (c("top") - c("n") - c("t")) - (c("l") - c("lt")) - c("e_differ")
+    return written(rows.select("n", differ.alias("differ"), (c("t") - c("lt") - c("e_same")).alias("same"), "ties"), "later")
+
+
+def _nth(o: DataFrame, ties: DataFrame | None, counts: DataFrame, found: DataFrame, m: int, differ: bool) -> tuple[int, int]:
+    """The m-th pair, in id order, of the tail of differing or of same kinds, ties of its score included.
+
+    ``counts`` has ``n, c``: the pairs of each first object. A running sum over blocks of objects finds the
+    block, one inside it the object, and its later objects are numbered; nothing grows with the pairs.
+    """
+    c = F.col
+    upto = lambda by, order: F.sum("c").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    blocks = counts.groupBy(F.floor(c("n") / BLOCK).alias("block")).agg(F.sum("c").alias("c"))  # a BLOCK-th of the objects
+    block = blocks.withColumn("s", upto([], "block")).filter(c("s") >= m).orderBy("block").first()
+    inside = counts.filter(F.floor(c("n") / BLOCK) == block.block).withColumn("s", upto([], "n") + (block.s - block.c))
+    first = inside.filter(c("s") >= m).orderBy("n").first()
+    one = o.filter(c("n") == first.n).select(c("l").alias("la"), c("kind").alias("kind_a"))
+    rows = o.filter(c("n") > first.n).crossJoin(F.broadcast(one))  # one row
+    rows = rows.filter(~((F.size("l") == 1) & (F.size("la") == 1) & (c("l")[0] == c("la")[0]))).filter((c("kind") != c("kind_a")) == F.lit(differ)).select("n")
+    rows = rows.join(found.filter(c("a") == first.n).select(c("b").alias("n")), "n", "left_anti")
+    if ties is not None:
+        rows = rows.unionByName(ties.filter(c("a") == first.n).select(c("b").alias("n")))
+    at = m - (first.s - first.c)
+    return first.n, numbered(rows, ["n"], "no").filter(c("no") == at).first().n
 
 
 def eligible_pairs(objects: DataFrame, lectures: str) -> DataFrame:

@@ -65,14 +65,6 @@ def canonical_objects(spark: SparkSession, d: str) -> DataFrame:
     return k.withColumn("noun", F.regexp_extract("k", "[^ ]+$", 0))
 
 
-@query(f"""WITH o AS (SELECT k, l, {_NOUN} AS noun FROM {_CANON})
-    SELECT a.noun AS block, a.k AS a, b.k AS b, 'pair_' || left(sha256('connection_pair_v0.1|' || a.k || '|' || b.k), 16) AS pair_id,
-    CASE WHEN list_has_any(a.l, b.l) THEN 'overlapping_provenance' ELSE 'disjoint_provenance' END AS stratum
-    FROM o a JOIN o b ON a.noun = b.noun AND a.k < b.k WHERE NOT (len(a.l) = 1 AND len(b.l) = 1 AND a.l[1] = b.l[1])""")
-def pair_universe_cross(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.cross_universe(canonical_objects(spark, d), "noun", "k", "l")
-
-
 @query(f"""WITH p AS (SELECT lecture_id, max(course_id) AS c, max(topic_id) AS t FROM lectures GROUP BY 1),
     x AS (SELECT k, lecture_id, coalesce(c, '') AS c, coalesce(t, '') AS t FROM (SELECT DISTINCT {NAME_KEY.format('name')} AS k, lecture_id FROM {KO} WHERE lecture_id IS NOT NULL) LEFT JOIN p USING (lecture_id))
     SELECT a.k AS a, b.k AS b, 'pair_' || left(sha256('connection_pair_v0.1|' || a.k || '|' || b.k), 16) AS pair_id,
@@ -80,7 +72,7 @@ def pair_universe_cross(spark: SparkSession, d: str) -> DataFrame:
     bool_or(a.lecture_id <> b.lecture_id AND a.c = b.c) AS same_course_cross_lecture, bool_or(a.lecture_id <> b.lecture_id AND a.c <> b.c) AS cross_course,
     bool_or(a.lecture_id <> b.lecture_id AND a.t = b.t) AS same_topic_cross_lecture, bool_or(a.lecture_id <> b.lecture_id AND a.t <> b.t) AS cross_topic
     FROM x a JOIN x b ON a.k < b.k GROUP BY 1, 2 HAVING bool_or(a.lecture_id <> b.lecture_id)""")
-def pair_universe_cross_all(spark: SparkSession, d: str) -> DataFrame:
+def pair_universe_cross(spark: SparkSession, d: str) -> DataFrame:
     """The universe over all names, with scope flags."""
     k = objects(spark, d).select(X.name_key_native(F.col("name")).alias("k"), "lecture_id")
     places = table(spark, d, "lectures").groupBy(F.col("lecture_id").alias("lecture")).agg(F.max("course_id").alias("course"), F.max("topic_id").alias("topic"))
@@ -90,24 +82,8 @@ def pair_universe_cross_all(spark: SparkSession, d: str) -> DataFrame:
 _ORD = "list_filter(" + WORDS.format("key") + ", lambda x: x <> 's')"
 _SUB = "(len({0}) > 0 AND len({1}) > 0 AND list_has_all({1}, {0}) AND NOT list_has_all({0}, {1}))"
 _INI = "(len({0}) = 1 AND length({0}[1]) >= 2 AND {0}[1] = array_to_string(list_transform({1}, lambda x: left(x, 1)), ''))"
-_REASONS = f"""array_to_string(list_filter([
-    CASE WHEN a.key = b.key THEN 'exact_normalized_name' END,
-    CASE WHEN a.w = b.w AND a.key <> b.key THEN 'name_token_equivalence' END,
-    CASE WHEN {_INI.format('a.w', 'b.w')} OR {_INI.format('b.w', 'a.w')} THEN 'initialism_name_match' END,
-    CASE WHEN {_SUB.format('a.w', 'b.w')} OR {_SUB.format('b.w', 'a.w')} THEN 'name_token_containment' END,
-    CASE WHEN list_has_any(a.spans, b.spans) THEN 'exact_source_span' END], lambda x: x IS NOT NULL), ',')"""
-
-
-@query(f"""WITH m AS (SELECT *, {_ORD} AS w FROM (SELECT *, {NAME_KEY.format('name')} AS key FROM {KO} WHERE type IS NOT NULL AND name IS NOT NULL))
-    SELECT * FROM (SELECT a.lecture_id AS block, a.predicted_ko_id AS a, b.predicted_ko_id AS b, {_REASONS} AS reasons
-    FROM m a JOIN m b ON a.lecture_id = b.lecture_id AND a.type = b.type AND a.predicted_ko_id < b.predicted_ko_id) WHERE reasons <> ''""")
-def identity_candidates(spark: SparkSession, d: str) -> DataFrame:
-    found = pairs.identity_candidates(objects(spark, d), "lecture_id", "predicted_ko_id", "type", "name", "spans")
-    return found.withColumn("reasons", F.array_join("reasons", ","))
-
-
 _PLAIN = "replace(replace({0}, 'ï', 'i'), 'ö', 'o')"
-_REASONS_ALL = f"""array_to_string(list_filter([
+_REASONS = f"""array_to_string(list_filter([
     CASE WHEN a.key = b.key THEN 'exact_normalized_name' END,
     CASE WHEN {_PLAIN.format('a.key')} = {_PLAIN.format('b.key')} AND a.key <> b.key THEN 'frozen_alias_identity' END,
     CASE WHEN a.w = b.w AND a.key <> b.key THEN 'name_token_equivalence' END,
@@ -117,8 +93,8 @@ _REASONS_ALL = f"""array_to_string(list_filter([
 
 
 @query(f"""WITH m AS (SELECT *, {_ORD} AS w FROM (SELECT *, lecture_id || '::' || predicted_ko_id AS id, {NAME_KEY.format('name')} AS key FROM {KO} WHERE type IS NOT NULL AND name IS NOT NULL))
-    SELECT * FROM (SELECT a.id AS a, b.id AS b, {_REASONS_ALL} AS reasons FROM m a JOIN m b ON a.type = b.type AND a.id < b.id) WHERE reasons <> ''""")
-def identity_candidates_all(spark: SparkSession, d: str) -> DataFrame:
+    SELECT * FROM (SELECT a.id AS a, b.id AS b, {_REASONS} AS reasons FROM m a JOIN m b ON a.type = b.type AND a.id < b.id) WHERE reasons <> ''""")
+def identity_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Over all lectures; names with a diaeresis are aliases of the plain ones, as in :func:`alias_clusters`."""
     k = objects(spark, d).withColumn("id", M.ref_label(F.col("lecture_id"), F.col("predicted_ko_id")))
     own = k.select(X.name_key_native(F.col("name")).alias("alias")).distinct()
@@ -207,50 +183,80 @@ def weighted_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return _part_scores(spark, d).withColumn("weighted_jaccard", F.round("weighted_jaccard", 9))
 
 
-@query(f"""WITH {_PART}, r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY round(weighted_jaccard, 9) DESC, a, b) AS rank, count(*) OVER (PARTITION BY p_brand, p_type) AS n FROM s)
-    SELECT p_brand, p_type, a, b, n_shared, round(weighted_jaccard, 9) AS weighted_jaccard, rank FROM r WHERE rank <= greatest(1, CAST(floor(n * 0.8) AS BIGINT))""")
-def topk_retention(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of a block that share a token, ranked by weighted overlap, the top four fifths of them kept."""
-    s = pairs.ranked(weighted_jaccard(spark, d), "weighted_jaccard", ["a", "b"], ["p_brand", "p_type"])
-    return pairs.top_fraction(s, 0.8, ["p_brand", "p_type"])
+_BLOCKED = f"""{_PART}, e AS (SELECT a.p_brand, a.p_type, a.p_name AS a, b.p_name AS b FROM o a JOIN o b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_name < b.p_name),
+    f AS (SELECT e.*, coalesce(n_shared, 0) AS n_shared, round(coalesce(weighted_jaccard, 0), 9) AS weighted_jaccard FROM e LEFT JOIN s USING (p_brand, p_type, a, b)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY weighted_jaccard DESC, a, b) AS rank, count(*) OVER (PARTITION BY p_brand, p_type) AS n FROM f)"""
+_KEPT = "rank <= greatest(1, CAST(floor(n * 0.8) AS BIGINT))"
+_BLOCK = ["p_brand", "p_type"]
 
 
-@query(f"""WITH {_PART}, e AS (SELECT a.p_brand, a.p_type, a.p_name AS a, b.p_name AS b FROM o a JOIN o b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_name < b.p_name),
-    f AS (SELECT e.*, coalesce(n_shared, 0) AS n_shared, round(coalesce(weighted_jaccard, 0), 9) AS weighted_jaccard FROM e LEFT JOIN s USING (p_brand, p_type, a, b)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY weighted_jaccard DESC, a, b) AS rank, count(*) OVER (PARTITION BY p_brand, p_type) AS n FROM f)
-    SELECT p_brand, p_type, a, b, n_shared, weighted_jaccard, rank FROM r WHERE rank <= greatest(1, CAST(floor(n * 0.8) AS BIGINT))""")
-def topk_retention_all(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: all candidate pairs of a block, ranked by weighted overlap, the top four fifths of the block's universe kept."""
+def _part_sizes(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_brand", "p_type", "p_name").distinct()
-    kept = pairs.retained(p, ["p_brand", "p_type"], "p_name", _part_scores(spark, d), 0.8)
-    return kept.withColumnRenamed("score", "weighted_jaccard")
+    return pairs.universe_counts(p.withColumn("block", F.struct("p_brand", "p_type")), "block", "p_name").select("group.*", "n_pairs")
 
 
-@query(f"""WITH o AS (SELECT k, l, {_NOUN} AS noun, {TOKENS.format('k')} AS t FROM {_CANON}), w AS {_IDF},
-    s AS (SELECT a.noun, a.k AS a, b.k AS b, CASE WHEN list_has_any(a.l, b.l) THEN 1.0 ELSE 0.0 END AS bonus,
-        round((SELECT sum(idf) FROM w WHERE list_contains(list_intersect(a.t, b.t), token)) / (SELECT sum(idf) FROM w WHERE list_contains(list_concat(a.t, b.t), token)), 12) AS wj
-        FROM o a JOIN o b ON a.noun = b.noun AND a.k < b.k AND list_has_any(a.t, b.t))
-    SELECT noun, a, b, round(wj + bonus, 9) AS score, row_number() OVER (PARTITION BY noun ORDER BY round(wj + bonus, 9) DESC, a, b) AS rank FROM s""")
-def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
-    k = canonical_objects(spark, d).withColumn("tokens", X.token_set(F.col("k")))
-    s = pairs.weighted_jaccard(k, ["noun"], "k", "tokens", pairs.idf(k, "k", "tokens"))
-    side = lambda n: k.select(F.col("k").alias(n), F.col("l").alias(f"l{n}"))
-    s = s.join(side("a"), "a").join(side("b"), "b")
-    score = F.round(F.col("weighted_jaccard") + F.when(F.arrays_overlap("la", "lb"), 1.0).otherwise(0.0), 9)
-    return pairs.ranked(s.select("noun", "a", "b", score.alias("score")), "score", ["a", "b"], ["noun"])
+@query(f"WITH {_BLOCKED} SELECT p_brand, p_type, a, b, n_shared, weighted_jaccard, rank FROM r WHERE n_shared > 0 AND {_KEPT}")
+def topk_retention(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: the top four fifths of all pairs of a block by weighted overlap; here those that share a token, :func:`topk_tail` has the rest."""
+    s = pairs.ranked(weighted_jaccard(spark, d), "weighted_jaccard", ["a", "b"], _BLOCK)
+    return pairs.top_fraction(s, _part_sizes(spark, d), 0.8, _BLOCK)
+
+
+@query(f"WITH {_BLOCKED} SELECT p_brand, p_type, n AS n_pairs, count(*) FILTER ({_KEPT}) AS n_kept, count(*) FILTER (n_shared = 0) AS n_zero, count(*) FILTER (n_shared = 0 AND {_KEPT}) AS n_zero_kept FROM r GROUP BY p_brand, p_type, n")
+def topk_tail(spark: SparkSession, d: str) -> DataFrame:
+    """Per block how many pairs there are and are kept, and how many of those of score 0; these are kept in the order of their ids."""
+    made = weighted_jaccard(spark, d).groupBy(*_BLOCK).agg(F.count("*").alias("n_met"))
+    c = F.col
+    sizes = _part_sizes(spark, d).filter("n_pairs > 0").join(made, _BLOCK, "left").fillna(0, ["n_met"]).withColumn("n_kept", F.greatest(F.lit(1), F.floor(c("n_pairs") * F.lit(0.8))))
+    return sizes.select(*_BLOCK, "n_pairs", "n_kept", (c("n_pairs") - c("n_met")).alias("n_zero"), F.greatest(F.lit(0), c("n_kept") - c("n_met")).alias("n_zero_kept"))
 
 
-@query(f"""WITH o AS (SELECT k, l, ty, {TOKENS.format('k')} AS t FROM (SELECT {NAME_KEY.format('name')} AS k, min(type) AS ty, list_sort(list_distinct(list(lecture_id))) AS l FROM {KO} GROUP BY 1)), w AS {_IDF},
+def _universe(share: str) -> str:
+    """All eligible pairs with their scores and ranks; no filter on tokens or lectures."""
+    return f"""o AS (SELECT k, l, ty, {TOKENS.format('k')} AS t FROM (SELECT {NAME_KEY.format('name')} AS k, min(type) AS ty, list_sort(list_distinct(list(lecture_id))) AS l FROM {KO} GROUP BY 1)), w AS {_IDF},
     s AS (SELECT a.k AS a, b.k AS b, round((SELECT sum(idf) FROM w WHERE list_contains(list_intersect(a.t, b.t), token)) / (SELECT sum(idf) FROM w WHERE list_contains(list_concat(a.t, b.t), token)), 12) AS wj
         FROM o a JOIN o b ON a.k < b.k AND list_has_any(a.t, b.t)),
     e AS (SELECT a.k AS a, b.k AS b, list_has_any(a.l, b.l) AS shared, a.ty IS DISTINCT FROM b.ty AS differ FROM o a JOIN o b ON a.k < b.k WHERE NOT (len(a.l) = 1 AND len(b.l) = 1 AND a.l[1] = b.l[1])),
-    f AS (SELECT e.*, round(coalesce(wj, 0) + CASE WHEN differ THEN 0.03 ELSE 0 END + CASE WHEN shared THEN 1 ELSE 0 END, 9) AS score FROM e LEFT JOIN s USING (a, b)),
-    r AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS rank, count(*) OVER () AS n FROM f)
-    SELECT a, b, CASE WHEN shared THEN 'overlapping_provenance' ELSE 'disjoint_provenance' END AS stratum, score, rank FROM r WHERE rank <= greatest(1, CAST(floor(n * 0.8) AS BIGINT))""")
-def hybrid_rank_all(spark: SparkSession, d: str) -> DataFrame:
-    """The hybrid method over all names; a name's type is the least of its objects' types."""
+    f AS (SELECT e.*, wj IS NOT NULL AS met, round(coalesce(wj, 0) + CASE WHEN differ THEN 0.03 ELSE 0 END + {share}, 9) AS score FROM e LEFT JOIN s USING (a, b)),
+    r AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS rank, count(*) OVER () AS n FROM f), k AS (SELECT *, {_KEPT} AS kept FROM r)"""
+
+
+_HYBRID, _LEXICAL = _universe("CASE WHEN shared THEN 1 ELSE 0 END"), _universe("0")
+_PAIRS_OF = "SELECT a, b, CASE WHEN shared THEN 'overlapping_provenance' ELSE 'disjoint_provenance' END AS stratum, score, CASE WHEN score > 0.03 THEN rank END AS rank FROM k WHERE kept AND {0}"
+_TAIL_OF = """SELECT CAST(score AS DOUBLE) AS score, count(*) AS n_pairs, count(*) FILTER (kept) AS n_kept, CASE WHEN bool_or(kept) AND NOT bool_and(kept) THEN arg_max(a, rank) FILTER (kept) END AS last_a,
+    CASE WHEN bool_or(kept) AND NOT bool_and(kept) THEN arg_max(b, rank) FILTER (kept) END AS last_b FROM k WHERE NOT ({0}) GROUP BY 1"""
+
+
+def _candidates(spark: SparkSession, d: str, method: str) -> tuple[DataFrame, DataFrame]:
+    """A method over all names; a name's type is the least of its objects' types."""
     k = objects(spark, d).groupBy(X.name_key_native(F.col("name")).alias("k")).agg(F.collect_set("lecture_id").alias("l"), F.min("type").alias("type")).withColumn("tokens", X.token_set(F.col("k")))
-    return pairs.connection_candidates(k, "k", "l", "tokens", "hybrid_provenance_lexical", kind="type")
+    return pairs.connection_candidates(k, "k", "l", "tokens", method, kind="type")
+
+
+@query(f"WITH {_HYBRID} {_PAIRS_OF.format('(met OR shared)')}")
+def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The hybrid method over all names: the kept pairs that share a token or a lecture; :func:`hybrid_tail` has the rest."""
+    return _candidates(spark, d, "hybrid_provenance_lexical")[0]
+
+
+@query(f"WITH {_HYBRID} {_TAIL_OF.format('met OR shared')}")
+def hybrid_tail(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d, "hybrid_provenance_lexical")[1]
+
+
+@query(f"WITH {_LEXICAL} {_PAIRS_OF.format('met')}")
+def lexical_rank(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d, "lexical_only")[0]
+
+
+@query(f"WITH {_LEXICAL} {_TAIL_OF.format('met')}")
+def lexical_tail(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d, "lexical_only")[1]
+
+
+@query(f"WITH {_LEXICAL} SELECT a, b, 'overlapping_provenance' AS stratum, CAST(1 AS DOUBLE) AS score, row_number() OVER (ORDER BY a, b) AS rank FROM k WHERE shared")
+def overlap_bridge(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d, "overlap_bridge")[0]
 
 
 def _clusters(spark: SparkSession, d: str, keyed: DataFrame) -> DataFrame:

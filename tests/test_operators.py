@@ -75,9 +75,6 @@ def test_pair_universes(spark):
     df = spark.createDataFrame([("g", 1), ("g", 2), ("g", 3), ("g", 3), ("h", 1), (None, 4), ("h", None)], "g string, k int")
     assert values(pairs.local_universe(df, "g", "k")) == [("g", 1, 2), ("g", 1, 3), ("g", 2, 3)]
     assert values(pairs.universe_counts(df, "g", "k")) == [("g", 3, 3), ("h", 1, 0)]
-    o = spark.createDataFrame([("b", "x", ["l1"]), ("b", "y", ["l1"]), ("b", "z", ["l1", "l2"]), ("b", "w", ["l3"])], "b string, k string, l array<string>")
-    got = {(r.a, r.b): r.stratum for r in pairs.cross_universe(o, "b", "k", "l").collect()}
-    assert got == {("x", "z"): "overlapping_provenance", ("y", "z"): "overlapping_provenance", ("w", "x"): "disjoint_provenance", ("w", "y"): "disjoint_provenance", ("w", "z"): "disjoint_provenance"}
 
 
 def test_weighted_jaccard_equals_brute_force(spark):
@@ -105,45 +102,57 @@ def test_rank_and_retention(spark):
     r = pairs.ranked(df, "s", ["id"], ["g"])
     assert [x.id for x in r.orderBy("rank").collect()] == [2, 5, 1, 4, 0, 3, 6]
     assert values(pairs.ranked(df, "s", ["id"]), "id", "rank") == values(r, "id", "rank")
-    assert sorted(x.rank for x in pairs.top_fraction(r, 0.5, ["g"]).collect()) == [1, 2, 3]
-    assert pairs.top_fraction(r.filter("id = 2"), 0.1, ["g"]).count() == 1
+    sizes = lambda n: spark.createDataFrame([("g", n)], "g string, n_pairs long")
+    assert sorted(x.rank for x in pairs.top_fraction(r, sizes(7), 0.5, ["g"]).collect()) == [1, 2, 3]
+    assert pairs.top_fraction(r, sizes(1), 0.1, ["g"]).count() == 1 and pairs.top_fraction(r, sizes(100), 0.5, ["g"]).count() == 7
+    two = spark.createDataFrame([(None, 1, 1.0), (None, 2, 3.0), ("h", 3, 2.0), ("h", 4, None)], "g string, id int, s double")
+    assert values(pairs.ranked(two, "s", ["id"], ["g"]), "id", "rank") == [(1, 2), (2, 1), (3, 2), (4, 1)]
 
 
-def test_retained_is_a_share_of_all_pairs(spark):
-    rows = [("g", k, t, kind) for k, t, kind in [("a", ["x"], "C"), ("b", ["x"], "C"), ("c", ["y"], "M"), ("d", [], "C"), ("e", [], None)]] + [("h", "a", ["x"], "C"), ("h", "b", [], "C"), ("i", "a", ["x"], "C")]
-    df = spark.createDataFrame(rows, "g string, k string, t array<string>, kind string")
-    scored = pairs.weighted_jaccard(df, ["g"], "k", "t", pairs.idf(df, "k", "t"))
-    plain = pairs.retained(df, ["g"], "k", scored, 0.8)
-    assert values(plain, "g", "rank", "a", "b", "score") == [("g", i + 1, *p, 1.0 if p == "ab" else 0.0) for i, p in enumerate(("ab", "ac", "ad", "ae", "bc", "bd", "be", "cd"))] + [("h", 1, "a", "b", 0.0)]
-    bonus = pairs.retained(df, ["g"], "k", scored, 0.8, kind="kind").filter("g = 'g'")
-    assert values(bonus, "rank", "a", "b", "score") == [(i + 1, *p, 1.0 if p == "ab" else 0.0 if p == "ad" else 0.03) for i, p in enumerate(("ab", "ac", "ae", "bc", "be", "cd", "ce", "de"))]
-
-
-def test_connection_candidates_equal_brute_force(spark):
+@pytest.mark.parametrize(("seed", "fraction", "kinds"), [(5, 0.8, "CM"), (6, 0.3, "CM"), (7, 0.55, "CMF"), (8, 0.95, "C"), (9, 0.02, "CM"), (10, 1.0, "CM")])
+def test_connection_candidates_equal_brute_force(spark, monkeypatch, seed, fraction, kinds):
+    """The kept pairs are those of the whole universe, tail included, wherever the cut falls."""
     import math
 
-    rng = random.Random(5)
-    objects = [(f"k{i:02}", sorted({rng.choice("lmnop") for _ in range(rng.randint(1, 2))}), [rng.choice("pqrstuvw") for _ in range(rng.randint(0, 3))], rng.choice("CM")) for i in range(24)]
-    df = spark.createDataFrame(objects, "k string, l array<string>, t array<string>, kind string")
+    monkeypatch.setattr(pairs, "BLOCK", 7)
+    rng = random.Random(seed)
+    objects = [(f"k{i:02}", sorted({rng.choice("lmnop") for _ in range(rng.randint(1, 2))}), [rng.choice("pqrstuvw") for _ in range(rng.randint(0, 3))], rng.choice([*kinds, None])) for i in range(24)]
+    df = spark.createDataFrame([*objects, objects[3], (None, ["l"], [], "C"), ("zz", [], ["p"], "C"), ("zzz", None, ["p"], "C")], "k string, l array<string>, t array<string>, kind string")
     w = {t: math.log((len(objects) + 1) / (sum(t in o[2] for o in objects) + 1)) + 1 for t in "pqrstuvw"}
     universe = [(a, b) for a in objects for b in objects if a[0] < b[0] and any(x != y for x in a[1] for y in b[1])]
 
-    def want(method):
+    def scores(method):
         rows = []
         for a, b in universe:
-            both, shared = set(a[2]) | set(b[2]), bool(set(a[1]) & set(b[1]))
-            lexical = (sum(w[t] for t in set(a[2]) & set(b[2])) / sum(w[t] for t in both) if both else 0) + 0.03 * (a[3] != b[3])
-            score = {"all_pairs": 1.0, "overlap_bridge": float(shared), "lexical_only": lexical, "hybrid_provenance_lexical": lexical + shared}[method]
-            rows.append((-round(score, 9), a[0], b[0]))
-        n = {"all_pairs": len(rows), "overlap_bridge": sum(r[0] < 0 for r in rows)}.get(method, math.floor(len(rows) * 0.8))
-        return [(r[1], r[2], i, round(-r[0], 9)) for i, r in enumerate(sorted(rows)[:n], 1)]
-
-    assert pairs.eligible_pairs(df, "l").first().n_pairs == len(universe)
-    for method in pairs.METHODS:
-        got = pairs.connection_candidates(df, "k", "l", "t", method, kind="kind").orderBy("rank").collect()
-        assert [(r.a, r.b, r["rank"], round(r.score, 9)) for r in got] == want(method), method
-    with pytest.raises(ValueError):
-        pairs.connection_candidates(df, "k", "l", "t", "other")
+            both, shared, met = set(a[2]) | set(b[2]), bool(set(a[1]) & set(b[1])), bool(set(a[2]) & set(b[2]))
+            lexical = (sum(w[t] for t in set(a[2]) & set(b[2])) / sum(w[t] for t in both) if met else 0) + 0.03 * (a[3] != b[3])
+            hybrid = method == "hybrid_provenance_lexical"
+            rows.append((-round(lexical + shared * hybrid, 9), a[0], b[0], met or (shared and hybrid)))
+        return sorted(rows)
+
+    for method in pairs.METHODS[2:]:
+        rows = scores(method)
+        kept = rows[: max(1, math.floor(len(rows) * fraction))]
+        got, tail = pairs.connection_candidates(df, "k", "l", "t", method, fraction, kind="kind")
+        assert {(-round(r.score, 9), r.a, r.b) for r in got.collect()} == {r[:3] for r in kept if r[3]}, method
+        place = {(r[1], r[2]): i for i, r in enumerate(rows, 1)}
+        assert all(r["rank"] == (place[r.a, r.b] if r.score > 0.03 else None) for r in got.collect())
+        made = set()
+        for t in tail.collect():
+            own = [r[1:3] for r in rows if not r[3] and -r[0] == t.score]
+            assert t.n_pairs == len(own) and (t.last_a is None) == (t.n_kept in (0, t.n_pairs))
+            assert t.last_a is None or sum(p <= (t.last_a, t.last_b) for p in own) == t.n_kept
+            made |= {(-t.score, *p) for p in own[: t.n_kept]}
+        assert made == {r[:3] for r in kept if not r[3]}, method
+    bridge, none = pairs.connection_candidates(df, "k", "l", "t", "overlap_bridge")
+    assert [(r.a, r.b) for r in bridge.orderBy("rank").collect()] == sorted((a[0], b[0]) for a, b in universe if set(a[1]) & set(b[1])) and none.collect() == []
+    assert pairs.connection_candidates(df, "k", "l", "t", "all_pairs")[1].first().n_kept == len(universe)
+    if seed == 5:
+        for method in pairs.METHODS:
+            empty, tail = pairs.connection_candidates(df.limit(0), "k", "l", "t", method)
+            assert empty.collect() == [] and all(r.n_pairs == 0 for r in tail.collect())
+        with pytest.raises(ValueError):
+            pairs.connection_candidates(df, "k", "l", "t", "other")
 
 
 def test_scoped_universe_equals_brute_force(spark):
