@@ -54,9 +54,15 @@ def short_hash(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
 
 
+def ends(a: Column, b: Column) -> tuple[Column, Column]:
+    """Both ends in order, null where either is null: a pair of which one end is unknown is no pair."""
+    known = a.isNotNull() & b.isNotNull()
+    return F.when(known, F.least(a, b)), F.when(known, F.greatest(a, b))
+
+
 def pair_id(prefix: str, a: Column, b: Column, salt: str = "connection_pair_v0.1") -> Column:
-    """A stable id of an unordered pair."""
-    return F.concat(F.lit(prefix), short_hash(F.lit(salt), F.least(a, b), F.greatest(a, b)))
+    """A stable id of an unordered pair, null where either end is null."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.concat(F.lit(prefix), short_hash(F.lit(salt), F.least(a, b), F.greatest(a, b))))
 
 
 def canonical_json(fields: Mapping[str, Column]) -> Column:
@@ -82,7 +88,8 @@ def evidence_multiset(spans: Column) -> Column:
 
 
 def ref_label(lecture: Column, ko: Column) -> Column:
-    return F.concat_ws("::", lecture, ko)
+    """A composite reference as one text, null where a part is null."""
+    return F.concat(lecture, F.lit("::"), ko)
 
 
 def matches_whole(x: Column, pattern: str) -> Column:

@@ -18,7 +18,7 @@ from knotwork.functions.records import CONTRACTS, Contract, identifier_in, liken
 from knotwork.session import discard, written
 
 UNION = "feed string, batch_id string, tags array<struct<path: string, json_type: string, shape: string>>, id_field string, n_records long"
-#: A signature row has ``tags`` and ``n_records``; a clue row has a record's identifier and the hashes of its values.
+#: A signature row has ``tags`` and ``n_records``; a clue row has a record's identifier, the hashes of its values, and 1 as ``n_records`` if it lacks a field.
 FUSED = UNION + ", record_id string, cells array<struct<path: string, value: long>>"
 CHANGES = "feed string, batch_id string, field_path string, change string, json_type string, n_records long"
 _TAG = pa.struct([("path", pa.string()), ("json_type", pa.string()), ("shape", pa.string())])
@@ -112,7 +112,7 @@ def fused(files: DataFrame, contracts: Mapping[str, Contract], clues: bool = Tru
 
         def flush() -> pa.RecordBatch:
             rows = [(f, b, [dict(zip(("path", "json_type", "shape"), t, strict=True)) for t in tags], i, n, None, None) for (f, b, tags, i), n in held.items()]
-            rows += [(f, None, None, None, None, r, [{"path": p, "value": v} for p, v in c]) for f, r, c in cells]
+            rows += [(f, None, None, None, lacking, r, [{"path": p, "value": v} for p, v in c]) for f, r, c, lacking in cells]
             held.clear()
             cells.clear()
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
@@ -127,10 +127,11 @@ def fused(files: DataFrame, contracts: Mapping[str, Contract], clues: bool = Tru
                     if clues:
                         at = {p for p, _, _ in tags}
                         paths = [f for f in contract.fields if f in at]
-                        if len(paths) < len(contract.fields):
+                        lacking = int(len(paths) < len(contract.fields))
+                        if lacking:
                             paths += [p for p in at if p not in contract.fields and p not in contract.parents]
                         found = [(p, fingerprint(value_at(record, p), contract)) for p in paths]
-                        cells.append((feed, rid, [c for c in found if c[1] is not None]))
+                        cells.append((feed, rid, [c for c in found if c[1] is not None], lacking))
                 if len(held) + len(cells) >= _FLUSH:
                     yield flush()
         yield flush()
@@ -171,12 +172,14 @@ def agreements(found: DataFrame, contracts: Mapping[str, Contract]) -> dict[str,
     and whether several values do.
 
     A record that one file holds with the field in place and another with an unknown path in its stead
-    tells whether the path carries the field's value. Cells are grouped by record, and by record and
+    tells whether the path carries the field's value; only the cells of such records are shuffled. Cells are grouped by record, and by record and
     value, into sets of paths, which the layouts bound, so a record in a third of all files is a few
     sets per task. Pairs that never agree do not reach the driver.
     """
     fields = found.sparkSession.createDataFrame([(f, p) for f, c in contracts.items() for p in c.fields], "feed string, path string")
-    clues = found.filter("cells IS NOT NULL").select("feed", "record_id", F.explode("cells").alias("c")).select("feed", "record_id", "c.path", "c.value")
+    rows = found.filter("cells IS NOT NULL").select("feed", "record_id", "cells", F.col("n_records").alias("lacking"))
+    both_ways = rows.groupBy("feed", "record_id").agg(F.count("*").alias("n"), F.max("lacking").alias("lacking")).filter("n > 1 AND lacking = 1").select("feed", "record_id")
+    clues = rows.join(both_ways, ["feed", "record_id"]).select("feed", "record_id", F.explode("cells").alias("c")).select("feed", "record_id", "c.path", "c.value")
     cells = clues.join(F.broadcast(fields.withColumn("agreed", F.lit(True))), ["feed", "path"], "left")
     both = (F.collect_set(F.when(F.col("agreed"), F.col("path"))).alias("fields"), F.collect_set(F.when(F.col("agreed").isNull(), F.col("path"))).alias("free"))
     pairs = lambda by: cells.groupBy("feed", "record_id", *by).agg(*both).filter("size(fields) > 0 AND size(free) > 0").select("feed", *by, F.explode("fields").alias("field"), "free").select("feed", *by, "field", F.explode("free").alias("path"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions import measures as M
-from knotwork.session import col, small
+from knotwork.session import SOURCE_BYTES, col, estimated_bytes, small
 
 
 def identity_matches(predicted: DataFrame, gold: DataFrame, group: str) -> DataFrame:
@@ -26,7 +26,10 @@ def identity_matches(predicted: DataFrame, gold: DataFrame, group: str) -> DataF
 
 
 def provenance_mismatches(left: DataFrame, right: DataFrame, key: str, group: str, id_: str) -> DataFrame:
-    """Rows of both sides with one key in different groups, each unmatched in its own group."""
+    """Rows of both sides with one key in different groups, each unmatched in its own group: all pairs of a key, by definition.
+
+    :func:`mismatch_classes` has the same links without making the pairs of a common key.
+    """
     a = left.select(col(key).alias("key"), col(group).alias("g"), col(id_).alias("a"))
     b = right.select(col(key).alias("key"), col(group).alias("g"), col(id_).alias("b"))
     free_a = a.join(b.select("key", "g").distinct(), ["key", "g"], "left_anti")
@@ -34,15 +37,43 @@ def provenance_mismatches(left: DataFrame, right: DataFrame, key: str, group: st
     return free_a.withColumnRenamed("g", "group_a").join(free_b, "key").select("key", "a", "group_a", "b", "group_b")
 
 
+def mismatch_classes(left: DataFrame, right: DataFrame, key: str, group: str, id_: str) -> DataFrame:
+    """``key, side, id, group, n_links``: the rows that :func:`provenance_mismatches` would pair, each once with how many rows it meets.
+
+    Rows of one key are one class, each linked to all of the other side; linear in the rows.
+    """
+    rows = lambda df, s: df.select(col(key).alias("key"), col(group).alias("g"), col(id_).alias("id"), F.lit(s).alias("side")).filter("key IS NOT NULL AND g IS NOT NULL")
+    both = rows(left, "left").unionByName(rows(right, "right"))
+    inside = both.groupBy("key", "g").agg(F.count_if(F.col("side") == "left").alias("nl"), F.count_if(F.col("side") == "right").alias("nr"))
+    free = inside.filter("nl = 0 OR nr = 0")
+    sums = free.groupBy("key").agg(F.sum("nl").alias("left_"), F.sum("nr").alias("right_")).filter("left_ > 0 AND right_ > 0")
+    met = both.join(free.select("key", "g"), ["key", "g"]).join(sums, "key")
+    return met.select("key", "side", "id", F.col("g").alias("group"), F.when(F.col("side") == "left", F.col("right_")).otherwise(F.col("left_")).alias("n_links"))
+
+
 def members(pairs: DataFrame, ids: Sequence[str], lists: Sequence[str], rows: DataFrame, key: str) -> DataFrame:
     """Rows of every group in the union of a pair's lists."""
     union = F.array_distinct(F.flatten(F.array(*(F.coalesce(col(x), F.array()) for x in lists))))
     return pairs.select(*map(col, ids), F.explode(union).alias(key)).join(rows, key)
 
 
+#: Partitions over which the needles of one group spread where no side is small enough to broadcast.
+SALTS = 16
+
+
 def contained(needles: DataFrame, texts: DataFrame, group: str, needle: str, text: str) -> DataFrame:
-    """Rows of both whose text holds the needle, inside a group; a side is broadcast only if its source is small."""
-    return small(texts).join(small(needles), group).filter((col(needle) != "") & F.contains(col(text), col(needle)))
+    """Rows of both whose text holds the needle, inside a group.
+
+    A side is broadcast only if its source is small; else needles are spread by a salt and the texts,
+    which a group has few of, are sent to each, so that a hot group is many tasks.
+    """
+    if min(estimated_bytes(texts), estimated_bytes(needles)) <= SOURCE_BYTES:
+        met = small(texts).join(small(needles), group)
+    else:
+        spread = needles.withColumn("salt_", F.pmod(F.xxhash64(col(needle)), F.lit(SALTS)).cast("int"))
+        every = texts.withColumn("salt_", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        met = every.join(spread, [group, "salt_"]).drop("salt_")
+    return met.filter((col(needle) != "") & F.contains(col(text), col(needle)))
 
 
 def with_default(df: DataFrame, decided: DataFrame, key: str, value: str, default: Column) -> DataFrame:
@@ -70,9 +101,9 @@ def composite(df: DataFrame, refs: str, items: DataFrame, on: Sequence[str], key
 
 
 def unordered_join(a: DataFrame, b: DataFrame, left: tuple[str, str], right: tuple[str, str], how: str = "left") -> DataFrame:
-    """Join on both ends in either order."""
-    ka = a.withColumn("x_", F.least(*map(col, left))).withColumn("y_", F.greatest(*map(col, left)))
-    kb = b.withColumn("x_", F.least(*map(col, right))).withColumn("y_", F.greatest(*map(col, right))).drop(*right)
+    """Join on both ends in either order; a row of which one end is null meets nothing."""
+    keyed = lambda df, pair: df.withColumns(dict(zip(("x_", "y_"), M.ends(*map(col, pair)), strict=True)))
+    ka, kb = keyed(a, left), keyed(b, right).drop(*right)
     return ka.join(kb, ["x_", "y_"], how).drop("x_", "y_")
 
 
@@ -90,20 +121,24 @@ def recoverable(pairs: DataFrame, alignment: DataFrame, key: str, ends: tuple[st
 
 
 def slots(pairs: DataFrame, key: str, ends: Sequence[str]) -> DataFrame:
-    """``ref, slot, pairs``: each referenced end once, numbered in order, with the pairs that refer to it."""
+    """``ref, slot, pair``: each referenced end numbered in order, a row per pair that refers to it; a hot end is many rows, not one."""
     from knotwork.operators.pairs import numbered
 
-    refs = pairs.select(col(key).alias("p_"), F.explode(F.array(*map(col, ends))).alias("ref")).filter("ref IS NOT NULL")
-    one = refs.groupBy("ref").agg(F.array_sort(F.collect_set("p_")).alias("pairs"))
-    return numbered(one, ["ref"]).select("ref", M.sequence_id("ko_slot", F.col("no")).alias("slot"), "pairs")
+    refs = pairs.select(col(key).alias("pair"), F.explode(F.array(*map(col, ends))).alias("ref")).filter("ref IS NOT NULL").distinct()
+    slot = numbered(refs.select("ref").distinct(), ["ref"]).select("ref", M.sequence_id("ko_slot", F.col("no")).alias("slot"))
+    return refs.join(slot, "ref").select("ref", "slot", "pair")
 
 
-def fanned_out(slot_flags: DataFrame, by: str, flag: str) -> DataFrame:
-    """A slot's flag given to every pair that refers to it: ``pair, flags``."""
-    each = slot_flags.filter(col(flag).isNotNull()).select(F.explode(col(by)).alias("pair"), col(flag).alias("f_"))
+def fanned_out(slot_flags: DataFrame, flag: str) -> DataFrame:
+    """A slot's flag given to every pair that refers to it: ``pair, flags``; a pair has two ends, so its flags are few."""
+    each = slot_flags.filter(col(flag).isNotNull()).select("pair", col(flag).alias("f_"))
     return each.groupBy("pair").agg(F.array_sort(F.collect_set("f_")).alias("flags"))
 
 
-def first_hits(hits: DataFrame, group: Sequence[str], order: str) -> DataFrame:
-    """Marks every hit on a target after the first, in order."""
-    return hits.withColumn("duplicate", F.row_number().over(Window.partitionBy(*map(col, group)).orderBy(col(order))) > 1)
+def first_hits(hits: DataFrame, group: Sequence[str], order: str, out: str = "duplicate") -> DataFrame:
+    """Marks every hit on a target after the first, in order; ``order`` is unique in a group, so the first is a minimum that combines map-side."""
+    first = hits.groupBy(*(col(g).alias(f"g{i}_") for i, g in enumerate(group))).agg(F.min(col(order)).alias("first_"))
+    on = F.lit(True)
+    for i, g in enumerate(group):
+        on = on & F.col(f"g{i}_").eqNullSafe(col(g))
+    return hits.join(first, on, "left").withColumn(out, ~col(order).eqNullSafe(F.col("first_"))).drop("first_", *(f"g{i}_" for i in range(len(group))))

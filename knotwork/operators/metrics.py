@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions import measures as M
+from knotwork.operators.matching import first_hits
 from knotwork.session import col
 
 # The relation types of the graph, the one that says there is none, and the symmetric ones.
@@ -161,8 +162,10 @@ def universe_metrics(universe: DataFrame, facts: DataFrame, key: str) -> DataFra
 
 
 def binary_metrics(df: DataFrame, gold: Column, predicted: Column, by: Sequence[str] = ()) -> DataFrame:
+    """The four cells of a gate and what follows from them. A null prediction is a refusal (false); a null gold row is counted apart in no cell but ``n_unlabelled``."""
     c = F.col
-    n = df.groupBy(*map(col, by)).agg(F.count_if(gold & predicted).alias("tp"), F.count_if(~gold & predicted).alias("fp"), F.count_if(gold & ~predicted).alias("fn"), F.count_if(~gold & ~predicted).alias("tn"))
+    unlabelled, predicted = gold.isNull(), F.coalesce(predicted, F.lit(False))
+    n = df.groupBy(*map(col, by)).agg(F.count_if(gold & predicted).alias("tp"), F.count_if(~gold & predicted).alias("fp"), F.count_if(gold & ~predicted).alias("fn"), F.count_if(~gold & ~predicted).alias("tn"), F.count_if(unlabelled).alias("n_unlabelled"))
     p, r = M.ratio(c("tp"), c("tp") + c("fp")), M.ratio(c("tp"), c("tp") + c("fn"))
     return n.select("*", p.alias("precision"), r.alias("recall"), M.f1(p, r).alias("f1"), M.ratio(c("tn"), c("tn") + c("fp")).alias("negative_accuracy"))
 
@@ -222,8 +225,7 @@ def entity_metrics(predictions: DataFrame, gold: DataFrame, group: str) -> DataF
     """
     g = gold.select(col(group).alias("g"), "gold_id", "category", F.col("type").alias("gold_type"))
     p = predictions.select(col(group).alias("g"), "index", "gold_id", "type", "exact").join(g, ["g", "gold_id"], "left")
-    first = Window.partitionBy("g", "gold_id").orderBy("index")
-    hit = p.filter(F.col("gold_id").isNotNull()).withColumn("dup", F.row_number().over(first) > 1)
+    hit = first_hits(p.filter(F.col("gold_id").isNotNull()), ["g", "gold_id"], "index", "dup")
     p = hit.unionByName(p.filter(F.col("gold_id").isNull()).withColumn("dup", F.lit(False)))
     c = F.col
     no = lambda x: F.coalesce(x, F.lit(False))
@@ -231,13 +233,14 @@ def entity_metrics(predictions: DataFrame, gold: DataFrame, group: str) -> DataF
     counts = p.groupBy("g").agg(
         F.count("*").alias("n_predictions"), F.count_if(required).alias("tp"), F.count_if(c("dup") | c("gold_id").isNull() | no(c("category") == "excluded")).alias("fp"),
         F.count_if(required & no(c("type") == c("gold_type"))).alias("typed"), F.count_if(no(c("exact"))).alias("exact"), F.count_if(c("dup")).alias("n_duplicates"),
+        F.count_if(no(c("category") == "optional") & ~c("dup")).alias("n_optional"), F.count_if(no(c("category") == "excluded")).alias("n_excluded"), F.count_if(c("gold_id").isNull()).alias("n_unsupported"),
     )
     totals = g.groupBy("g").agg(F.count_if(c("category") == "required").alias("n_required"))
     joined = totals.join(counts, "g", "full").fillna(0)
-    summed = joined.rollup("g").agg(*(F.sum(x).alias(x) for x in ("n_predictions", "n_required", "tp", "fp", "typed", "exact", "n_duplicates")))
+    summed = joined.rollup("g").agg(*(F.sum(x).alias(x) for x in ("n_predictions", "n_required", "tp", "fp", "typed", "exact", "n_duplicates", "n_optional", "n_excluded", "n_unsupported")))
     pr, re = M.ratio(c("tp"), c("tp") + c("fp")), M.ratio(c("tp"), c("n_required"))
     return summed.select(
-        c("g").alias(group), "n_predictions", "n_required", "tp", "fp", (c("n_required") - c("tp")).alias("fn"), "n_duplicates", pr.alias("precision"), re.alias("recall"),
+        c("g").alias(group), "n_predictions", "n_required", "tp", "fp", (c("n_required") - c("tp")).alias("fn"), "n_duplicates", "n_optional", "n_excluded", "n_unsupported", pr.alias("precision"), re.alias("recall"),
         M.f1(pr, re).alias("f1"), M.ratio(c("typed"), c("tp")).alias("type_accuracy"), M.ratio(c("exact"), c("n_predictions")).alias("exact_span_rate"),
     )
 
@@ -256,20 +259,32 @@ def recoverability(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def explanation_metrics(reviews: DataFrame) -> DataFrame:
+SUPPORT_LABELS = ("SOURCE_GROUNDED", "UNSUPPORTED", "CONTRADICTED", "UNRESOLVED")
+FAITHFUL = ("relation_faithful", "direction_faithful", "endpoint_faithful", "evidence_faithful")
+
+
+def explanation_metrics(reviews: DataFrame, scores: Sequence[str] = ("clarity",)) -> DataFrame:
     """Claim labels, faithfulness rates and mean scores over passing reviews.
 
-    A review passes if every stated kind of faithfulness holds and no claim is unsupported.
+    A review passes if every stated kind of faithfulness holds and no claim is unsupported,
+    contradicted or unresolved. The unsupported rate counts contradicted claims too and leaves
+    unresolved ones out; evidence that is not stated (null) is in no denominator.
     """
     c = F.col
-    bad = lambda x: F.coalesce(x["support_label"] == "UNSUPPORTED", F.lit(False))
-    n_bad = F.size(F.filter("claims", bad))
-    faith = [F.coalesce(c(f"faithfulness.{f}"), F.lit(f == "evidence_faithful")) for f in ("relation_faithful", "direction_faithful", "endpoint_faithful", "evidence_faithful")]
-    passes = faith[0] & faith[1] & faith[2] & faith[3] & (n_bad == 0)
-    marked = reviews.select("*", passes.alias("passes_"), n_bad.alias("bad_"), F.size("claims").alias("n_"))
+    labelled = lambda label: F.size(F.filter("claims", lambda x: F.coalesce(x["support_label"] == label, F.lit(False))))
+    marked = reviews.select("*", F.size("claims").alias("n_"), *(labelled(x).alias(f"{x}_") for x in SUPPORT_LABELS))
+    faith = [F.coalesce(c(f"faithfulness.{f}"), F.lit(f == "evidence_faithful")) for f in FAITHFUL]
+    passes = faith[0] & faith[1] & faith[2] & faith[3] & (c("UNSUPPORTED_") + c("CONTRADICTED_") + c("UNRESOLVED_") == 0)
+    marked = marked.withColumn("passes_", passes)
+    stated = c("faithfulness.evidence_faithful")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
     return marked.agg(
-        F.count("*").alias("n_reviews"), F.sum("n_").alias("n_claims"), M.ratio(F.sum("bad_"), F.sum("n_")).alias("unsupported_rate"),
-        M.ratio(F.count_if(c("passes_")), F.count("*")).alias("pass_rate"), F.avg(F.when(c("passes_"), c("learning_value_scores.clarity"))).alias("mean_clarity"),
+        F.count("*").alias("n_reviews"), total("n_").alias("n_claims"), *(total(f"{x}_").alias(f"n_{x.lower()}") for x in SUPPORT_LABELS),
+        M.ratio(total(c("UNSUPPORTED_") + c("CONTRADICTED_")), total(c("n_") - c("UNRESOLVED_"))).alias("unsupported_rate"),
+        *(M.ratio(F.count_if(F.coalesce(c(f"faithfulness.{f}"), F.lit(False))), F.count("*")).alias(f"{f.split('_')[0]}_rate") for f in FAITHFUL[:3]),
+        M.ratio(F.count_if(F.coalesce(stated, F.lit(False))), F.count(stated)).alias("evidence_rate"), M.ratio(F.count_if(c("passes_")), F.count("*")).alias("pass_rate"),
+        *(F.avg(F.when(c("passes_"), c(f"learning_value_scores.{x}"))).alias(f"mean_{x}") for x in scores),
+        F.when(total("UNRESOLVED_") > 0, "draft_pending_adjudication").otherwise("final").alias("status"),
     )
 
 

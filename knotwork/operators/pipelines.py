@@ -69,12 +69,33 @@ def classified(pairs: DataFrame, key: str, visible: Sequence[str], forbidden: Se
     return out.select(F.col("key").alias(key), F.when(ok, kind).alias("relation_type"), F.when(ok, body["evidence_ids"]).alias("evidence_ids"), F.when(ok, body["rationale"]).alias("rationale"), "attempts", error.alias("error"))
 
 
-def two_stage_classified(pairs: DataFrame, key: str, gate: scoring.Scorer, typer: scoring.Scorer, visible: Sequence[str], forbidden: Sequence[str] = ()) -> DataFrame:
-    """A gate over all pairs, a typer over those it lets pass, ``NO_RELATION`` for the rest; no pair is lost."""
-    gated = classified(pairs, key, visible, forbidden, gate, ("DIRECT", metrics.NONE)).select(key, F.col("relation_type").alias("gate"), F.col("error").alias("gate_error"))
-    direct = pairs.join(gated.filter("gate = 'DIRECT'").select(key), key, "left_semi")
-    typed = classified(direct, key, visible, forbidden, typer)
-    return gated.join(typed, key, "left").withColumn("relation_type", F.coalesce("relation_type", F.lit(metrics.NONE)))
+def evidence_subset(df: DataFrame, key: str, evidence: str, ids: str) -> DataFrame:
+    """``df`` with ``evidence`` cut to the items whose ``evidence_id`` is in the array ``ids``, in stored order, and ``subset_error``.
+
+    An id that no item has, and an id cited twice, are errors; a null or empty ``ids`` gives no items.
+    """
+    cited = F.coalesce(col(ids), F.array().cast("array<string>"))
+    kept = F.filter(F.coalesce(col(evidence), F.array()), lambda e: F.array_contains(cited, e["evidence_id"]))
+    error = F.when(F.size(F.array_distinct(cited)) != F.size(cited), "evidence_id_repeated").when(F.size(kept) != F.size(cited), "evidence_id_unknown")
+    return df.withColumn(evidence, kept).withColumn("subset_error", error)
+
+
+def two_stage_classified(pairs: DataFrame, key: str, gate: scoring.Scorer, typer: scoring.Scorer, visible: Sequence[str], forbidden: Sequence[str] = (), evidence: str | None = None) -> DataFrame:
+    """A gate over all pairs, a typer over those it lets pass, ``NO_RELATION`` for the rest; no pair is lost.
+
+    With ``evidence``, an array column of structs with ``evidence_id``, the typer sees only the items that
+    the gate cited; a pair whose citation does not hold goes to no typer and has the fault as its error.
+    """
+    gated = classified(pairs, key, visible, forbidden, gate, ("DIRECT", metrics.NONE)).select(key, F.col("relation_type").alias("gate"), F.col("evidence_ids").alias("gate_ids"), F.col("error").alias("gate_error"))
+    direct = pairs.join(gated.filter("gate = 'DIRECT'").select(key, "gate_ids"), key)
+    if evidence is None:
+        direct = direct.withColumn("subset_error", F.lit(None).cast("string"))
+    else:
+        direct = evidence_subset(direct, key, evidence, "gate_ids")
+    typed = classified(direct.filter("subset_error IS NULL"), key, visible, forbidden, typer)
+    faults = direct.filter("subset_error IS NOT NULL").select(key, F.col("subset_error"))
+    joined = gated.drop("gate_ids").join(typed, key, "left").join(faults, key, "left")
+    return joined.withColumn("relation_type", F.coalesce("relation_type", F.lit(metrics.NONE))).withColumn("error", F.coalesce("error", "subset_error")).drop("subset_error")
 
 
 def verified_windows(windows: DataFrame, pair: str, scorer: scoring.Scorer, visible: Sequence[str], pairs: DataFrame | None = None) -> DataFrame:
@@ -127,7 +148,7 @@ def projected(pairs: DataFrame, alignment: DataFrame, key: str, ends: tuple[str,
     """
     manifest = matching.recoverable(pairs, alignment, key, ends)
     kept = manifest.filter("recoverable")
-    slot = matching.slots(kept, key, list(ends)).select("ref", "slot")
+    slot = matching.slots(kept, key, list(ends)).select("ref", "slot").distinct()
     side = lambda df, end: df.join(slot.select(F.col("ref").alias(end), F.col("slot").alias(f"{end}_slot")), end)
     slotted = side(side(kept, ends[0]), ends[1])
 
@@ -156,9 +177,11 @@ def relation_gold(candidates: DataFrame) -> DataFrame:
 
 def connection_gold(universe: DataFrame, decisions: DataFrame, key: str, ends: tuple[str, str]) -> DataFrame:
     """Explicit decisions (``x, y, relation_type``) over a reviewed-negative default; unknown or repeated ones are errors."""
-    d = decisions.select(F.least("x", "y").alias("x_"), F.greatest("x", "y").alias("y_"), F.col("relation_type").alias("decided_type"))
+    require_empty(decisions.filter("x IS NULL OR y IS NULL").select("x", "y"), "decisions on half a pair")
+    x, y = M.ends(F.col("x"), F.col("y"))
+    d = decisions.select(x.alias("x_"), y.alias("y_"), F.col("relation_type").alias("decided_type"))
     require_empty(d.groupBy("x_", "y_").count().filter("count > 1"), "pairs decided twice")
-    u = universe.withColumn("x_", F.least(*ends)).withColumn("y_", F.greatest(*ends))
+    u = universe.withColumns(dict(zip(("x_", "y_"), M.ends(*map(col, ends)), strict=True)))
     require_empty(d.join(u, ["x_", "y_"], "left_anti").select("x_", "y_"), "decisions on unknown pairs")
     j = u.join(d, ["x_", "y_"], "left").drop("x_", "y_")
     return j.withColumn("relation_type", F.coalesce("decided_type", F.lit(metrics.NONE))).withColumn("basis", F.when(F.col("decided_type").isNull(), "reviewed_negative").otherwise("explicit")).drop("decided_type")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
@@ -54,14 +55,15 @@ def scored(df: DataFrame, text: str, scorer: Scorer, retries: int = 2, delay_s:
     def one(body: str | None) -> tuple[str | None, int, str | None]:
         if body is None:
             return None, 0, "no request"
-        attempts, fault, repaired = 0, None, False
+        attempts, failures, fault, repaired = 0, 0, None, False
         while True:
             attempts += 1
             try:
                 answer = scorer(body)
             except TransportError as e:
                 fault = f"transport: {e}"
-                if attempts > retries:
+                failures += 1
+                if failures > retries:
                     return None, attempts, fault
                 time.sleep(delay_s)
                 continue
@@ -70,7 +72,7 @@ def scored(df: DataFrame, text: str, scorer: Scorer, retries: int = 2, delay_s:
                 return answer, attempts, None
             if repaired:
                 return None, attempts, f"invalid: {fault}"
-            repaired = True
+            repaired, failures = True, 0
             body = json.dumps({"request": body, "previous": answer, "problem": fault})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,10 +110,15 @@ def batches(pairs: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def rendered(df: DataFrame, templates: Mapping[str, str], kind: str, values: Mapping[str, str], out: str = "text") -> DataFrame:
-    """Each row's template by type, ``{name}`` replaced by columns; a type without a template gives null."""
-    text = F.create_map(*(F.lit(x) for kv in templates.items() for x in kv))[col(kind)]
-    for name, column in values.items():
-        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(col(column).cast("string"), F.lit("")))
+    """Each row's template by type, ``{name}`` replaced by columns; a type without a template gives null.
+
+    A template is cut at its placeholders once, so what a value holds is never read as a placeholder.
+    """
+    text = F.lit(None).cast("string")
+    for name, template in templates.items():
+        parts = [p for p in re.split("(" + "|".join(re.escape("{" + v + "}") for v in values) + ")", template) if p] if values else [template]
+        filled = [F.coalesce(col(values[p[1:-1]]).cast("string"), F.lit("")) if p[:1] == "{" and p[1:-1] in values else F.lit(p) for p in parts]
+        text = F.when(col(kind) == name, F.concat(*filled) if filled else F.lit("")).otherwise(text)
     return df.withColumn(out, text)
 
 

@@ -30,6 +30,24 @@ def objects(df: DataFrame) -> DataFrame:
     return fields.unionByName(repeated).unionByName(_tagged(owners, "name_or_alias_clash"))
 
 
+def files_repeated(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Files that share what must be their own (an id, a path, a content): every file but the first of each value. ``df`` has ``file``."""
+    out = None
+    for violation, value in columns.items():
+        first = df.groupBy(value.alias("v_")).agg(F.min("file").alias("first_"), F.count("*").alias("n_")).filter("n_ > 1 AND v_ IS NOT NULL")
+        rows = df.select(F.col("file").alias("key"), value.alias("v_")).join(first, "v_").filter("key <> first_")
+        out = _tagged(rows, violation) if out is None else out.unionByName(_tagged(rows, violation))
+    return out
+
+
+def contiguous(df: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Ids ``prefix_N`` must be numbered from 1 without gaps: those whose number is over the count of distinct ids, and those of another form."""
+    n = df.agg(F.countDistinct(col(key)).alias("n_"))  # one row
+    number = F.regexp_extract(col(key), rf"\A{prefix}_0*(\d+)\z", 1).try_cast("long")
+    rows = df.select(col(key).alias("key"), number.alias("i_")).distinct().crossJoin(F.broadcast(n))
+    return _tagged(rows.filter("i_ IS NULL"), "id_form").unionByName(_tagged(rows.filter("i_ > n_ OR i_ < 1"), "id_not_contiguous"))
+
+
 def relations(df: DataFrame, objects_: DataFrame, texts: DataFrame) -> DataFrame:
     """Gold relations ``pair_id, source, target, relation_type, category, symmetric, evidence_spans`` against objects and texts."""
     s, t = M.ref_label(F.col("source.lecture_id"), F.col("source.ko_id")), M.ref_label(F.col("target.lecture_id"), F.col("target.ko_id"))
@@ -45,8 +63,8 @@ def relations(df: DataFrame, objects_: DataFrame, texts: DataFrame) -> DataFrame
     })
     known = kinds.select(F.col("s_").alias("ref"))
     lost = [_tagged(missing_parents(flat, known, c, "ref", "pair_id"), v) for c, v in (("s_", "source_unknown"), ("t_", "target_unknown"))]
-    key = F.concat_ws("|", F.least("s_", "t_"), F.greatest("s_", "t_"))
-    twice = flat.groupBy(key.alias("u_")).agg(F.min("pair_id").alias("key"), F.count("*").alias("n")).filter("n > 1")
+    low, high = M.ends(F.col("s_"), F.col("t_"))
+    twice = flat.groupBy(F.concat(low, F.lit("|"), high).alias("u_")).agg(F.min("pair_id").alias("key"), F.count("*").alias("n")).filter("n > 1 AND u_ IS NOT NULL")
     spans = flat.select("pair_id", F.explode("evidence_spans").alias("e")).select("pair_id", "e.lecture_id", "e.span").join(texts, "lecture_id", "left")
     inexact = spans.filter(~X.exact_span(F.col("text"), F.col("span"))).select(F.col("pair_id").alias("key")).distinct()
     out = fields.select(F.col("key").cast("string").alias("key"), "violation")
@@ -55,6 +73,86 @@ def relations(df: DataFrame, objects_: DataFrame, texts: DataFrame) -> DataFrame
     return out
 
 
+#: Labels of candidate pairs and what an annotation of each may hold.
+CANDIDATE_LABELS = ("IN_SCHEMA_RELATION", "NO_IN_SCHEMA_RELATION", "OUT_OF_SCHEMA_RELATION", "AMBIGUOUS")
+
+
+def candidates(df: DataFrame, objects_: DataFrame, texts: DataFrame, final: bool = True) -> DataFrame:
+    """Annotations of candidate pairs: label and payload must agree.
+
+    ``df`` has ``pair_id, lecture_id, ko_a, ko_b, candidate_label, annotation_status, gold_relations,
+    out_of_schema, ambiguity, negative_rationale, annotation_source``, with ``gold_relations`` an array of
+    ``struct<source, target, relation_type, role, symmetric, evidence_spans array<string>>``,
+    ``out_of_schema`` a ``struct<relation_description, schema_exclusion_rationale, evidence_spans>`` and
+    ``ambiguity`` a ``struct<rationale, competing_interpretations, adjudication_status>``. Objects have
+    ``lecture_id, obj_id, obj_type``, texts ``lecture_id, text``.
+    """
+    c = F.col
+    label = F.coalesce("candidate_label", F.lit(""))
+    golds = F.coalesce("gold_relations", F.array())
+    n_gold, n_primary = F.size("gold_relations"), F.size(F.filter("gold_relations", lambda r: r["role"] == "primary"))
+    some, filled = F.coalesce(n_gold > 0, F.lit(False)), lambda x: F.coalesce(F.trim(x) != "", F.lit(False))
+    out, amb, why = c("out_of_schema"), c("ambiguity"), c("negative_rationale")
+    is_ = lambda x: label == x
+    unless = lambda x, ok: ~is_(x) | F.coalesce(ok, F.lit(False))
+    edges = F.transform("gold_relations", lambda r: F.struct(r["source"], r["target"], r["relation_type"], r["role"]))
+    known = F.array("ko_a", "ko_b")
+    status, settled = c("annotation_status"), F.coalesce(amb["adjudication_status"] == "adjudicated_final", F.lit(False))
+    checks: dict[str, Column] = {
+        "label_unknown": c("candidate_label").isNull() | label.isin(*CANDIDATE_LABELS), "status_unknown": status.isin("draft", "pending_review", "final"),
+        "status_not_final": F.lit(not final) | (status == "final"), "label_missing": c("candidate_label").isNotNull() | ~status.isin("final", "pending_review"),
+        "payload_without_label": c("candidate_label").isNotNull() | (~some & out.isNull() & amb.isNull() & why.isNull()),
+        "relation_missing": unless("IN_SCHEMA_RELATION", some), "primary_not_one": unless("IN_SCHEMA_RELATION", n_primary == 1),
+        "positive_with_other_payload": unless("IN_SCHEMA_RELATION", out.isNull() & amb.isNull() & why.isNull()),
+        "negative_with_relations": unless("NO_IN_SCHEMA_RELATION", ~some), "negative_with_other_payload": unless("NO_IN_SCHEMA_RELATION", out.isNull() & amb.isNull()), "negative_without_rationale": unless("NO_IN_SCHEMA_RELATION", filled(why)),
+        "gap_with_other_payload": unless("OUT_OF_SCHEMA_RELATION", ~some & amb.isNull() & why.isNull()),
+        "gap_incomplete": unless("OUT_OF_SCHEMA_RELATION", filled(out["relation_description"]) & filled(out["schema_exclusion_rationale"]) & (F.size(out["evidence_spans"]) > 0)),
+        "ambiguous_with_other_payload": unless("AMBIGUOUS", out.isNull() & why.isNull()), "ambiguous_with_primary": unless("AMBIGUOUS", F.coalesce(n_primary, F.lit(0)) == 0),
+        "ambiguous_incomplete": unless("AMBIGUOUS", filled(amb["rationale"]) & (F.size(F.filter(amb["competing_interpretations"], filled)) == F.size(amb["competing_interpretations"])) & (F.size(amb["competing_interpretations"]) >= 2)),
+        "ambiguous_not_adjudicated": unless("AMBIGUOUS", (status != "final") | (settled & (c("annotation_source") == "adjudicated"))),
+        "source_missing": c("candidate_label").isNull() | filled(c("annotation_source")),
+        "relation_repeated": F.coalesce(F.size(F.array_distinct(edges)) == n_gold, F.lit(True)),
+        "relation_type_unknown": F.forall(golds, lambda r: F.coalesce(r["relation_type"].isin(*RELATIONS), F.lit(False))),
+        "ends_not_of_pair": F.forall(golds, lambda r: F.coalesce(F.array_contains(known, r["source"]) & F.array_contains(known, r["target"]) & (r["source"] != r["target"]), F.lit(False))),
+        "symmetric_type": F.forall(golds, lambda r: ~F.coalesce(r["symmetric"], F.lit(False)) | F.coalesce(r["relation_type"] == "CONTRASTS_WITH", F.lit(False))),
+    }
+    fields = violations(df, "pair_id", checks).select(c("key").cast("string").alias("key"), "violation")
+    each = df.select("pair_id", "lecture_id", F.explode("gold_relations").alias("r"))
+    kinds = objects_.select("lecture_id", c("obj_id").alias("source"), "obj_type")
+    formal = each.select("pair_id", "lecture_id", "r.source", "r.relation_type").filter("relation_type = 'FORMALIZES'").join(kinds, ["lecture_id", "source"], "left").filter("obj_type IS NULL OR obj_type <> 'Formula'")
+    spans = each.select("pair_id", "lecture_id", F.explode_outer("r.evidence_spans").alias("span")).unionByName(df.filter("out_of_schema IS NOT NULL").select("pair_id", "lecture_id", F.explode("out_of_schema.evidence_spans").alias("span")))
+    inexact = spans.join(texts.select("lecture_id", "text"), "lecture_id", "left").filter(~X.exact_span(c("text"), c("span")))
+    key = c("pair_id").cast("string").alias("key")
+    return fields.unionByName(_tagged(formal.select(key).distinct(), "formalizes_without_formula")).unionByName(_tagged(inexact.select(key).distinct(), "evidence_not_exact"))
+
+
+def connections(gold: DataFrame, universe: DataFrame, catalog: DataFrame, places: DataFrame) -> DataFrame:
+    """Audit of connection gold: its pairs are the universe's, its evidence stands in the catalog, negatives that share a block were reviewed.
+
+    ``gold`` has ``pair_id, a, b, category, origin, primary, evidence`` (an array of ``struct<evidence_id,
+    lecture_id, block_index, span>``), ``universe`` ``pair_id``, ``catalog`` the regenerated ``pair_id,
+    evidence_id, lecture_id, block_index, span``, and ``places`` the blocks in which an object's spans
+    stand: ``object, lecture_id, block_index``.
+    """
+    c = F.col
+    audit = bijection(universe, gold, "pair_id")
+    names = {"missing": "pair_not_in_universe", "extra": "pair_without_gold", "repeated_left": "universe_repeated", "repeated_right": "pair_repeated", "null_key": "pair_null"}
+    mapped = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[c("problem")]
+    out = audit.select(c("key").cast("string").alias("key"), mapped.alias("violation"))
+    cols = ["pair_id", "evidence_id", "lecture_id", "block_index", "span"]
+    cited = gold.select("pair_id", F.explode("evidence").alias("e")).select("pair_id", "e.*").select(*cols)
+    stale = cited.join(catalog.select(*cols).distinct(), cols, "left_anti").select(c("pair_id").alias("key")).distinct()
+    bare = gold.select("pair_id").join(catalog.select("pair_id").distinct(), "pair_id", "left_anti").select(c("pair_id").alias("key")).distinct()
+    negative = gold.filter("category = 'NO_IN_SCHEMA_CONNECTION'")
+    at = lambda end: negative.select("pair_id", "origin", c(end).alias("object")).join(places, "object").select("pair_id", "origin", "lecture_id", "block_index").distinct()
+    shared = at("a").join(at("b").drop("origin"), ["pair_id", "lecture_id", "block_index"])
+    unreviewed = shared.filter("origin IS NULL OR origin <> 'explicit_reviewed_decision'").select(c("pair_id").alias("key")).distinct()
+    odd = gold.filter("primary AND (category IS NULL OR category NOT IN ('IN_SCHEMA_CONNECTION', 'NO_IN_SCHEMA_CONNECTION'))").select(c("pair_id").alias("key"))
+    for rows, violation in ((stale, "evidence_not_in_catalog"), (bare, "pair_without_catalog"), (unreviewed, "shared_block_negative_unreviewed"), (odd, "primary_of_other_category")):
+        out = out.unionByName(_tagged(rows, violation))
+    return out
+
+
 def partition(clusters: DataFrame, mentions: DataFrame) -> DataFrame:
     """Clusters ``canonical_id, canonical_type, mention_ids`` must hold every mention ``mention_id, type`` exactly once, of one type."""
     each = clusters.select("canonical_id", "canonical_type", F.explode("mention_ids").alias("mention_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import measures as M
 from knotwork.functions import text as X
-from knotwork.operators import audit, clusters, matching, metrics, scoring
+from knotwork.operators import audit, clusters, evaluation, matching, metrics, scoring
 from knotwork.plans.base import CON, CON2, KO, LEC, NAME_KEY, REL, REL2, connections, lectures, objects, query, relations
 from knotwork.session import table
 from knotwork.streaming import events
@@ -27,7 +27,7 @@ def relation_facts(spark: SparkSession, d: str) -> DataFrame:
     return metrics.edge_facts(edge(relations(spark, d)), gold, "pair_id")
 
 
-_REF = "concat_ws('::', {0}.lecture_id, {0}.ko_id)"
+_REF = "({0}.lecture_id || '::' || {0}.ko_id)"
 _FACTS = f"""f AS (SELECT pair_id, gk, pk, coalesce(gk IN {_TYPES}, false) AS pos, coalesce(pk IN {_TYPES}, false) AS edge, coalesce(pk = gk, false) AS typed,
         coalesce(ps = gs AND pt = gt, false) AS directed, coalesce(pk = gk AND ((ps = gs AND pt = gt) OR (gk IN ('CONTRASTS_WITH', 'RELATED_TO', 'NO_RELATION') AND ps = gt AND pt = gs)), false) AS strict,
         coalesce(gk IN {_TYPES}, false) AND NOT coalesce(gk IN ('CONTRASTS_WITH', 'RELATED_TO'), false) AND coalesce(pk IN {_TYPES}, false) AS elig
@@ -167,7 +167,7 @@ def gate_table(spark: SparkSession, d: str) -> DataFrame:
 _GATE = f"j AS (SELECT coalesce(g.relation_type IN {_TYPES}, false) AS g, coalesce(len(p.evidence_ids) > 1, false) AS p FROM {CON} p JOIN {CON2} g USING (canonical_pair_id))"
 
 
-@query(f"""WITH {_GATE}, n AS (SELECT {_N.format('g AND p')} AS tp, {_N.format('NOT g AND p')} AS fp, {_N.format('g AND NOT p')} AS fn, {_N.format('NOT g AND NOT p')} AS tn FROM j)
+@query(f"""WITH {_GATE}, n AS (SELECT {_N.format('g AND p')} AS tp, {_N.format('NOT g AND p')} AS fp, {_N.format('g AND NOT p')} AS fn, {_N.format('NOT g AND NOT p')} AS tn, {_N.format('g IS NULL')} AS n_unlabelled FROM j)
     SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0), 6) AS f1, round(tn / nullif(tn + fp, 0), 6) AS negative_accuracy FROM n""")
 def binary_gate_prf(spark: SparkSession, d: str) -> DataFrame:
     g = connections(spark, d, "_copy").select("canonical_pair_id", F.coalesce(F.col("relation_type").isin(*metrics.RELATIONS), F.lit(False)).alias("g"))
@@ -217,13 +217,14 @@ def cluster_first_seen(spark: SparkSession, d: str) -> DataFrame:
 _ENT = f"""k AS {KO}, g AS (SELECT lecture_id, predicted_ko_id AS gold_id, type, CASE type WHEN 'Concept' THEN 'required' WHEN 'Method' THEN 'optional' WHEN 'Formula' THEN 'excluded' END AS category FROM k),
     p AS (SELECT x.lecture_id, x.pair_id AS index, g.gold_id, g.category, g.type, x.exact, CASE WHEN g.gold_id IS NULL THEN false ELSE row_number() OVER (PARTITION BY x.lecture_id, g.gold_id ORDER BY x.pair_id) > 1 END AS dup
         FROM (SELECT source.lecture_id AS lecture_id, source.ko_id AS ko_id, pair_id, coalesce(len(evidence_spans) > 0, false) AS exact FROM {REL} WHERE source.ko_id IS NOT NULL AND source.lecture_id IS NOT NULL) x LEFT JOIN g ON g.lecture_id = x.lecture_id AND g.gold_id = x.ko_id),
-    c AS (SELECT lecture_id, count(*) AS n_predictions, {_N.format("NOT dup AND category = 'required'")} AS tp, {_N.format("dup OR gold_id IS NULL OR category = 'excluded'")} AS fp, {_N.format("NOT dup AND category = 'required' AND type = 'Concept'")} AS typed, {_N.format('exact')} AS exact, {_N.format('dup')} AS n_duplicates FROM p GROUP BY 1),
+    c AS (SELECT lecture_id, count(*) AS n_predictions, {_N.format("NOT dup AND category = 'required'")} AS tp, {_N.format("dup OR gold_id IS NULL OR category = 'excluded'")} AS fp, {_N.format("NOT dup AND category = 'required' AND type = 'Concept'")} AS typed, {_N.format('exact')} AS exact, {_N.format('dup')} AS n_duplicates,
+        {_N.format("category = 'optional' AND NOT dup")} AS n_optional, {_N.format("category = 'excluded'")} AS n_excluded, {_N.format('gold_id IS NULL')} AS n_unsupported FROM p GROUP BY 1),
     t AS (SELECT lecture_id, {_N.format("category = 'required'")} AS n_required FROM g GROUP BY 1),
-    j AS (SELECT lecture_id, coalesce(n_predictions, 0) AS n_predictions, coalesce(n_required, 0) AS n_required, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(typed, 0) AS typed, coalesce(exact, 0) AS exact, coalesce(n_duplicates, 0) AS n_duplicates FROM t FULL JOIN c USING (lecture_id)),
-    s AS (SELECT lecture_id, CAST(sum(n_predictions) AS BIGINT) AS n_predictions, CAST(sum(n_required) AS BIGINT) AS n_required, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, sum(typed) AS typed, sum(exact) AS exact, CAST(sum(n_duplicates) AS BIGINT) AS n_duplicates FROM j GROUP BY ROLLUP (lecture_id))"""
+    j AS (SELECT lecture_id, coalesce(n_predictions, 0) AS n_predictions, coalesce(n_required, 0) AS n_required, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(typed, 0) AS typed, coalesce(exact, 0) AS exact, coalesce(n_duplicates, 0) AS n_duplicates, coalesce(n_optional, 0) AS n_optional, coalesce(n_excluded, 0) AS n_excluded, coalesce(n_unsupported, 0) AS n_unsupported FROM t FULL JOIN c USING (lecture_id)),
+    s AS (SELECT lecture_id, CAST(sum(n_predictions) AS BIGINT) AS n_predictions, CAST(sum(n_required) AS BIGINT) AS n_required, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, sum(typed) AS typed, sum(exact) AS exact, CAST(sum(n_duplicates) AS BIGINT) AS n_duplicates, CAST(sum(n_optional) AS BIGINT) AS n_optional, CAST(sum(n_excluded) AS BIGINT) AS n_excluded, CAST(sum(n_unsupported) AS BIGINT) AS n_unsupported FROM j GROUP BY ROLLUP (lecture_id))"""
 
 
-@query(f"""WITH {_ENT} SELECT lecture_id, n_predictions, n_required, tp, fp, n_required - tp AS fn, n_duplicates, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(n_required, 0), 6) AS recall,
+@query(f"""WITH {_ENT} SELECT lecture_id, n_predictions, n_required, tp, fp, n_required - tp AS fn, n_duplicates, n_optional, n_excluded, n_unsupported, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(n_required, 0), 6) AS recall,
     round(2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(n_required, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(n_required, 0), 0), 6) AS f1, round(typed / nullif(tp, 0), 6) AS type_accuracy, round(exact / nullif(n_predictions, 0), 6) AS exact_span_rate FROM s""")
 def entity_prf_micro_rollup(spark: SparkSession, d: str) -> DataFrame:
     category = F.create_map(*map(F.lit, ("Concept", "required", "Method", "optional", "Formula", "excluded")))[F.col("type")]
@@ -235,6 +236,79 @@ def entity_prf_micro_rollup(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.entity_metrics(named.join(known, ["lecture_id", "ko_id"], "left"), gold, "lecture_id"))
 
 
+_CATEGORY = "CASE WHEN {0} = 'RELATED_TO' THEN 'ambiguous' WHEN {0} = 'NO_RELATION' THEN 'hard_negative' WHEN {0} IS NULL THEN 'schema_gap' ELSE 'positive' END"
+_EVAL = f"""b AS (SELECT g.pair_id, {_CATEGORY.format('g.relation_type')} AS category, g.relation_type AS gk, p.relation_type AS pk, {_REF.format('p.source')} AS ps, {_REF.format('p.target')} AS pt, {_REF.format('g.source')} AS gs, {_REF.format('g.target')} AS gt,
+        p.evidence_spans AS pe, g.evidence_spans AS ge, p.rationale AS why, g.source.lecture_id AS l1, g.target.lecture_id AS l2 FROM {REL2} g JOIN {REL} p USING (pair_id)),
+    x AS (SELECT pair_id, l1, l2, unnest(pe) AS s FROM b), y AS (SELECT x.pair_id, coalesce(s.lecture_id = l1, false) OR coalesce(s.lecture_id = l2, false) AS inside, coalesce(s.span <> '' AND contains(text, s.span), false) AS held FROM x LEFT JOIN {LEC} l ON l.lecture_id = s.lecture_id),
+    n AS (SELECT pair_id, count(*) AS n_spans, {_N.format('inside AND held')} AS n_exact, {_N.format('NOT inside')} AS n_outside, {_N.format('inside AND NOT held')} AS n_invalid FROM y GROUP BY 1),
+    m AS (SELECT b.*, coalesce(n_spans, 0) AS n_spans, coalesce(n_exact, 0) AS n_exact, coalesce(n_outside, 0) AS n_outside, coalesce(n_invalid, 0) AS n_invalid, coalesce(pk IN {_TYPES}, false) AS edge,
+        coalesce(pk = gk AND ((ps = gs AND pt = gt) OR (gk IN ('RELATED_TO', 'CONTRASTS_WITH', 'NO_RELATION') AND ps = gt AND pt = gs)), false) AS strict, coalesce(category = 'ambiguous' AND pk = 'USES' AND ps = gt AND pt = gs, false) AS other,
+        category = 'positive' AND gk <> 'CONTRASTS_WITH' AND coalesce(pk IN {_TYPES}, false) AS elig FROM b LEFT JOIN n USING (pair_id)),
+    e AS (SELECT pair_id, category, gk AS gold_type, pk AS predicted_type, category IN ('positive', 'hard_negative') AS "primary", category = 'positive' AS positive, edge AS predicted_edge, strict, strict OR other AS acceptable, coalesce(pk = gk, false) AS type_correct, elig AS direction_eligible,
+        elig AND coalesce(ps = gs AND pt = gt, false) AS direction_correct, coalesce(trim(why) <> '', false) AS rationale_present, n_spans, n_exact, n_outside, n_invalid,
+        CASE WHEN (strict OR other) AND edge THEN CASE WHEN n_spans > 0 AND n_spans = n_exact AND coalesce(list_sort(list_transform(pe, lambda s: [s.lecture_id, s.span])) = list_sort(list_transform(ge, lambda s: [s.lecture_id, s.span])), false) THEN 'auto_supported_by_gold_evidence' ELSE 'pending_adjudication' END END AS support FROM m)"""
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    """The first system against the copy as gold: RELATED_TO is ambiguous and USES in reverse accepted for it, a null type a schema gap."""
+    c = F.col
+    ref = lambda s: M.ref_label(c(f"{s}.lecture_id"), c(f"{s}.ko_id")).alias(s)
+    p = relations(spark, d).select("pair_id", ref("source"), ref("target"), "relation_type", "evidence_spans", "rationale")
+    g = relations(spark, d, "_copy").select("pair_id", F.array("source.lecture_id", "target.lecture_id").alias("lectures"), ref("source"), ref("target"), "relation_type", "evidence_spans")
+    kind = c("relation_type")
+    category = F.when(kind == "RELATED_TO", "ambiguous").when(kind == metrics.NONE, "hard_negative").when(kind.isNull(), "schema_gap").otherwise("positive")
+    other = F.struct(c("target").alias("source"), c("source").alias("target"), F.lit("USES").alias("relation_type"), F.lit(False).alias("symmetric"))
+    g = g.withColumn("category", category).withColumn("symmetric", kind.isin(*metrics.SYMMETRIC)).withColumn("alternatives", F.when(kind == "RELATED_TO", F.array(other)))
+    return evaluation.relation_facts(p, g, "pair_id", lectures(spark, d))
+
+
+@query(f"WITH {_EVAL} SELECT * FROM e")
+def relation_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d)
+
+
+@query(f"""WITH {_EVAL} SELECT count(*) AS n_pairs, {_N.format('"primary"')} AS n_primary, {_N.format('positive')} AS n_positive, {_N.format("category = 'hard_negative'")} AS n_hard_negative, {_N.format("category = 'ambiguous'")} AS n_ambiguous, {_N.format("category = 'schema_gap'")} AS n_schema_gap,
+    {_RATE.format('"primary" AND strict', '"primary"')} AS strict_accuracy, {_RATE.format('"primary" AND type_correct', '"primary"')} AS type_accuracy, {_RATE.format('direction_correct', 'direction_eligible')} AS direction_accuracy, {_RATE.format('direction_correct AND type_correct', 'direction_eligible AND type_correct')} AS conditioned_direction_accuracy,
+    {_RATE.format('positive AND strict', 'positive')} AS positive_accuracy, {_RATE.format("category = 'hard_negative' AND predicted_type = 'NO_RELATION'", "category = 'hard_negative'")} AS no_relation_accuracy, {_RATE.format("category = 'ambiguous' AND acceptable", "category = 'ambiguous'")} AS ambiguous_acceptable_accuracy,
+    {_RATE.format('"primary" AND predicted_type = ' + "'RELATED_TO'", '"primary"')} AS related_to_rate, {_N.format('"primary" AND predicted_type = ' + "'RELATED_TO'")} AS n_related_to_overused, {_N.format("category = 'hard_negative' AND predicted_edge")} AS n_unsupported_relations,
+    round(sum(n_exact) / nullif(sum(n_spans), 0), 6) AS exact_evidence_rate, CAST(sum(n_spans) AS BIGINT) AS n_spans, CAST(sum(n_spans - n_exact) AS BIGINT) AS n_invalid_spans, CAST(sum(n_outside) AS BIGINT) AS n_outside_spans, {_N.format('predicted_edge AND n_spans = 0')} AS n_missing_evidence,
+    {_N.format("predicted_type = 'NO_RELATION' AND n_spans > 0")} AS n_unexpected_evidence, {_N.format('NOT rationale_present')} AS n_missing_rationale, {_N.format("support = 'pending_adjudication'")} AS n_pending, CASE WHEN count(*) FILTER (WHERE support = 'pending_adjudication') > 0 THEN 'draft_pending_adjudication' ELSE 'final' END AS status FROM e""")
+def relation_evaluation_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluation.relation_metrics(_evaluated(spark, d)))
+
+
+_ERRORS_OF = {
+    "missing_rationale": ("NOT rationale_present", "1"), "missing_evidence": ("predicted_edge AND n_spans = 0", "1"), "unexpected_evidence_for_no_relation": ("predicted_type = 'NO_RELATION' AND n_spans > 0", "1"),
+    "evidence_lecture_outside_candidate": ("n_outside > 0", "n_outside"), "invalid_evidence_span": ("n_invalid > 0", "n_invalid"), "overused_related_to": ("\"primary\" AND predicted_type = 'RELATED_TO'", "1"),
+    "false_positive_relation": ("category = 'hard_negative' AND predicted_edge", "1"), "false_negative_relation": (f"\"primary\" AND gold_type IN {_TYPES} AND predicted_type = 'NO_RELATION'", "1"), "wrong_relation_type": ('"primary" AND NOT type_correct', "1"),
+    "wrong_direction": ('"primary" AND type_correct AND direction_eligible AND NOT direction_correct', "1"),
+}
+
+
+@query(f"WITH {_EVAL} " + " UNION ALL ".join(f"SELECT pair_id, '{k}' AS error_type, CAST({n} AS BIGINT) AS n FROM e WHERE {w}" for k, (w, n) in _ERRORS_OF.items()))
+def relation_evaluation_errors(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.relation_errors(_evaluated(spark, d), "pair_id")
+
+
+_ARM = """SELECT '{0}' AS arm, e.*, {1} AS selected FROM e JOIN """ + REL + """ r USING (pair_id)"""
+_ARMS = f"""a AS ({_ARM.format('with_spans', 'coalesce(len(r.evidence_spans) > 0, false)')} UNION ALL {_ARM.format('with_rationale', "coalesce(r.rationale <> '', false)")}),
+    o AS (SELECT *, CASE WHEN positive THEN selected AND strict ELSE NOT selected OR NOT predicted_edge END AS correct FROM a),
+    l AS (SELECT *, CASE WHEN NOT "primary" THEN 'not_primary_scored' WHEN correct THEN 'correct' WHEN positive AND NOT selected THEN 'candidate_miss' WHEN NOT positive THEN 'false_positive' WHEN NOT predicted_edge THEN 'false_negative' WHEN NOT type_correct THEN 'wrong_type'
+        WHEN direction_eligible AND NOT direction_correct THEN 'wrong_direction' ELSE 'wrong_endpoints' END AS locus FROM o)"""
+_HIT, _MADE, _GOLD = "count(*) FILTER (WHERE positive AND selected AND strict)", "nullif(count(*) FILTER (WHERE \"primary\" AND selected AND predicted_edge), 0)", "nullif(count(*) FILTER (WHERE positive), 0)"
+
+
+@query(f"""WITH {_EVAL}, {_ARMS} SELECT arm, {_N.format('"primary"')} AS n_primary, {_N.format('selected')} AS n_selected, {_RATE.format('"primary" AND correct', '"primary"')} AS strict_accuracy, round({_HIT} / {_MADE}, 6) AS edge_precision, round({_HIT} / {_GOLD}, 6) AS edge_recall,
+    round(2 * ({_HIT} / {_MADE}) * ({_HIT} / {_GOLD}) / nullif({_HIT} / {_MADE} + {_HIT} / {_GOLD}, 0), 6) AS edge_f1,
+    """ + ", ".join(f"count(*) FILTER (WHERE locus = '{x}') AS n_{x}" for x in ("candidate_miss", "false_positive", "false_negative", "wrong_type", "wrong_direction", "wrong_endpoints")) + " FROM l GROUP BY 1")
+def pipeline_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Two candidate selections before the same relations, side by side."""
+    facts, r = _evaluated(spark, d), relations(spark, d)
+    arms = {"with_spans": r.filter(F.size("evidence_spans") > 0), "with_rationale": r.filter("rationale <> ''")}
+    runs = [evaluation.pipeline_facts(facts, s, "pair_id").withColumn("arm", F.lit(n)) for n, s in arms.items()]
+    return rounded(evaluation.pipeline_metrics(runs[0].unionByName(runs[1]), ["arm"]))
+
+
 @query(f"SELECT a.relation_type AS before, b.relation_type AS after, count(*) AS n FROM {REL} a JOIN {REL2} b USING (pair_id) GROUP BY 1, 2")
 def transitions(spark: SparkSession, d: str) -> DataFrame:
     b = relations(spark, d, "_copy").select("pair_id", F.col("relation_type").alias("b"))
@@ -284,6 +358,17 @@ def recoverability(spark: SparkSession, d: str) -> DataFrame:
     return _recovered(spark, d).select("pair_id", F.array_join("reasons", ",").alias("reasons"), "recoverable")
 
 
+@query(f"""WITH {_RECOVERED}, w AS (SELECT *, CASE WHEN split_part(a, '::', 1) = split_part(b, '::', 1) THEN 'within' ELSE 'cross' END AS scope, ca IS NOT NULL AS ra, cb IS NOT NULL AS rb FROM q WHERE a IS NOT NULL AND b IS NOT NULL),
+    u AS (SELECT scope, ref, bool_or(ok) AS ok FROM (SELECT scope, a AS ref, ra AS ok FROM w UNION ALL SELECT scope, b, rb FROM w) GROUP BY 1, 2), v AS (SELECT scope, count(*) AS n_endpoints, {_N.format('ok')} AS n_recovered FROM u GROUP BY 1)
+    SELECT scope, count(*) AS n_pairs, any_value(n_endpoints) AS n_endpoints, any_value(n_recovered) AS n_recovered, round(any_value(n_recovered) / any_value(n_endpoints), 6) AS unique_rate, round(({_N.format('ra')} + {_N.format('rb')}) / (2 * count(*)), 6) AS weighted_rate,
+    {_N.format('ra AND rb')} AS n_both, {_N.format('ra <> rb')} AS n_one, {_N.format('NOT ra AND NOT rb')} AS n_none FROM w JOIN v USING (scope) GROUP BY 1""")
+def endpoint_recovery(spark: SparkSession, d: str) -> DataFrame:
+    r = _recovered(spark, d).filter("a IS NOT NULL AND b IS NOT NULL")
+    scope = F.when(F.split_part(F.col("a"), F.lit("::"), F.lit(1)) == F.split_part(F.col("b"), F.lit("::"), F.lit(1)), "within").otherwise("cross")
+    marked = r.select("a", "b", F.col("counterpart_0").isNotNull().alias("ra"), F.col("counterpart_1").isNotNull().alias("rb"), scope.alias("scope"))
+    return rounded(evaluation.endpoint_recovery(marked, ("a", "b"), ("ra", "rb"), ["scope"]))
+
+
 @query(f"""WITH {_RECOVERED}, {_FACTS}, z AS (SELECT q.reasons = '' AS rec, coalesce(f.strict, false) AS strict, q.relation_type FROM q LEFT JOIN f USING (pair_id))
     SELECT relation_type, count(*) AS n_pairs, {_N.format('rec')} AS n_recoverable, {_RATE.format('rec', 'true')} AS recoverable_rate, {_RATE.format('rec AND strict', 'rec')} AS conditional_accuracy, {_RATE.format('rec AND strict', 'true')} AS pipeline_accuracy FROM z GROUP BY 1""")
 def recoverability_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -291,17 +376,21 @@ def recoverability_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.recoverability(_recovered(spark, d).join(facts, "pair_id", "left"), ["relation_type"]))
 
 
-@query(f"""WITH r AS (SELECT canonical_pair_id, evidence_ids, relation_type, rationale, coalesce(len(list_filter(evidence_ids, lambda x: x > 'evidence_035')), 0) AS bad, coalesce(len(evidence_ids), 0) AS n,
-        relation_type IS NOT NULL AND source_canonical_ko_id IS NOT NULL AND rationale IS NOT NULL AS ok FROM {CON})
-    SELECT count(*) AS n_reviews, CAST(sum(n) AS BIGINT) AS n_claims, round(sum(bad) / nullif(sum(n), 0), 6) AS unsupported_rate, round(count(*) FILTER (WHERE ok AND bad = 0) / count(*), 6) AS pass_rate, round(avg(n) FILTER (WHERE ok AND bad = 0), 6) AS mean_clarity FROM r""")
+@query(f"""WITH r AS (SELECT coalesce(evidence_ids, []) AS e, relation_type IS NOT NULL AS rf, source_canonical_ko_id IS NOT NULL AS df, rationale IS NOT NULL AS ef, CASE WHEN evidence_ids IS NOT NULL THEN len(evidence_ids) > 0 END AS xf FROM {CON}),
+    q AS (SELECT *, len(list_filter(e, lambda x: x > 'evidence_035')) AS u, len(list_filter(e, lambda x: x > 'evidence_030' AND x <= 'evidence_035')) AS c, len(list_filter(e, lambda x: x > 'evidence_028' AND x <= 'evidence_030')) AS o, len(e) AS n FROM r),
+    p AS (SELECT *, rf AND df AND ef AND coalesce(xf, true) AND u + c + o = 0 AS ok FROM q)
+    SELECT count(*) AS n_reviews, CAST(sum(n) AS BIGINT) AS n_claims, CAST(sum(n - u - c - o) AS BIGINT) AS n_source_grounded, CAST(sum(u) AS BIGINT) AS n_unsupported, CAST(sum(c) AS BIGINT) AS n_contradicted, CAST(sum(o) AS BIGINT) AS n_unresolved,
+    round(sum(u + c) / nullif(sum(n - o), 0), 6) AS unsupported_rate, {_RATE.format('rf', 'true')} AS relation_rate, {_RATE.format('df', 'true')} AS direction_rate, {_RATE.format('ef', 'true')} AS endpoint_rate, {_RATE.format('xf', 'xf IS NOT NULL')} AS evidence_rate,
+    {_RATE.format('ok', 'true')} AS pass_rate, round(avg(n) FILTER (WHERE ok), 6) AS mean_clarity, CASE WHEN sum(o) > 0 THEN 'draft_pending_adjudication' ELSE 'final' END AS status FROM p""")
 def explanation_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Reviews derived by rule: an evidence id after 035 is unsupported, a missing field is unfaithful, clarity is the number of claims."""
-    c = connections(spark, d)
-    claims = F.transform(F.coalesce("evidence_ids", F.array().cast("array<string>")), lambda x: F.struct(x.alias("claim_id"), F.when(x > "evidence_035", "UNSUPPORTED").otherwise("SOURCE_GROUNDED").alias("support_label")))
-    ok = lambda f: F.col(f).isNotNull()
-    reviews = c.select(
-        claims.alias("claims"), F.struct(ok("relation_type").alias("relation_faithful"), ok("source_canonical_ko_id").alias("direction_faithful"), ok("rationale").alias("endpoint_faithful"), F.lit(None).cast("boolean").alias("evidence_faithful")).alias("faithfulness"),
-        F.struct(F.size(claims).alias("clarity")).alias("learning_value_scores"),
+    """Reviews derived by rule: the number of an evidence id gives its label, a missing field is unfaithful, clarity is the number of claims."""
+    ids = F.coalesce("evidence_ids", F.array().cast("array<string>"))
+    label = lambda x: F.when(x > "evidence_035", "UNSUPPORTED").when(x > "evidence_030", "CONTRADICTED").when(x > "evidence_028", "UNRESOLVED").otherwise("SOURCE_GROUNDED")
+    claims = F.transform(ids, lambda x: F.struct(x.alias("claim_id"), label(x).alias("support_label")))
+    ok = lambda f, n: F.col(f).isNotNull().alias(n)
+    evidence = F.when(F.col("evidence_ids").isNotNull(), F.size("evidence_ids") > 0).alias("evidence_faithful")
+    reviews = connections(spark, d).select(
+        claims.alias("claims"), F.struct(ok("relation_type", "relation_faithful"), ok("source_canonical_ko_id", "direction_faithful"), ok("rationale", "endpoint_faithful"), evidence).alias("faithfulness"), F.struct(F.size(claims).alias("clarity")).alias("learning_value_scores"),
     )
     return rounded(metrics.explanation_metrics(reviews))
 
@@ -363,7 +452,7 @@ def unordered_key_join(spark: SparkSession, d: str) -> DataFrame:
     return matching.unordered_join(p, required, ("a", "b"), ("x", "y"))
 
 
-@query(f"""WITH r AS (SELECT pair_id, {_REF.format('source')} AS a, {_REF.format('target')} AS b FROM {REL}), e AS (SELECT pair_id, unnest([a, b]) AS ref FROM r), s AS (SELECT DISTINCT ref FROM e),
+@query(f"""WITH r AS (SELECT pair_id, {_REF.format('source')} AS a, {_REF.format('target')} AS b FROM {REL}), e AS (SELECT pair_id, unnest([a, b]) AS ref FROM r), s AS (SELECT DISTINCT ref FROM e WHERE ref IS NOT NULL),
     n AS (SELECT ref, printf('ko_slot_%06d', row_number() OVER (ORDER BY ref)) AS slot FROM s), k AS (SELECT lecture_id || '::' || predicted_ko_id AS ref FROM {KO} WHERE type IS NULL)
     SELECT e.pair_id AS pair, array_to_string(list_sort(list_distinct(list(slot))), ',') AS flags FROM e JOIN n USING (ref) JOIN k USING (ref) GROUP BY 1""")
 def slot_fanout(spark: SparkSession, d: str) -> DataFrame:
@@ -371,7 +460,7 @@ def slot_fanout(spark: SparkSession, d: str) -> DataFrame:
     r = relations(spark, d).select("pair_id", M.ref_label(F.col("source.lecture_id"), F.col("source.ko_id")).alias("a"), M.ref_label(F.col("target.lecture_id"), F.col("target.ko_id")).alias("b"))
     s = matching.slots(r, "pair_id", ["a", "b"]).withColumn("slot", F.concat(F.lit("ko_slot_"), F.lpad(F.regexp_extract("slot", r"\d+$", 0), 6, "0")))
     untyped = objects(spark, d).filter("type IS NULL").select(M.ref_label(F.col("lecture_id"), F.col("predicted_ko_id")).alias("ref"))
-    return matching.fanned_out(s.join(untyped, "ref"), "pairs", "slot").withColumn("flags", F.array_join("flags", ","))
+    return matching.fanned_out(s.join(untyped, "ref"), "slot").withColumn("flags", F.array_join("flags", ","))
 
 
 @query("""SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, count(*) FILTER (WHERE n_chars BETWEEN 200 AND 5000) AS n_in_range, coalesce(count(*) BETWEEN 5 AND 100000, false) AS enough FROM documents GROUP BY 1, 2""")
@@ -428,6 +517,15 @@ def provenance_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return matching.provenance_mismatches(k.filter("type = 'Concept'"), k.filter("type = 'Method'"), "key", "lecture_id", "predicted_ko_id")
 
 
+@query(f"""WITH k AS (SELECT lecture_id, predicted_ko_id, {NAME_KEY.format('name')} AS key, type FROM {KO}), a AS (SELECT * FROM k WHERE type = 'Concept'), b AS (SELECT * FROM k WHERE type = 'Method'),
+    fa AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.key = a.key AND b.lecture_id = a.lecture_id)), fb AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.key = b.key AND a.lecture_id = b.lecture_id)),
+    m AS (SELECT fa.key, fa.predicted_ko_id AS a, fa.lecture_id AS ga, fb.predicted_ko_id AS b, fb.lecture_id AS gb FROM fa JOIN fb ON fa.key = fb.key)
+    SELECT key, 'left' AS side, a AS id, ga AS "group", count(*) AS n_links FROM m GROUP BY key, a, ga UNION ALL SELECT key, 'right', b, gb, count(*) FROM m GROUP BY key, b, gb""")
+def provenance_mismatch_classes(spark: SparkSession, d: str) -> DataFrame:
+    k = objects(spark, d).select("lecture_id", "predicted_ko_id", "type", X.name_key_native(F.col("name")).alias("key"))
+    return matching.mismatch_classes(k.filter("type = 'Concept'"), k.filter("type = 'Method'"), "key", "lecture_id", "predicted_ko_id")
+
+
 _SEL2 = _SELECTED.replace("coalesce(len(p.evidence_spans) > 0, false)", "coalesce(p.rationale <> '', false)").replace("s AS (", "s2 AS (", 1)
 
 

@@ -359,7 +359,8 @@ def test_matching(spark):
     r = matching.recoverable(spark.createDataFrame([("1", "x", "y"), ("2", "x", "z"), ("3", "q", "z")], "k string, a string, b string"), al, "k", ("a", "b"))
     assert values(r, "k", "reasons", "recoverable") == [("1", ["ends_merged"], False), ("2", ["deleted"], False), ("3", ["deleted", "unaligned"], False)]
     s = matching.slots(spark.createDataFrame([("1", "x", "y"), ("2", "x", None)], "k string, a string, b string"), "k", ["a", "b"])
-    assert values(s) == [("x", "ko_slot_001", ["1", "2"]), ("y", "ko_slot_002", ["1"])]
+    assert values(s) == [("x", "ko_slot_001", "1"), ("x", "ko_slot_001", "2"), ("y", "ko_slot_002", "1")]
+    assert values(matching.fanned_out(s, "slot")) == [("1", ["ko_slot_001", "ko_slot_002"]), ("2", ["ko_slot_001"])]
 
 
 def test_scorer(spark):
