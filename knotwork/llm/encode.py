@@ -73,9 +73,19 @@ def bpe(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
 
 
 def encoder(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Callable[[str], list[int]]:
-    """A function from text to ids, for one worker. Special tokens' strings are ordinary text."""
+    """A function from text to ids; a worker process makes it once and keeps it, with its words, over all its tasks.
+
+    Special tokens' strings are ordinary text.
+    """
+    import sys
+    import types
+
     import regex
 
+    kept = sys.modules.setdefault("knotwork_worker_memory", types.ModuleType("knotwork_worker_memory")).__dict__
+    if ("encoder", name, folder) in kept:
+        return kept["encoder", name, folder]
+
     ranks = load_ranks(name, folder)
     split = regex.compile(PATTERN).findall
 
@@ -97,6 +107,7 @@ def encoder(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Callable[[s
             out += words[word]
         return out
 
+    kept["encoder", name, folder] = encode
     return encode
 
 

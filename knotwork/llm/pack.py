@@ -32,8 +32,8 @@ from knotwork.session import written
 LARGE, GROUPS = 0.25, 16
 #: The driver plans at most so many windows, and as many lengths as their capacities together.
 MOST_WINDOWS, MOST_LENGTHS = 100, 1 << 21
-#: Partitions in which items of one length are ranked.
-RANKED = 64
+#: Items of one length are ranked in at least so many parts, and in more where a part would have more than so many items.
+RANKED, PART = 64, 500_000
 
 
 def linear_groups(sizes: np.ndarray, counts: np.ndarray, groups: int) -> np.ndarray:
@@ -240,12 +240,14 @@ def packed(counted: DataFrame, windows: DataFrame, key: str = "doc_id", tokens:
                     container[mine] = base[at] + (rank[mine] - first[at]) // each_[at]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(container), b.column(0), b.column(2), b.column(3)], ["w", "container", "key_", "first_token", "n_tokens"])
 
-    placed = _ranked(split, ["w", "n"]).select("key_", "w", "first_token", "n", "rank")
+    parts_ = max(RANKED, -(-sum(t.c for t in table) // PART))
+    placed = _ranked(split, ["w", "n"], parts_).select("key_", "w", "first_token", "n", "rank")
     parts = placed.mapInArrow(look_up, f"w int, container long, key_ {kind}, first_token long, n_tokens long")
-    full = each.filter("size > cap").select("key_", "w", "cap", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / F.col("cap")) - 1)).alias("piece"))
+    full = each.filter("size > cap").select("key_", "w", "cap", F.floor(F.col("size") / F.col("cap")).alias("pieces"))  # ranked by document, split into pieces afterwards
     planned = F.array(*(F.lit(m.next).cast("long") for m in made))
-    alone = _ranked(full, ["w"]).select(
-        "w", (planned[F.col("w")] + F.col("rank")).alias("container"), "key_", (F.col("piece") * F.col("cap")).cast("long").alias("first_token"), F.col("cap").alias("n_tokens")
+    ranked = _ranked(full, ["w"], parts_, "pieces").select("key_", "w", "cap", "rank", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    alone = ranked.select(
+        "w", (planned[F.col("w")] + F.col("rank") + F.col("piece")).alias("container"), "key_", (F.col("piece") * F.col("cap")).cast("long").alias("first_token"), F.col("cap").alias("n_tokens")
     )
     return parts.unionByName(alone).select(*cols)
 
@@ -257,11 +259,13 @@ def _lookup(made: Plan) -> tuple[np.ndarray, ...]:
     return np.array([(r[0] << 44) + r[1] for r in rows], np.int64), first, base, each
 
 
-def _ranked(items: DataFrame, by: list[str]) -> DataFrame:
-    """``rank`` from 0 within equal values of ``by``: counts per value and part, then positions inside the parts."""
-    parted = items.withColumn("part", F.pmod(F.xxhash64(*items.columns), F.lit(RANKED)))
-    sums = parted.groupBy(*by, "part").agg(F.count("*").alias("n_"))
+def _ranked(items: DataFrame, by: list[str], parts: int, weight: str | None = None) -> DataFrame:
+    """``rank`` from 0 within equal values of ``by``, an item taking ``weight`` ranks: sums per value and part, then positions inside the parts."""
+    amount = F.col(weight) if weight else F.lit(1)
+    parted = items.withColumn("part", F.pmod(F.xxhash64(*items.columns), F.lit(parts)))
+    sums = parted.groupBy(*by, "part").agg(F.sum(amount).alias("n_"))
     before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "part", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy(*by, "part").orderBy(*items.columns)) - 1
+    order = Window.partitionBy(*by, "part").orderBy(*items.columns)
+    inside = F.coalesce(F.sum(amount).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(order) - 1
     return parted.withColumn("inside", inside).join(sums, [*by, "part"]).withColumn("rank", F.col("before") + F.col("inside")).drop("part", "inside", "before")

@@ -12,8 +12,8 @@ MIN_SHARED = 160
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    relations = look.spans_of(table(spark, d, "relation_predictions"), "relation_predictions", "pair_id")
-    return relations.unionByName(look.spans_of(table(spark, d, "identity_decisions"), "identity_decisions", "candidate_id"))
+    relations = look.spans_of(wide_table(spark, d, "relation_predictions"), "relation_predictions", "pair_id")
+    return relations.unionByName(look.spans_of(wide_table(spark, d, "identity_decisions"), "identity_decisions", "candidate_id"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +27,7 @@ def p6_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_lectures(spark: SparkSession, d: str) -> DataFrame:
     """Every lecture text in its consistent form."""
-    return look.normalized(table(spark, d, "lectures").select("lecture_id", "text"), "text")
+    return look.normalized(wide_table(spark, d, "lectures").select("lecture_id", "text"), "text")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -216,7 +216,10 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 160, context:
     unsure = kinds.filter("kinds > 1")
     wanted = unsure.select(F.col("at.id").alias("id_"), F.struct("anchor", "digest", "first", "last", F.col("at.lo").alias("lo"), F.col("at.n").alias("n"), "kinds").alias("w"))
     wanted, counted = _counted(wanted.groupBy("id_").agg(F.collect_list("w").alias("wanted")), "wanted", 8 + 4 * 52)
-    texts = df.select(F.col(key).cast("long").alias("id_"), F.col(text).alias("text_")).join(wanted if not counted else F.broadcast(wanted), "id_")
+    texts = df.select(F.col(key).cast("long").alias("id_"), F.col(text).alias("text_"))
+    if not counted and wanted.count() * 8 <= BROADCAST_BYTES:
+        texts = texts.join(F.broadcast(wanted.select("id_")), "id_", "left_semi")  # only the texts that are needed move
+    texts = texts.join(wanted if not counted else F.broadcast(wanted), "id_")
     hashed = written(window_hashes(texts.dropDuplicates(["id_"]) if not counted else texts, "text_", length), "windows")
     discard(wanted)
     sizes = hashed.groupBy("anchor").agg(F.count("*").alias("kinds"))
