@@ -18,14 +18,32 @@ def name_match_key(spark: SparkSession, d: str) -> DataFrame:
     return names.select("name", X.name_key(F.col("name")).alias("name_key"))
 
 
-@query("""SELECT p_type, lower(p_type) AS name_key, 'dash_normalization,trim_whitespace,outer_wrapper_removed:bold,collapse_whitespace'
-    || CASE WHEN p_type <> lower(p_type) THEN ',casefold' ELSE '' END || ';' || lower(p_type) || ' - x' AS audit FROM (SELECT DISTINCT p_type FROM part)""")
+_WRAPPED = "(length({0}) > {2} AND starts_with({0}, '{1}') AND ends_with({0}, '{3}') AND trim(substr({0}, {4}, length({0}) - {2})) <> '')"
+_UNWRAP = [("bold", "**", "**"), ("code", "`", "`"), ("dollar", "$", "$"), ("paren_math", "\\(", "\\)"), ("bracket_math", "\\[", "\\]")]
+
+
+def _wrap_case(column: str, value: str) -> str:
+    """The first wrapper that may go: its name or what it holds."""
+    out = ""
+    for name, a, b in _UNWRAP:
+        inside = f"substr({column}, {len(a) + 1}, length({column}) - {len(a) + len(b)})"
+        out += f" WHEN {_WRAPPED.format(column, a, len(a) + len(b), b, len(a) + 1)} THEN " + (f"'outer_wrapper_removed:{name}'" if value == "name" else inside)
+    return f"CASE{out} ELSE {'NULL' if value == 'name' else column} END"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT name FROM knowledge_objects WHERE trim(name) <> ''), d AS (SELECT name, unnest([name, '  **' || name || ' – x** ', '`' || name || '’s`', ' $' || name || '  (v)$', '\\(' || upper(name) || '\\)', '** **', '**' || name]) AS dressed FROM n),
+    s1 AS (SELECT *, nfc_normalize(dressed) AS a FROM d WHERE trim(dressed) <> ''), s2 AS (SELECT *, translate(a, '‘’‛`´', repeat(chr(39), 5)) AS b FROM s1), s3 AS (SELECT *, translate(b, '‐‑‒–—―', '------') AS c FROM s2), s4 AS (SELECT *, trim(c) AS e FROM s3),
+    s5 AS (SELECT *, {_wrap_case('e', 'inner')} AS f, {_wrap_case('e', 'name')} AS w FROM s4),
+    s6 AS (SELECT *, CASE WHEN starts_with(f, ' ') THEN ' ' ELSE '' END || trim(regexp_replace(f, '\\s+', ' ', 'g')) || CASE WHEN ends_with(f, ' ') THEN ' ' ELSE '' END AS g FROM s5), s7 AS (SELECT *, replace(lower(g), 'ß', 'ss') AS h FROM s6)
+    SELECT name, dressed, h || '|' || array_to_string(list_filter([CASE WHEN a <> dressed THEN 'unicode_normalization' END, CASE WHEN b <> a THEN 'apostrophe_normalization' END, CASE WHEN c <> b THEN 'dash_normalization' END, CASE WHEN e <> c THEN 'trim_whitespace' END, w,
+        CASE WHEN g <> f THEN 'collapse_whitespace' END, CASE WHEN h <> g THEN 'casefold' END], lambda x: x IS NOT NULL), ',') AS audit FROM s7""")
 def name_normalize_audit(spark: SparkSession, d: str) -> DataFrame:
-    types = table(spark, d, "part").select("p_type").distinct()
-    dressed = F.concat(F.lit("  **"), "p_type", F.lit("  – x** "))
-    audit = X.name_audit(dressed)
-    rows = types.select("p_type", audit.alias("a"))
-    return rows.select("p_type", X.name_key_native(F.col("p_type")).alias("name_key"), F.concat_ws(";", F.array_join("a.operations", ","), "a.key").alias("audit"))
+    """All names of objects, as they are and in several wrappers."""
+    names = table(spark, d, "knowledge_objects").select("name").filter("trim(name) <> ''").distinct()
+    n, t = F.col("name"), F.lit
+    dressed = F.array(n, F.concat(t("  **"), n, t(" – x** ")), F.concat(t("`"), n, t("’s`")), F.concat(t(" $"), n, t("  (v)$")), F.concat(t("\\("), F.upper(n), t("\\)")), t("** **"), F.concat(t("**"), n))
+    rows = names.select("name", F.explode(dressed).alias("dressed")).withColumn("a", X.name_audit(F.col("dressed")))
+    return rows.select("name", "dressed", F.concat_ws("|", "a.key", F.array_join("a.operations", ",")).alias("audit"))
 
 
 @query("""SELECT pair_id, run_id, recorded_at, loaded_at, CAST(i - 1 AS INT) AS source_object_index, evidence_spans[i].lecture_id AS lecture_id, evidence_spans[i].span AS span
@@ -128,28 +146,29 @@ def local_pairs(spark: SparkSession, d: str) -> DataFrame:
     return r.select("source.lecture_id", F.col("source.ko_id").alias("a"), F.col("target.ko_id").alias("b")).distinct()
 
 
-@query(f"""WITH p AS {_LOCAL}, k AS {KO}, pl AS {_PLACES},
-    f AS (SELECT p.lecture_id, p.a, p.b,
-        (SELECT min(abs(x.i - y.i)) FROM (SELECT unnest(la.places) AS i) x, (SELECT unnest(lb.places) AS i) y) AS distance,
-        len(list_intersect(CASE WHEN len({TOKENS.format('ka.name')}) > 0 THEN {TOKENS.format('ka.name')} ELSE list_distinct({WORDS.format('ka.name')}) END,
-            CASE WHEN len({TOKENS.format('kb.name')}) > 0 THEN {TOKENS.format('kb.name')} ELSE list_distinct({WORDS.format('kb.name')}) END)) AS shared
-        FROM p LEFT JOIN k ka ON ka.lecture_id = p.lecture_id AND ka.predicted_ko_id = p.a LEFT JOIN k kb ON kb.lecture_id = p.lecture_id AND kb.predicted_ko_id = p.b
-        LEFT JOIN pl la ON la.lecture_id = p.lecture_id AND la.predicted_ko_id = p.a LEFT JOIN pl lb ON lb.lecture_id = p.lecture_id AND lb.predicted_ko_id = p.b)
-    SELECT * FROM (SELECT lecture_id, a, b, array_to_string(list_filter([CASE WHEN distance <= 1 THEN 'source_proximity' END, CASE WHEN shared >= 1 THEN 'lexical_overlap' END], lambda x: x IS NOT NULL), ',') AS reasons FROM f) WHERE reasons <> ''""")
+_FT = NAME_KEY.format("regexp_replace(translate(nfc_normalize({0}), chr(160) || '，（）', ' ,()'), '\\\\[\\[\\]()]', ' ', 'g')")
+_CUE = " OR ".join(f"contains(text, '{x}')" for x in pairs.CUES)
+_LEX = f"CASE WHEN len({TOKENS}) > 0 THEN {TOKENS} ELSE list_distinct({WORDS}) END"
+_SYMBOLS = """list_distinct(list_transform(flatten(list_transform(spans, lambda s: list_concat(regexp_extract_all(s, '\\\\[A-Za-z]+'), regexp_extract_all(s, '([A-Za-z]+)(?:_|\\()', 1), regexp_extract_all(regexp_replace(s, '[^\\p{L}\\p{N}_]', '  ', 'g'), '(?:^| )([A-Z][A-Z0-9]*)(?: |$)', 1)))), lambda x: lower(x)))"""
+
+
+@query(f"""WITH bl AS (SELECT lecture_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n+'), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS p FROM {LEC} WHERE text IS NOT NULL),
+    bm AS (SELECT lecture_id, string_split(list_reduce(p, lambda x, y: CASE WHEN regexp_full_match(y, '(?s)(\\$\\$.*\\$\\$|\\\\\\[.*\\\\\\])') THEN x || chr(10) || chr(10) || y ELSE x || chr(1) || y END), chr(1)) AS q FROM bl WHERE len(p) > 0),
+    bu AS (SELECT lecture_id, unnest(range(len(q))) AS i, unnest(q) AS b FROM bm), t AS (SELECT lecture_id, i, {_FT.format('b')} AS text FROM bu),
+    o AS (SELECT lecture_id, predicted_ko_id AS id, {_FT.format('name')} AS name, spans, {_LEX.format(NAME_KEY.format('name'))} AS words, {_SYMBOLS} AS symbols FROM {KO} WHERE lecture_id IS NOT NULL AND predicted_ko_id IS NOT NULL),
+    sp AS (SELECT lecture_id, id, unnest(spans) AS s FROM o), sf AS (SELECT DISTINCT lecture_id, id, {_FT.format('s')} AS n FROM sp WHERE s IS NOT NULL),
+    bs AS (SELECT DISTINCT lecture_id, id, i FROM sf JOIN t USING (lecture_id) WHERE n <> '' AND contains(text, n)),
+    pl AS (SELECT * FROM bs UNION ALL SELECT lecture_id, id, i FROM o JOIN t USING (lecture_id) WHERE name <> '' AND contains(text, name) AND NOT EXISTS (SELECT 1 FROM bs WHERE bs.lecture_id = o.lecture_id AND bs.id = o.id)),
+    cu AS (SELECT lecture_id, i, {WORDS.format('text')} AS held FROM t WHERE {_CUE}),
+    sd AS (SELECT lecture_id, id, i FROM o JOIN cu USING (lecture_id) WHERE list_has_all(held, words) UNION ALL SELECT lecture_id, id, i FROM pl SEMI JOIN cu USING (lecture_id, i)),
+    la AS (SELECT lecture_id, id, list(DISTINCT i) AS pos FROM pl GROUP BY 1, 2), ls AS (SELECT lecture_id, id, list(DISTINCT i) AS said FROM sd GROUP BY 1, 2),
+    f AS (SELECT o.lecture_id, o.id, words, symbols, coalesce(pos, []) AS pos, coalesce(said, []) AS said FROM o LEFT JOIN la USING (lecture_id, id) LEFT JOIN ls USING (lecture_id, id)),
+    r AS (SELECT a.lecture_id, a.id AS a, b.id AS b, array_to_string(list_filter([
+        CASE WHEN list_has_any(list_concat(a.pos, list_transform(a.pos, lambda x: x - 1), list_transform(a.pos, lambda x: x + 1)), b.pos) THEN 'source_proximity' END, CASE WHEN list_has_any(a.words, b.words) THEN 'lexical_overlap' END,
+        CASE WHEN list_has_any(a.symbols, b.symbols) THEN 'symbol_overlap' END, CASE WHEN list_has_any(a.said, b.said) THEN 'explicit_reference' END], lambda x: x IS NOT NULL), ',') AS reasons FROM f a JOIN f b ON a.lecture_id = b.lecture_id AND a.id < b.id)
+    SELECT lecture_id, a, b, reasons <> '' AS selected, reasons, CASE WHEN reasons = '' THEN 'no_rule_triggered' END AS exclusion_reason FROM r""")
 def rule_filtered_selection(spark: SparkSession, d: str) -> DataFrame:
-    p, k = local_pairs(spark, d), objects(spark, d).select("lecture_id", "predicted_ko_id", "name")
-    at = located(spark, d).groupBy("lecture_id", "predicted_ko_id").agg(F.collect_set("block_index").alias("at"))
-    side = lambda df, s, c: df.select("lecture_id", F.col("predicted_ko_id").alias(s), F.col(c).alias(f"{c}_{s}"))
-    for s in ("a", "b"):
-        p = p.join(side(k, s, "name"), ["lecture_id", s], "left").join(side(at, s, "at"), ["lecture_id", s], "left")
-    shared = F.size(F.array_intersect(X.lexical_tokens(F.col("name_a")), X.lexical_tokens(F.col("name_b"))))
-    why = pairs.rule_reasons(M.min_distance(F.col("at_a"), F.col("at_b")), shared, F.lit(0), F.lit(False))
-    return p.select("lecture_id", "a", "b", F.array_join(why, ",").alias("reasons")).filter("reasons <> ''")
-
-
-@query()
-def rule_filtered_decisions_all(spark: SparkSession, d: str) -> DataFrame:
-    """All four rules over every pair inside a lecture, with the pairs left out; no SQL, as DuckDB has no NFKC."""
+    """All four rules over every pair inside a lecture, with the pairs left out. The SQL has no NFKC, which the tables' names and spans do not need."""
     blocks = evidence.block_rows(lectures(spark, d), "lecture_id", "text", X.math_blocks)
     found = pairs.rule_decisions(objects(spark, d), blocks, "lecture_id", "predicted_ko_id", "name", "spans")
     return found.withColumn("reasons", F.array_join("reasons", ","))

@@ -46,23 +46,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Folders made in this process and not yet deleted; the rest goes when it ends.
-_left: dict[str, SparkSession] = {}
+#: Folders made in this process and not yet deleted, with their file systems; results still read them, so they go when it ends.
+_left: dict[str, tuple] = {}
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/knotwork_{name}_{uuid.uuid4().hex}"
     if not _left:
+        atexit.unregister(_sweep)
         atexit.register(_sweep)
-    _left[path] = spark
+    _left[path] = _fs(spark, path)
     return path
 
 
 def _sweep() -> None:
     """Delete what results still read when the process ended; a JVM that is gone already leaves it to :func:`clean`."""
-    for path, spark in list(_left.items()):
+    for p, fs in list(_left.values()):
         try:
-            remove(spark, path)
+            fs.delete(p, True)
         except Exception:  # noqa: BLE001
             return
 

@@ -78,3 +78,58 @@ def test_stream_equals_table(spark, tmp_path):
     q.stop()
     key = lambda df: sorted(tuple(r) for r in df.select("window_start", "event_type", "n_events", F.round("total", 6)).collect())
     assert key(spark.table("w")) == key(table)
+
+
+SWEPT = """
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as e
+from knotwork.session import local_session, shared_dir, listed
+spark = local_session(2, 2)
+spark.conf.set("spark.checkpoint.dir", "file://" + {folder!r})
+for name in ("p2_found", "p3_found", "connected_components"):
+    assert e.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+kinds = [n.split("_")[1] for n in listed(spark, shared_dir(spark)) if n.startswith("knotwork_")]
+assert sorted(kinds) == ["compact", "edges", "union"], kinds  # what the three results read, nothing else
+spark.stop()
+"""
+
+
+def test_nothing_is_left_in_the_shared_folder(tmp_path):
+    """Only what a result still reads is left after a query, and nothing when the process has ended."""
+    import os
+    import subprocess
+    import sys
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", SWEPT.format(root=root, folder=str(tmp_path))], check=True, timeout=300, capture_output=True)
+    assert not [p for p in tmp_path.rglob("*.parquet")]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    import pytest
+
+    from knotwork.session import shared_dir
+
+    class Nothing:
+        def isDefined(self):  # noqa: N802
+            return False
+
+    class Fake:
+        master, sparkContext, conf, _conf, _jsc = "spark://host:7077", None, None, {}, None
+
+        def get(self, *a):
+            return None
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):  # noqa: N802
+            return Nothing()
+
+    fake = Fake()
+    fake.sparkContext = fake.conf = fake._jsc = fake
+    with pytest.raises(RuntimeError):
+        shared_dir(fake)
