@@ -81,12 +81,12 @@ def test_stream_equals_table(spark, tmp_path):
 
 
 SWEPT = """
-import sys
+import os, sys
+os.environ["PYSPARK_SUBMIT_ARGS"] = "--conf spark.checkpoint.dir=file://" + {folder!r} + " pyspark-shell"
 sys.path.insert(0, {root!r})
 import __spark_entry__ as e
 from knotwork.session import local_session, shared_dir, listed
 spark = local_session(2, 2)
-spark.conf.set("spark.checkpoint.dir", "file://" + {folder!r})
 for name in ("p2_found", "p3_found", "connected_components"):
     assert e.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
 kinds = [n.split("_")[1] for n in listed(spark, shared_dir(spark)) if n.startswith("knotwork_")]
