@@ -83,7 +83,7 @@ def name_audit(x: Column, wrappers: Mapping[str, tuple[str, str]] = WRAPPERS) ->
                     return inner, f"outer_wrapper_removed:{name}"
             return t, ""
 
-        steps = (
+        steps = (  # the names of the steps are fixed values
             (lambda t: unicodedata.normalize("NFKC", t), "unicode_normalization"),
             (lambda t: t.translate(apostrophes), "apostrophe_normalization"),
             (lambda t: t.translate(dashes), "dash_normalization"),

@@ -12,7 +12,7 @@ from knotwork.functions import text as X
 from knotwork.operators.metrics import NONE, RELATIONS
 from knotwork.session import col, small
 
-#: Categories of gold pairs that the primary figures count; the others are reported apart.
+# Categories of gold pairs that the primary figures count (the others are reported apart), and two states of support.
 PRIMARY = ("positive", "hard_negative")
 SUPPORTED = "auto_supported_by_gold_evidence"
 PENDING = "pending_adjudication"

@@ -259,6 +259,7 @@ def recoverability(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+# Labels of claims, and the kinds of faithfulness of a review.
 SUPPORT_LABELS = ("SOURCE_GROUNDED", "UNSUPPORTED", "CONTRADICTED", "UNRESOLVED")
 FAITHFUL = ("relation_faithful", "direction_faithful", "endpoint_faithful", "evidence_faithful")
 

@@ -73,7 +73,7 @@ def relations(df: DataFrame, objects_: DataFrame, texts: DataFrame) -> DataFrame
     return out
 
 
-#: Labels of candidate pairs and what an annotation of each may hold.
+# Labels of candidate pairs.
 CANDIDATE_LABELS = ("IN_SCHEMA_RELATION", "NO_IN_SCHEMA_RELATION", "OUT_OF_SCHEMA_RELATION", "AMBIGUOUS")
 
 
@@ -232,6 +232,7 @@ def reviews(df: DataFrame, key: str = "explanation_instance_id") -> DataFrame:
 def rule_config(rules: Mapping) -> list[str]:
     """Faults of a rule configuration: order, thresholds, pair ids."""
     faults = []
+    # The order of the rules.
     order = ["source_proximity", "lexical_overlap", "symbol_overlap", "explicit_reference", "type_compatibility"]
     if list(rules.get("reason_order", [])) != order:
         faults.append("reason_order")

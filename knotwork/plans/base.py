@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.functions.text import STOP_WORDS
 from knotwork.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,5 +70,5 @@ BLOCKS = f"""(SELECT lecture_id, unnest(range(len(b))) AS block_index, unnest(b)
     FROM (SELECT lecture_id, {BLOCK_LIST} AS b FROM {LEC}))"""
 NAME_KEY = "replace(lower(trim(regexp_replace(translate({0}, '‘’‛`´‐‑‒–—―', '''''''''''------'), '\\s+', ' ', 'g'))), 'ß', 'ss')"
 WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
-STOPS = "['a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','their','this','to','uses','using','with']"
+STOPS = "[" + ",".join(f"'{w}'" for w in STOP_WORDS) + "]"
 TOKENS = f"list_distinct(list_filter({WORDS}, lambda x: NOT list_contains({STOPS}, x)))"
