@@ -294,40 +294,65 @@ def rule_reasons(distance: Column, shared_words: Column, shared_symbols: Column,
 CUES = ("also known as", "based on", "because of", "called", "compared to", "consists of", "defined as", "depends on", "derived from", "equivalent to", "follows from", "known as", "leads to", "related to", "such as")
 
 
-def rule_decisions(objects: DataFrame, blocks: DataFrame, group: str, key: str, name: str, spans: str, cues: Sequence[str] = CUES, symbols: Sequence[str] = X.SYMBOLS, max_distance: int = 1, min_words: int = 1, min_symbols: int = 1) -> DataFrame:
+#: Objects per block of a group, members per row of a block, and pairs per task of the listing, as far as tasks go.
+GROUP_BLOCK, MEMBERS, TASK_PAIRS, MOST_TASKS = 2048, 64, 1 << 22, 20_000
+
+
+def rule_decisions(objects: DataFrame, blocks: DataFrame, group: str, key: str, name: str, spans: str, cues: Sequence[str] = CUES, symbols: Sequence[str] = X.SYMBOLS, max_distance: int = 1, min_words: int = 1, min_symbols: int = 1, joined: str | None = None) -> DataFrame:
     """``group, a, b, selected, reasons, exclusion_reason``: the rule filter's decision on every pair inside a group.
 
     ``blocks`` has ``group, block_index, span``. An object stands in the blocks that hold one of its
     spans, both in :func:`X.feature_text` form, else in those that hold its name, else nowhere. A pair
     has an explicit reference if a block with a cue phrase names both: it is a place of the object or
-    holds all its words. The audit is quadratic inside a group by definition; the pairs of a large
-    group are spread over tasks.
+    holds all its words. With ``joined`` the reasons are one text, parted by it.
+
+    The audit is quadratic inside a group by definition. A group is cut into blocks of about
+    ``GROUP_BLOCK`` objects, and each pair of blocks is a unit of work, so a large group is many tasks and an
+    object is copied once per block. Objects of a block with the same places, symbols and cues are the
+    members of one row: three of the rules are decided once for all pairs of two rows, and the shared words
+    pair by pair, where the bits of their hashes meet. Joins of objects are merged, never broadcast: the
+    estimate does not count the copies, which the driver would have to hold.
     """
-    c, ids = F.col, ["g", "id"]
+    c, ids, spark = F.col, ["g", "id"], objects.sparkSession
     texts = written(blocks.select(col(group).alias("g"), "block_index", X.feature_text(c("span")).alias("text")), "texts")
     own = objects.select(col(group).alias("g"), col(key).alias("id"), col(name).alias("name"), F.coalesce(col(spans), F.array().cast("array<string>")).alias("spans")).dropna(subset=ids).dropDuplicates(ids)
     own = written(own.select(*ids, "spans", X.feature_text(c("name")).alias("name"), X.lexical_tokens(X.name_key(c("name"))).alias("words")), "objects")
     quoted = own.select("g", F.explode("spans").alias("s")).dropna().distinct().select("g", "s", X.feature_text(c("s")).alias("needle"))
     held = lambda needles, n: texts.join(needles, "g").filter((c(n) != "") & F.contains("text", c(n)))
-    by_span = held(quoted, "needle").select("g", "s", "block_index").join(own.select(*ids, F.explode("spans").alias("s")), ["g", "s"]).select(*ids, "block_index").distinct()
+    by_span = held(quoted, "needle").select("g", "s", "block_index").join(own.select(*ids, F.explode("spans").alias("s")).hint("merge"), ["g", "s"]).select(*ids, "block_index").distinct()
     by_span = written(by_span, "by_span")
-    named = own.join(by_span, ids, "left_anti").select(*ids, "name")
+    named = own.join(by_span.hint("merge"), ids, "left_anti").select(*ids, "name")
     at = written(by_span.unionByName(held(named, "name").select(*ids, "block_index")), "places")
     cued = texts.filter(F.exists(F.array(*map(F.lit, cues)).cast("array<string>"), lambda x: F.contains("text", x))).select("g", "block_index", X.words(c("text")).alias("held"))
     said = cued.join(own.select(*ids, "words"), "g").filter(F.size(F.array_except("words", "held")) == 0).select(*ids, "block_index")
     said = said.unionByName(at.join(cued.select("g", "block_index"), ["g", "block_index"]).select(*ids, "block_index"))
-    lists = lambda df, out: df.groupBy(*ids).agg(F.collect_set("block_index").alias(out))
-    o = own.select(*ids, "words", X.symbol_tokens(c("spans"), symbols).alias("symbols")).join(lists(at, "at"), ids, "left").join(lists(said, "said"), ids, "left")
-    o = written(o.withColumn("near", F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x - max_distance, x + max_distance))))), "features")
-    parts = 16
-    side = lambda s, salt: o.select("g", salt.alias("salt"), *(c(x).alias(f"{x}_{s}") for x in o.columns if x != "g"))
-    pairs = side("a", F.pmod(F.hash("id"), F.lit(parts))).join(side("b", F.explode(F.array(*map(F.lit, range(parts))))), ["g", "salt"]).filter("id_a < id_b")
-    near = F.when(F.arrays_overlap("near_a", "at_b"), 0).otherwise(max_distance + 1)
-    shared = lambda x: F.size(F.array_intersect(f"{x}_a", f"{x}_b"))
-    why = rule_reasons(near, shared("words"), shared("symbols"), F.arrays_overlap("said_a", "said_b"), max_distance, min_words, min_symbols)
-    pairs = pairs.select(c("g").alias(group), c("id_a").alias("a"), c("id_b").alias("b"), why.alias("reasons"))
-    some = F.size("reasons") > 0
-    return pairs.select(group, "a", "b", some.alias("selected"), "reasons", F.when(~some, "no_rule_triggered").alias("exclusion_reason"))
+    lists = lambda df, out: df.groupBy(*ids).agg(F.sort_array(F.collect_set("block_index")).alias(out)).hint("merge")
+    o = own.select(*ids, "words", F.sort_array(X.symbol_tokens(c("spans"), symbols)).alias("symbols")).join(lists(at, "at"), ids, "left").join(lists(said, "said"), ids, "left")
+    sizes = own.groupBy("g").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum(c("n") * (c("n") - 1) / 2)).first()[0] or 0
+    tasks = min(MOST_TASKS, max(spark.sparkContext.defaultParallelism, math.ceil(total / TASK_PAIRS)))
+    o = o.join(sizes.select("g", F.ceil(c("n") / GROUP_BLOCK).cast("int").alias("of")), "g").withColumn("block", F.pmod(F.hash("id"), c("of")))
+    bits = F.expr("aggregate(words, 0L, (m, w) -> m | shiftleft(1L, pmod(hash(w), 64)))")
+    rows = o.groupBy("g", "of", "block", "at", "said", "symbols").agg(F.collect_list(F.struct("id", "words", bits.alias("bits"))).alias("m"))
+    cut = F.expr(f"explode(transform(sequence(0, int((size(m) - 1) div {MEMBERS})), k -> slice(m, k * {MEMBERS} + 1, {MEMBERS})))")
+    near = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x - max_distance, x + max_distance))))
+    rows = written(rows.select("g", "of", "block", "at", "said", "symbols", near.alias("near"), cut.alias("m")), "members")
+    side = lambda s, i, j: rows.select("g", i.alias("i"), j.alias("j"), *(c(x).alias(f"{x}_{s}") for x in ("at", "said", "symbols", "near", "m"))).repartition(tasks, "g", "i", "j")
+    met = side("a", c("block"), F.explode(F.sequence("block", c("of") - 1))).join(side("b", F.explode(F.sequence(F.lit(0), c("block"))), c("block")).hint("merge"), ["g", "i", "j"])
+    first_a, first_b = c("m_a")[0]["id"], c("m_b")[0]["id"]  # no two rows of a group begin with the same id
+    met = met.filter((c("i") < c("j")) | (first_a <= first_b))
+    shared = lambda x, y: F.size(F.array_intersect(x, y))
+    distance = F.when(F.arrays_overlap("near_a", "at_b"), 0).otherwise(max_distance + 1)
+    why = lambda n: rule_reasons(distance, n, shared("symbols_a", "symbols_b"), F.arrays_overlap("said_a", "said_b"), max_distance, min_words, min_symbols)
+    alone, worded = why(F.lit(None).cast("int")), why(F.lit(min_words))
+    form = (lambda x: F.array_join(x, joined)) if joined is not None else lambda x: x
+    met = met.select("g", (first_a == first_b).alias("same"), (F.size(alone) > 0).alias("some"), form(alone).alias("alone"), form(worded).alias("worded"), "m_a", "m_b")
+    met = met.select("g", "same", "some", "alone", "worded", "m_b", F.explode("m_a").alias("x")).select("g", "same", "some", "alone", "worded", "x", F.explode("m_b").alias("y"))
+    met = met.filter(~c("same") | (c("x.id") < c("y.id")))
+    words = F.when(c("x.bits").bitwiseAND(c("y.bits")) == 0, 0).otherwise(shared("x.words", "y.words"))
+    met = met.select("g", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "some", "alone", "worded", F.coalesce(words >= min_words, F.lit(False)).alias("lexical"))
+    some = c("some") | c("lexical")
+    return met.select(c("g").alias(group), "a", "b", some.alias("selected"), F.when(c("lexical"), c("worded")).otherwise(c("alone")).alias("reasons"), F.when(~some, "no_rule_triggered").alias("exclusion_reason"))
 
 
 IDENTITY_REASONS = ("exact_normalized_name", "frozen_alias_identity", "name_token_equivalence", "initialism_name_match", "name_token_containment", "exact_source_span")

@@ -170,8 +170,7 @@ _SYMBOLS = """list_distinct(list_transform(flatten(list_transform(spans, lambda
 def rule_filtered_selection(spark: SparkSession, d: str) -> DataFrame:
     """All four rules over every pair inside a lecture, with the pairs left out. The SQL has no NFKC, which the tables' names and spans do not need."""
     blocks = evidence.block_rows(lectures(spark, d), "lecture_id", "text", X.math_blocks)
-    found = pairs.rule_decisions(objects(spark, d), blocks, "lecture_id", "predicted_ko_id", "name", "spans")
-    return found.withColumn("reasons", F.array_join("reasons", ","))
+    return pairs.rule_decisions(objects(spark, d), blocks, "lecture_id", "predicted_ko_id", "name", "spans", joined=",")
 
 
 _IDF = f"""(SELECT token, count(*) AS df, ln(((SELECT count(*) FROM {_CANON}) + 1) / (count(*) + 1)) + 1 AS idf

@@ -510,3 +510,23 @@ def test_shared_tables_are_cleaned(spark):
     written(spark.range(3), "more")
     clean(spark)
     assert not any(n.startswith("knotwork_") for n in os.listdir(root))
+
+
+def test_rule_decisions_over_blocks_of_a_group(spark, monkeypatch):
+    """A group of many blocks and rows of many members: every pair once, as without blocks, and no side is broadcast."""
+    blocks = spark.createDataFrame([(g, i, t) for g in "lm" for i, t in enumerate(("full rank", "nothing", "the step is based on inertia", "x", "y"))], "g string, block_index int, span string")
+    vocabulary = ["rank", "step", "inertia", "matrix", "of", "newton", "Q"]
+    rng = random.Random(4)
+    rows = [(rng.choice("lm"), f"k{i:02}", " ".join(rng.sample(vocabulary, rng.randint(0, 2))) or None, rng.choice([None, [], ["full rank"], ["Q"], ["the step", r"\beta"]])) for i in range(90)]
+    df = spark.createDataFrame([*rows, rows[0]], "g string, id string, n string, s array<string>")
+    whole = pairs.rule_decisions(df, blocks, "g", "id", "n", "s")
+    want = sorted(tuple(r) for r in whole.collect())
+    assert [r[:3] for r in want] == sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1])
+    assert len({tuple(r[4]) for r in want}) > 6
+    for block, members in ((7, 64), (16, 2), (2048, 3)):
+        monkeypatch.setattr(pairs, "GROUP_BLOCK", block)
+        monkeypatch.setattr(pairs, "MEMBERS", members)
+        assert sorted(tuple(r) for r in pairs.rule_decisions(df, blocks, "g", "id", "n", "s").collect()) == want
+    plan = pairs.rule_decisions(df, blocks, "g", "id", "n", "s", joined=",")
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in plan.collect()) == [(*r[:4], ",".join(r[4]), r[5]) for r in want]
